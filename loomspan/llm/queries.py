@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact_dedup, language_model, mixing, packing, quality, simhash, urls
+from . import archives, exact_dedup, language_model, mixing, packing, pii, quality, simhash, urls
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extracted(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
