@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +28,19 @@ from pyspark.sql import types as T
 from .common import whole, written
 
 CAPACITY = 2048
-_CACHED = 400_000
+_CACHED, _AT_ONCE = 1_000_000, 1000
 _KNOWN: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
 #: Some bins of equal content: how many, and the (length, how many of it) in them.
 Bins = tuple[int, tuple[tuple[int, int], ...]]
 
 
-def token_bytes(text: bytes, path: str) -> bytes:
-    """The ids of a UTF-8 text as little-endian 32-bit numbers, without special tokens.
+def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
+    """The ids of UTF-8 texts as little-endian 32-bit numbers, without special tokens.
 
-    The tokenizer never joins what white space parts, so the ids of a text are those of its words; a worker keeps those
-    of the first words it meets.
+    The tokenizer lower-cases and never joins what white space parts, nor a comma or stop with a letter or digit before
+    it, so the ids of a text are those of its words; a worker keeps those of the first _CACHED words it meets. Where a
+    text may hold a special token's name, its case stays, since those names are told apart by case.
     """
     if path not in _KNOWN:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -45,15 +48,22 @@ def token_bytes(text: bytes, path: str) -> bytes:
 
         _KNOWN[path] = (Tokenizer.from_file(path), {})
     tokenizer, known = _KNOWN[path]
-    words = text.split()
-    new = list({w for w in words if w not in known})
-    if new:
-        encoded = tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        found = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, encoded)}
-        if len(known) + len(found) > _CACHED:
-            return b"".join([known[w] if w in known else found[w] for w in words])
+    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+    new = set().union(*split).difference(known)
+    stem = {w: w[:-1] for w in new if w[-1] in b",." and w[-2:-1].isalnum()}
+    missing = list({stem.get(w, w) for w in new}.union(w[-1:] for w in stem).difference(known))
+    encoded = tokenizer.encode_batch_fast([w.decode("utf-8") for w in missing], add_special_tokens=False)
+    found = {w: array("I", e.ids).tobytes() for w, e in zip(missing, encoded)}
+    look = ChainMap(found, known)
+    found |= {w: look[s] + look[w[-1:]] for w, s in stem.items()}
+    if len(known) + len(found) <= _CACHED:
         known.update(found)
-    return b"".join([known[w] for w in words])
+        look = known
+    else:
+        for words in split:
+            found.update((w, known[w]) for w in words if w not in found)
+        look = found
+    return [b"".join(map(look.__getitem__, words)) for words in split]
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -61,10 +71,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (large.slice(at, _AT_ONCE) for large in batches for at in range(0, large.num_rows, _AT_ONCE)):
             rows, ids = [], []
-            for at, text in enumerate(batch.column(1).cast(pa.binary())):
-                tokens = token_bytes(text.as_py(), tokenizer) + b"\0\0\0\0"
+            for at, tokens in enumerate(token_bytes(batch.column(1).cast(pa.binary()).to_pylist(), tokenizer)):
+                tokens += b"\0\0\0\0"
                 for piece, start in enumerate(range(0, len(tokens), 4 * capacity)):
                     part = tokens[start : start + 4 * capacity]
                     rows.append((at, piece, start // 4, len(part) // 4, zlib.crc32(part)))
