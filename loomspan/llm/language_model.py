@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import whole, written
 
 FOLDS, OUT, HELD = 5, 1, 4
-CHUNK, ROUNDS, BUCKETS = 1_000_000, 20, 40
+CHUNK, ROUNDS, BUCKETS = 1_500_000, 20, 40
 _END = np.uint64(xxhash.xxh64_intdigest(b" "))
 
 
@@ -59,13 +59,22 @@ def _unpack(data: bytes | None, kind: type) -> np.ndarray:
 
 
 class _Chunk:
-    """The tokens of some documents: ``ids`` into ``hashes`` (0 is the end), ``sizes`` and ``parts`` for each document."""
+    """The tokens of some documents: ``ids`` of words (0 is the end), ``sizes`` and ``parts`` for each document."""
 
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> None:
-        self.hashes, self.ids, self.sizes, self.parts = hashes, ids, sizes, parts
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> None:
+        self.ids, self.sizes, self.parts = ids, sizes, parts
+        n = int(ids.max()) + 1
         before = np.concatenate((np.zeros(1, ids.dtype), ids[:-1])).astype(np.int64)
-        self.pairs, self.of = np.unique(before * len(hashes) + ids, return_inverse=True)
-        self.first, self.second = np.divmod(self.pairs, len(hashes))
+        self.pairs, self.of = np.unique(before * n + ids, return_inverse=True)
+        self.first, self.second = np.divmod(self.pairs, n)
+
+
+class _Hashed(_Chunk):
+    """A chunk with its keys: the hashes of its words and bigrams, in their order."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parts: np.ndarray) -> None:
+        super().__init__(ids, sizes, parts)
+        self.hashes = hashes
         part = np.repeat(parts, sizes)
         self.held = part == HELD
         self.learnt = part != OUT
@@ -85,7 +94,7 @@ class _Chunk:
         return out[: len(self.hashes)], out[len(self.hashes) :]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[int, pa.Array, _Chunk]]:
+def _chunks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[int, pa.Array, _Hashed]]:
     """(number, ids, chunk) from batches (id, text, part); whole documents, cut alike each time the batches are alike."""
     number = TaskContext.get().partitionId() << 32
     known: dict[bytes, int] = {}
@@ -94,10 +103,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[in
     parts: list[int] = []
     rows: list[pa.Array] = []
 
-    def done() -> tuple[int, pa.Array, _Chunk]:
+    def done() -> tuple[int, pa.Array, _Hashed]:
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], dtype=np.uint64)
         hashes[0] = _END
-        return number, pa.concat_arrays(rows), _Chunk(hashes, np.array(ids, np.int32), np.array(sizes, np.int64), np.array(parts, np.int8))
+        return number, pa.concat_arrays(rows), _Hashed(hashes, np.array(ids, np.int32), np.array(sizes, np.int64), np.array(parts, np.int8))
 
     for batch in batches:
         start = 0
@@ -191,18 +200,18 @@ def _gathered(docs: DataFrame, answers: DataFrame, parts: int, tokens: int) -> D
 
     kept = docs.mapInArrow(keep, kept_schema).withColumns({"bucket": F.lit(-1), "checked": F.lit(None).cast("long")} | {n: F.lit(None).cast("binary") for n in ("held", "learnt", "owner")})
     both = kept.unionByName(answers, allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
-    binary = ["sizes", "parts", "hashes", "ids", "learnt", "e_bucket", "e_pair", "e_first", "e_second", "e_times"]
+    binary = ["sizes", "parts", "ids", "words", "pairs", "e_bucket", "e_pair", "e_first", "e_second", "e_times"]
     schema = T.StructType([kept_schema["row_ids"]] + [T.StructField(n, T.BinaryType()) for n in binary] + [T.StructField(n, T.LongType()) for n in ("n_estimate", "n_learnt", "v_learnt")])
 
     def finish(row: dict, answers: list[tuple]) -> pa.RecordBatch:
-        c = _restored(row)
+        c = _Hashed(_unpack(row["hashes"], np.uint64), *_restored(row))
         if sum(len(a[1]) for a in answers) != len(c.keys) or np.bitwise_xor.reduce([a[0] for a in answers]) != np.bitwise_xor.reduce(c.keys).view(np.int64):
             raise ValueError("the documents were not read equally twice; write them to a table first")
         held, learnt, owner = (np.concatenate([a[i] for a in answers]) for i in (1, 2, 3))
         words, pairs = c.ordered(learnt - held)
         times = np.bincount(c.of[c.held], minlength=len(c.pairs))
         some = np.nonzero(times)[0]
-        out = {n: row[n] for n in ("sizes", "parts", "hashes", "ids")} | {"learnt": _pack(learnt)}
+        out = {n: row[n] for n in ("sizes", "parts", "ids")} | {n: _pack(x) for n, x in zip(("words", "pairs"), c.ordered(learnt))}
         out |= {"e_bucket": _pack(_bucket(words[c.first[some]]).astype(np.uint8)), "e_times": _pack(times[some].astype(np.uint32))}
         out |= {"e_pair": _pack(pairs[some]), "e_first": _pack(words[c.first[some]]), "e_second": _pack(words[c.second[some]])}
         new = c.ordered((owner == 1) & (learnt > 0))[0]
@@ -229,8 +238,8 @@ def _gathered(docs: DataFrame, answers: DataFrame, parts: int, tokens: int) -> D
     return both.mapInArrow(run, schema)
 
 
-def _restored(row: dict) -> _Chunk:
-    return _Chunk(_unpack(row["hashes"], np.uint64), _unpack(row["ids"], np.int32), _unpack(row["sizes"], np.int64), _unpack(row["parts"], np.int8))
+def _restored(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _unpack(row["ids"], np.int32), _unpack(row["sizes"], np.int64), _unpack(row["parts"], np.int8)
 
 
 def _share(a: np.ndarray, b: np.ndarray | float) -> np.ndarray:
@@ -288,8 +297,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {f: batch.column(j)[i].as_py() for j, f in enumerate(batch.schema.names) if f != "row_ids"}
-                c = _restored(row)
-                words, pairs = c.ordered(_unpack(row["learnt"], np.uint64))
+                c, words, pairs = _Chunk(*_restored(row)), _unpack(row["words"], np.uint64), _unpack(row["pairs"], np.uint64)
                 w = weights[_bucket(words[c.first])]
                 p = w[:, 0] * _share(pairs, words[c.first]) + w[:, 1] * _share(words[c.second], float(n)) + w[:, 2] / (v + 1)
                 base = np.log10((words + 0.5) / (n + 0.5 * (v + 1)))
@@ -300,4 +308,4 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 columns = [of, pa.array(c.parts == OUT), pa.array(c.sizes), pa.array(add((words > 0)[c.ids].astype(np.int64))), pa.array(np.full(size, n)), pa.array(add(base[c.ids])), pa.array(add(np.log10(p)[c.of]))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return gathered.select("row_ids", "sizes", "parts", "hashes", "ids", "learnt").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return gathered.select("row_ids", "sizes", "parts", "ids", "words", "pairs").mapInArrow(run, schema).withColumnRenamed("id", id_col)
