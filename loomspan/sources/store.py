@@ -23,14 +23,14 @@ class Copies:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self, name: str):
-        return self._path(f"{self.root}/{name}/_current.json")
+        return self._path(f"{self.root}/{name}/current.json")
 
     def write(self, name: str, df: DataFrame, as_of: dt.datetime, views: tuple[str, ...] = (), sort: str | None = None) -> dict:
         began = time.time()
         version = f"v={as_of:%Y%m%dT%H%M%S}-{time.time_ns()}"
         (df.sortWithinPartitions(sort) if sort else df).write.parquet(f"{self.root}/{name}/{version}")
         meta = {"name": name, "version": version, "as_of": as_of.isoformat(), "rows": self.spark.read.parquet(f"{self.root}/{name}/{version}").count(), "seconds": round(time.time() - began, 3), "views": list(views)}
-        new = self._path(f"{self.root}/{name}/_new.json")
+        new = self._path(f"{self.root}/{name}/new.json")
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
@@ -43,7 +43,7 @@ class Copies:
     def meta(self, name: str) -> dict | None:
         if not self._fs.exists(self._pointer(name)):
             return None
-        return json.loads(self.spark.read.text(f"{self.root}/{name}/_current.json").first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/{name}/current.json").first()[0])
 
     def missing(self, names: list[str]) -> list[str]:
         return [n for n in names if self.meta(n) is None]
