@@ -36,7 +36,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias(id_col),
         F.col("stays").alias("keep_id"),
         F.col("n").alias("group_size"),
-        (F.col("id") == F.col("stays")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("stays")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
@@ -47,7 +47,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The group's text is not needed to drop rows: (hash, SHA-256, id) of those that stay is joined back.
     """
     names = docs.columns
-    key = F.struct(F.md5(lower_ascii(whole(text_col))), F.sha2(lower_ascii(whole(text_col)), 256))
     verdict = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col("keep_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
     tagged = docs.withColumn("__sha", F.sha2(lower_ascii(whole(text_col)), 256))
     kept = tagged.join(verdict, (tagged["__sha"] == verdict["__sha"]) & (tagged[id_col].eqNullSafe(verdict["__id"])), "left_semi")
