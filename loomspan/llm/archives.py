@@ -84,6 +84,11 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         at = end + 1 + size
 
 
+def http_response(payload: bytes, kind: str, code: str = "200") -> bytes:
+    """The content of a record: a response as it came, so that what the payload holds is never taken for headers."""
+    return f"HTTP/1.1 {code} OK\r\nContent-Type: {kind}; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+
+
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -95,10 +100,8 @@ def record_urn(row: object, digest: str) -> str:
 def to_warc(arc: ArcRecord, row: object, refers_to: object = None) -> bytes:
     """The WARC record, without the two line ends behind it. ``row`` is the id of the source row (None: none)."""
     f = arc.fields
-    head, gap, payload = arc.content.partition(b"\r\n\r\n") if arc.content.startswith(b"HTTP/") else (b"", b"", arc.content)
-    if not gap:
-        payload = arc.content
-        head = f"HTTP/1.1 {f.get('Result-code', '200')} OK\r\nContent-Type: {f['Content-type']}; charset=utf-8\r\nContent-Length: {len(payload)}".encode()
+    content = arc.content if arc.content.startswith(b"HTTP/") and b"\r\n\r\n" in arc.content else http_response(arc.content, f["Content-type"], f.get("Result-code", "200"))
+    head, _, payload = content.partition(b"\r\n\r\n")
     digest = base32_sha1(payload)
     block = head + b"\r\n\r\n" + (b"" if refers_to is not None else payload)
     d = f["Archive-date"]
@@ -152,7 +155,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         for n, batch in enumerate(batches):
             ids, urls, refers = (batch.column(i).to_pylist() for i in (0, 1, 3))
             html = [x.as_py() for x in batch.column(2).cast(pa.binary())]
-            legacy = arc_file([(quote(u or "", safe=SAFE) or "-", h) for u, h in zip(urls, html)], version=1 + n % 2)
+            legacy = arc_file([(quote(u or "", safe=SAFE) or "-", http_response(h, "text/html")) for u, h in zip(urls, html)], version=1 + n % 2)
             out = [to_warc(arc, i, r).decode("utf-8") for arc, i, r in zip(read_arc(legacy), ids, refers, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 

@@ -13,8 +13,8 @@ the input twice, once for what they send and once for what they keep; both cuts
 input that isn't read equally both times is an error (write it first).
 
 Defined cases: a null or empty text is the end token alone; repeated rows are scored and counted each; an empty table
-gives no rows; without any document to learn from, all counts are 0 and each token has the probability 1/(V + 1) = 1;
-a null id counts as the text ''; further columns are left out. A document is never cut, so a chunk is at least as long
+gives no rows; without any document to learn from all counts are 0 and the weights equal, so each token has the
+probability 1/3; a null id counts as the text ''; further columns are left out. A document is never cut, so a chunk is at least as long
 as its longest document.
 """
 
