@@ -72,7 +72,7 @@ def headline(joined: DataFrame) -> DataFrame:
 def lead_grid(joined: DataFrame) -> DataFrame:
     """Adverse outcomes of all, by level and days ahead."""
     buckets = ["1-6", "7", "8-13", "14-20", "21-27", "28+"]
-    return joined.withColumn("bucket", lead_bucket(F.col("ahead"))).groupBy("level").pivot("bucket", buckets).agg(F.concat_ws("/", F.sum("adverse"), F.count("*")))
+    return joined.withColumn("bucket", lead_bucket(F.col("ahead"))).groupBy("level").pivot("bucket", buckets).agg(F.concat_ws("/", F.sum("adverse"), F.count("level")))
 
 
 def by_level(head: DataFrame) -> DataFrame:

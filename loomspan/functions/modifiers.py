@@ -20,7 +20,7 @@ def strip(text: str) -> tuple[str, Modifiers]:
     sort, descending, limit, end = None, False, None, False
     if m := re.search(r"[,;]?\s*\b(?:sort(?:ed)?|order(?:ed)?)\s+by\s+([a-z][\w ]*?)(?:\s+(asc(?:ending)?|desc(?:ending)?|highest first|lowest first))?\s*$", text, re.I):
         sort, descending, text = m[1].strip(), (m[2] or "").lower().startswith(("desc", "highest")), text[: m.start()]
-    if m := re.search(r"\b(top|bottom|first|last|only)\s+(\d+)(?:\s+(?:rows?|lines?|entries|results?))?\b", text, re.I):
+    if m := re.search(r"\b(top|bottom|first|last|only)\s+(\d+)(?:\s+(?:rows?|entries|results?))?\b", text, re.I):
         if not re.match(r"\s*days?|\s*weeks?|\s*months?", text[m.end() :], re.I):
             limit, end = int(m[2]), m[1].lower() in ("bottom", "last")
             text = text[: m.start()] + text[m.end() :]

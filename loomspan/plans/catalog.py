@@ -9,10 +9,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import SCHEMAS, table
 from .dialect import ANSI, SPARK, Dialect
 from .scope import EVERYTHING, Scope
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+TABLES = list(SCHEMAS)
 KINDS = frozenset("text int decimal date datetime time bool binary".split())
 
 
@@ -83,7 +84,7 @@ class Loaded:
         self._done: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return table(self.spark, self.folder, name)
 
     def view(self, name: str) -> DataFrame:
         if name not in self._done:

@@ -108,6 +108,8 @@ class Tool:
             if column not in self.may_sort:
                 raise ValueError(f"{self.name} doesn't sort by {column}")
             order = (str(by), *(o for o in order if o.split()[0] != column))
+        if measures:  # a sort column that the chosen grouping doesn't have falls away
+            order = tuple(o for o in order if o.split()[0] in (*dims, *measures)) or tuple(dims)
         return p, dims, measures, order
 
     def frame(self, catalog: Loaded, **params: object) -> DataFrame:

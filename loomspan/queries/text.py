@@ -11,10 +11,7 @@ from ..functions.stats import nearest_rank
 from ..plans import values
 from ..retrieval import documents, search
 from ..sources import store
-
-
-def _t(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+from ..sources.tables import table as _t
 
 
 QUERY = "the thing of another and with these"
