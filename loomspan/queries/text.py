@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import nearest_rank
 from ..plans import values
+from ..plans.views import CATALOG
 from ..retrieval import documents, search
-from ..sources import store
+from ..sources import copies, store
 from ..sources.tables import table as _t
 
 
@@ -272,9 +273,9 @@ def copy_lookup(spark, sf):
     import tempfile
 
     root = "file://" + tempfile.mkdtemp(prefix="loomspan-copies-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir") + "/loomspan-copies"
-    copies = store.Copies(spark, root)
-    copies.write("nations", _t(spark, sf, "nation"), dt.datetime(2000, 6, 30), sort="n_name")
-    return copies.lookup("nations", "n_name", "NATION_7").select("n_nationkey", "n_name")
+    kept = store.Copies(spark, root)
+    kept.write("nations", _t(spark, sf, "nation"), dt.datetime(2000, 6, 30), sort="n_name")
+    return kept.lookup("nations", "n_name", "NATION_7").select("n_nationkey", "n_name")
 
 
 def named_parameters(spark, sf):
@@ -283,7 +284,15 @@ def named_parameters(spark, sf):
     return spark.sql("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders_bound WHERE o_orderdate >= :start AND o_orderdate < :end GROUP BY o_orderstatus", args={"start": dt.datetime(1997, 1, 1), "end": dt.datetime(1998, 1, 1)})
 
 
-QUERIES = {
+def _copy(name: str):
+    def run(spark, sf):
+        df = copies.SPECS[name][1](CATALOG.load(spark, sf))
+        return df.select(*[df[c].cast("string").alias(c) if k == "date" else df[c] for c, k in df.dtypes])
+
+    return run
+
+
+QUERIES = {f"copy_{n}": (_copy(n), CATALOG.with_views(sql)) for n, sql in copies.SQL.items()} | {
     "bm25_topk": (bm25_topk, _bm25("", 20)),
     "bm25_filtered": (bm25_filtered, _bm25("WHERE lang = 'de'", 10, GERMAN)),
     "cosine_topk": (cosine_topk, COSINE),
