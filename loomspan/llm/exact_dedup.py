@@ -44,10 +44,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The documents that stay, with all their columns; of fully equal rows with the id that stays, one remains.
 
-    The group's text is not needed to drop rows: (hash, SHA-256, id) of those that stay is joined back.
+    The texts' hashes and ids of those that stay are joined back. The same two columns tell repeated rows apart, so
+    the documents are shuffled once for both.
     """
     names = docs.columns
-    verdict = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col("keep_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    tagged = docs.withColumn("__sha", F.sha2(lower_ascii(whole(text_col)), 256))
-    kept = tagged.join(verdict, (tagged["__sha"] == verdict["__sha"]) & (tagged[id_col].eqNullSafe(verdict["__id"])), "left_semi")
-    return kept.dropDuplicates([id_col, "__sha"]).select(*names)
+    id_text = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))  # noqa: E731  a null id is one of its own
+    stays = exact_groups(docs, id_col, text_col, keep).where("kept").select(id_text(F.col("keep_id")).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    tagged = docs.withColumns({"__id": id_text(F.col(id_col)), "__sha": F.sha2(lower_ascii(whole(text_col)), 256)})
+    return tagged.join(stays, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*names)
