@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import whole, written
 
 CAPACITY = 2048
-_CACHED, _AT_ONCE = 1_000_000, 1000
+_CACHED, _AT_ONCE = 600_000, 1000
 _KNOWN: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
 #: Some bins of equal content: how many, and the (length, how many of it) in them.
