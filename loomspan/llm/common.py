@@ -26,14 +26,8 @@ def whole(column: str) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else.
-
-    ``lower`` gives the same for a text in which no character beyond ASCII can change, and is far quicker than
-    ``translate``. A character that ``lower`` leaves alone is a lower-case letter, a letter without case, a mark,
-    punctuation, a separator, a digit or a currency or mathematical sign.
-    """
-    may_change = r"[^\x00-\x7F\p{Ll}\p{Lo}\p{Mn}\p{P}\p{Z}\p{Nd}\p{Sc}\p{Sm}]"
-    return F.when(text.rlike(may_change), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
+    """Lower-cases A-Z and nothing else."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
 def words(text: Column) -> Column:
