@@ -164,6 +164,9 @@ def host_of(url: Column) -> Column:
 LEAST_PAGES, LEAST_SHARE, LEAST_TOKENS = 4, 0.5, 3
 #: Inside an article only short texts that nearly all of some more pages have are the template's.
 ARTICLE_PAGES, ARTICLE_SHARE, ARTICLE_WORDS = 8, 0.95, 12
+#: A slot that so large a share of the host's pages has is judged for all of them, others on their own page; so a host
+#: has 10 times the slots of a page at most to tell its pages.
+COMMON_SHARE = 0.1
 #: The hosts' rows are broadcast up to so many bytes, else joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -210,14 +213,25 @@ def templates(pages: DataFrame) -> DataFrame:
     sure = (F.col("pages") >= ARTICLE_PAGES) & (F.col("n") >= ARTICLE_SHARE * F.col("pages"))
     own = valid.select("host", F.explode("texts").alias("t"), sure.alias("sure")).where(~F.col("t.article") | (F.col("sure") & (F.col("t.words") <= ARTICLE_WORDS))).groupBy("host").agg(F.collect_list("t.token").alias("own"))
     slots = tokens.where((F.col("kind") == _SLOT) & ~F.col("no_article"))
-    open_ = slots.groupBy("host").agg(F.max("article").alias("has_article"), F.collect_list(F.when(F.col("linked") * 2 <= F.col("chars"), F.col("token"))).alias("open"))
-    return of_host.select("host").join(own, "host", "left").join(open_, "host", "left")
+    common = slots.join(of_host, "host").withColumn("common", F.col("n") >= COMMON_SHARE * F.col("pages"))
+    listed = lambda links: F.collect_list(F.when(F.col("common") & ((F.col("linked") * 2 > F.col("chars")) == F.lit(links)), F.col("token")))
+    judged = common.groupBy("host").agg(F.max("article").alias("has_article"), listed(False).alias("open"), listed(True).alias("closed"))
+    return of_host.select("host").join(own, "host", "left").join(judged, "host", "left")
 
 
-def _extract(page: Page, own: set[int], has_article: bool, open_: set[int]) -> str:
-    good = [b for b in page.blocks if not b.no_article and (b.article if has_article else b.path in open_)]
+def _extract(page: Page, own: set[int], has_article: bool, open_: set[int], closed: set[int]) -> str:
+    sums: dict[int, list[int]] = {}
+    for b in page.blocks:
+        slot = sums.setdefault(b.path, [0, 0])
+        slot[0] += len(b.text)
+        slot[1] += b.linked
+
+    def is_open(path: int) -> bool:
+        return path in open_ or (path not in closed and sums[path][1] * 2 <= sums[path][0])
+
+    good = [b for b in page.blocks if not b.no_article and (b.article if has_article else is_open(b.path))]
     if has_article and not good:  # this page of the host has none
-        good = [b for b in page.blocks if not b.no_article and b.path in open_]
+        good = [b for b in page.blocks if not b.no_article and is_open(b.path)]
     kept = [b for b in good if _hash(b.path, b.text) not in own]
     return " ".join(b.text for b in kept)
 
@@ -226,14 +240,14 @@ def articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     """Per row: id, url, text, n_chars."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col).cast("string")).alias("host"), whole(html_col).alias("html"))
     hosts = written(templates(rows))
-    measured = hosts.agg(F.sum(F.length("host") + 40 + 8 * (F.coalesce(F.size("own"), F.lit(0)) + F.coalesce(F.size("open"), F.lit(0))))).first()[0] or 0
-    joined = rows.join(F.broadcast(hosts) if measured <= BROADCAST_BYTES else hosts, "host", "left").select("id", "url", "html", "own", "has_article", "open")
+    measured = hosts.agg(F.sum(F.length("host") + 40 + 8 * (F.coalesce(F.size("own"), F.lit(0)) + F.coalesce(F.size("open"), F.lit(0)) + F.coalesce(F.size("closed"), F.lit(0))))).first()[0] or 0
+    joined = rows.join(F.broadcast(hosts) if measured <= BROADCAST_BYTES else hosts, "host", "left").select("id", "url", "html", "own", "has_article", "open", "closed")
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            html_, own, has, open_ = (batch.column(i).to_pylist() for i in range(2, 6))
-            texts = [_extract(read_page(h), set(o or ()), bool(a), set(p or ())) for h, o, a, p in zip(html_, own, has, open_)]
+            columns = (batch.column(i).to_pylist() for i in range(2, 7))
+            texts = [_extract(read_page(h), set(own or ()), bool(has), set(open_ or ()), set(closed or ())) for h, own, has, open_, closed in zip(*columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -36,7 +36,7 @@ BASE = {
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: What may be an identifier: things with an at sign in any writing, hexadecimal groups, runs of digits.
-CANDIDATE = r"[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9.-]++|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}+(?![0-9A-Fa-f:])|[+(]?[0-9](?:[\x20().-]{0,2}[0-9])++"
+CANDIDATE = r"[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9.-]++(?:\x20?(?:\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)*+|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}+(?![0-9A-Fa-f:])|[+(]?[0-9](?:[\x20().-]{0,2}[0-9])++"
 CONTEXT = 80
 
 

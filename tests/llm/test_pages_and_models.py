@@ -89,6 +89,12 @@ def test_a_template_is_deduced_without_telling_elements(spark):
     assert got == {n: f"Story {n} about thing {n * 7} It goes on {n}" for n in range(9)}
 
 
+def test_slots_of_their_own_on_each_page(spark):
+    """Class names that no two pages share: each page is judged by itself."""
+    rows = [(n, f"http://css.org/{n}", f"<div class='x{n}a'><a href=1>Go {n}</a> <a>there {n}</a></div><div class='x{n}b'><p>Text {n} of its <a>own</a> sort</p></div>") for n in range(15)]
+    assert {r["page_id"]: r["text"] for r in html_text.articles(pages(spark, rows)).collect()} == {n: f"Text {n} of its own sort" for n in range(15)}
+
+
 def test_equal_articles_of_a_host_stay(spark):
     rows = [(n, f"http://copy.org/{n}", page("<article><p>One long story that the host shows under many addresses, word for word, to all of its readers.</p></article>", n)) for n in range(10)]
     assert {r["text"] for r in html_text.articles(pages(spark, rows)).collect()} == {"One long story that the host shows under many addresses, word for word, to all of its readers."}

@@ -92,11 +92,11 @@ def test_base_spans(spark):
 
 def test_contexts_discover_unseen_identifiers(spark):
     seen = [(i, f"please ring the desk on +4412345678{i:02d} or write to user{i}@mail.example.com today") for i in range(12)]
-    unseen = [(100, "you may ring the desk on 441 234 5678 now"), (101, "then write to jane.doe[at]mail.example.com please"), (102, "the total came to 441 234 5678 pieces"), (103, "nothing here")]
+    unseen = [(100, "you may ring the desk on 441 234 5678 now"), (101, "then write to jane.doe [at] mail [dot] com please"), (102, "the total came to 441 234 5678 pieces"), (103, "nothing here")]
     got = {r["doc_id"]: r for r in pii.extracted(spark.createDataFrame(seen + unseen, "doc_id long, text string")).collect()}
     phone, mail = unseen[0][1].index("441"), unseen[1][1].index("jane")
     assert got[100]["spans"] == f"phone:{phone}:{phone + 12}"
-    assert got[101]["spans"] == f"email:{mail}:{mail + len('jane.doe[at]mail.example.com')}"
+    assert got[101]["spans"] == f"email:{mail}:{mail + len('jane.doe [at] mail [dot] com')}"
     assert got[102]["spans"] == got[103]["spans"] == ""
     assert all(got[i]["n_new"] == 0 and got[i]["n_phone"] == got[i]["n_email"] == 1 for i in range(12))
 
