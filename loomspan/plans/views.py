@@ -2,7 +2,8 @@
 
 Stand-ins: a region is a factory, a nation a unit, a supplier a production line; an order is an export order, its
 customer the buyer, its part brand and region the file; a line item is a roll, an inspection or a movement. The bodies
-are portable SQL; what differs between engines goes through the dialect.
+are portable SQL; what differs between engines goes through the dialect. Facts that one table holds are taken from it in
+one pass, as conditional sums, where separate tables would be padded with zeros and united.
 """
 
 from __future__ import annotations
@@ -122,9 +123,9 @@ SELECT GR, Color, max(Factory) AS Factory, CASE WHEN min(Shade) = max(Shade) THE
 
 STOCK = [
     _view("vw_StockMovement", "movement", "DocNo DocLine Kind", "DocNo:int DocLine:int Kind:text Factory:text Store:text ItemID:int Item:text Qty:decimal MovedOn:date", """
-SELECT OrderID AS DocNo, LineNo AS DocLine, 'receipt' AS Kind, Factory, Unit AS Store, ItemID, Item, Qty, Day AS MovedOn FROM b_line WHERE State = 'F'
-UNION ALL SELECT OrderID, LineNo, 'issue', Factory, Unit, ItemID, Item, -Qty, Day FROM b_line WHERE State = 'O' AND Flag <> 'R'
-UNION ALL SELECT OrderID, LineNo, 'direct issue', Factory, Unit, ItemID, Item, -Qty, Day FROM b_line WHERE State = 'O' AND Flag = 'R'""", "MovedOn"),
+SELECT OrderID AS DocNo, LineNo AS DocLine, CASE WHEN State = 'F' THEN 'receipt' WHEN Flag <> 'R' THEN 'issue' ELSE 'direct issue' END AS Kind, Factory, Unit AS Store, ItemID, Item,
+       CASE WHEN State = 'F' THEN Qty ELSE -Qty END AS Qty, Day AS MovedOn
+FROM b_line WHERE State = 'F' OR (State = 'O' AND Flag IS NOT NULL)""", "MovedOn"),
     _view("vw_StockBalance", "item and store", "Factory Store ItemID", "Factory:text Store:text ItemID:int Item:text Balance:decimal Receipts:decimal Issues:decimal LastMove:date BaseQty:decimal", """
 SELECT m.Factory AS Factory, m.Store AS Store, m.ItemID AS ItemID, m.Item AS Item, m.Balance AS Balance, m.Receipts AS Receipts, m.Issues AS Issues, m.LastMove AS LastMove, round(m.Balance * u.Factor, 4) AS BaseQty
 FROM (SELECT Factory, Store, ItemID, max(Item) AS Item, sum(Qty) AS Balance, sum(CASE WHEN Kind = 'receipt' THEN Qty ELSE 0 END) AS Receipts, sum(CASE WHEN Kind <> 'receipt' THEN -Qty ELSE 0 END) AS Issues, max(MovedOn) AS LastMove
@@ -148,12 +149,9 @@ SELECT Factory, Line, Day, sum(Qty) AS Output, 30 * count(*) AS Target, CASE WHE
 
 QUALITY = [
     _view("vw_LineDayQuality", "line and day", "Factory Unit Line Day", "Factory:text Unit:text Line:text Day:date Checked:decimal Defects:decimal Rejected:decimal Rectified:decimal Events:int", """
-SELECT Factory, Unit, Line, Day, sum(Checked) AS Checked, sum(Defects) AS Defects, sum(Rejected) AS Rejected, sum(Rectified) AS Rectified, sum(Events) AS Events FROM (
-  SELECT r.r_name AS Factory, n.n_name AS Unit, s.s_name AS Line, CAST(l.l_shipdate AS date) AS Day, l.l_quantity AS Checked, 0 AS Defects, 0 AS Rejected, CASE WHEN l.l_linestatus = 'F' THEN l.l_quantity ELSE 0 END AS Rectified, 1 AS Events
-  FROM lineitem l INNER JOIN supplier s ON l.l_suppkey = s.s_suppkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
-  UNION ALL
-  SELECT Factory, Unit, Line, Day, 0, CASE WHEN Flag = 'R' THEN Qty ELSE 0 END, CASE WHEN Flag = 'A' THEN Qty ELSE 0 END, 0, 0 FROM b_line WHERE Flag <> 'N'
-) x GROUP BY Factory, Unit, Line, Day""", "Day"),
+SELECT Factory, Unit, Line, Day, sum(Qty) AS Checked, sum(CASE WHEN Flag = 'R' THEN Qty ELSE 0 END) AS Defects, sum(CASE WHEN Flag = 'A' THEN Qty ELSE 0 END) AS Rejected,
+       sum(CASE WHEN State = 'F' THEN Qty ELSE 0 END) AS Rectified, count(*) AS Events
+FROM b_line WHERE Line IS NOT NULL GROUP BY Factory, Unit, Line, Day""", "Day"),
     _view("vw_QCDefect", "defect", "InspectionID DefectNo", "InspectionID:int DefectNo:int Factory:text Line:text Buyer:text Style:text Defect:text Category:text Stage:text Qty:decimal Day:date", """
 SELECT l.OrderID AS InspectionID, l.LineNo AS DefectNo, l.Factory AS Factory, l.Line AS Line, o.Buyer AS Buyer, l.Brand AS Style, l.Type AS Defect, CASE WHEN l.Qty > 25 THEN 'major' ELSE 'minor' END AS Category, o.Priority AS Stage, l.Qty AS Qty, l.Day AS Day
 FROM b_line l INNER JOIN b_order o ON l.OrderID = o.OrderID WHERE l.Flag = 'R'""", "Day"),
@@ -176,17 +174,14 @@ SELECT p.Factory AS Factory, p.Line AS Line, p.Day AS Day, coalesce(a.LineNo, 1)
 FROM (SELECT Factory, Line, Day, max(OrderID) AS LastOrder FROM b_line GROUP BY Factory, Line, Day) p
 LEFT JOIN (SELECT OrderID, LineNo FROM (SELECT OrderID, LineNo, row_number() OVER (PARTITION BY OrderID ORDER BY Day DESC, LineNo DESC) AS rn FROM b_line) x WHERE rn = 1) a ON p.LastOrder = a.OrderID""", "Day"),
     _view("vw_CombinationFlowDay", "line, style and day", "Factory Line Style Day", "Factory:text Line:text Style:text Day:date Received:decimal Delivered:decimal", """
-SELECT Factory, Line, Style, Day, sum(Received) AS Received, sum(Delivered) AS Delivered FROM (
-  SELECT Factory, Line, Brand AS Style, Day, Qty AS Received, 0 AS Delivered FROM b_line WHERE State = 'F'
-  UNION ALL SELECT Factory, Line, Brand, Day, 0, Qty FROM b_line WHERE State = 'O'
-) x GROUP BY Factory, Line, Style, Day""", "Day"),
+SELECT Factory, Line, Brand AS Style, Day, sum(CASE WHEN State = 'F' THEN Qty ELSE 0 END) AS Received, sum(CASE WHEN State = 'O' THEN Qty ELSE 0 END) AS Delivered
+FROM b_line WHERE State IN ('F', 'O') GROUP BY Factory, Line, Brand, Day""", "Day"),
     _view("vw_PlanQualityDay", "line, file and day", "Factory Line FileNo Day", "Factory:text Unit:text Line:text FileNo:text Buyer:text Style:text ExportOrderID:int Day:date Checked:decimal Defects:decimal Rejected:decimal Passed:decimal DefectivePcs:decimal Rectified:decimal", """
-SELECT Factory, Unit, Line, FileNo, Buyer, Style, ExportOrderID, Day, sum(Checked) AS Checked, sum(Defects) AS Defects, sum(Rejected) AS Rejected, sum(Passed) AS Passed, sum(DefectivePcs) AS DefectivePcs, sum(Rectified) AS Rectified FROM (
-  SELECT l.Factory AS Factory, l.Unit AS Unit, l.Line AS Line, l.Brand || ' / ' || o.Factory AS FileNo, o.Buyer AS Buyer, l.Brand AS Style, o.OrderID AS ExportOrderID, l.Day AS Day, l.Qty AS Checked, 0 AS Defects, CASE WHEN l.Flag = 'A' THEN l.Qty ELSE 0 END AS Rejected,
-         CASE WHEN l.Flag = 'N' THEN l.Qty ELSE 0 END AS Passed, CASE WHEN l.Flag <> 'N' THEN l.Qty ELSE 0 END AS DefectivePcs, CASE WHEN l.Flag <> 'N' AND l.State = 'F' THEN l.Qty ELSE 0 END AS Rectified
-  FROM b_line l INNER JOIN b_order o ON l.OrderID = o.OrderID
-  UNION ALL SELECT l.Factory, l.Unit, l.Line, l.Brand || ' / ' || o.Factory, o.Buyer, l.Brand, o.OrderID, l.Day, 0, l.Qty, 0, 0, 0, 0 FROM b_line l INNER JOIN b_order o ON l.OrderID = o.OrderID WHERE l.Flag = 'R'
-) x GROUP BY Factory, Unit, Line, FileNo, Buyer, Style, ExportOrderID, Day""", "Day"),
+SELECT l.Factory AS Factory, l.Unit AS Unit, l.Line AS Line, l.Brand || ' / ' || o.Factory AS FileNo, o.Buyer AS Buyer, l.Brand AS Style, o.OrderID AS ExportOrderID, l.Day AS Day,
+       sum(l.Qty) AS Checked, sum(CASE WHEN l.Flag = 'R' THEN l.Qty ELSE 0 END) AS Defects, sum(CASE WHEN l.Flag = 'A' THEN l.Qty ELSE 0 END) AS Rejected, sum(CASE WHEN l.Flag = 'N' THEN l.Qty ELSE 0 END) AS Passed,
+       sum(CASE WHEN l.Flag <> 'N' THEN l.Qty ELSE 0 END) AS DefectivePcs, sum(CASE WHEN l.Flag <> 'N' AND l.State = 'F' THEN l.Qty ELSE 0 END) AS Rectified
+FROM b_line l INNER JOIN b_order o ON l.OrderID = o.OrderID
+GROUP BY l.Factory, l.Unit, l.Line, l.Brand || ' / ' || o.Factory, o.Buyer, l.Brand, o.OrderID, l.Day""", "Day"),
 ]
 
 CATALOG = Catalog([*BASE, *ORDERS, *FABRIC, *STOCK, *QUALITY])

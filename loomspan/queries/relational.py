@@ -148,8 +148,11 @@ def companion_merge(spark, sf):
 
 
 def stock_moves_union(spark, sf):
-    m = _load(spark, sf).view("vw_StockMovement").groupBy("Factory", "Kind").agg(F.count("*").alias("n"), F.sum("Qty").cast("long").alias("qty"))
-    return m
+    """Receipts and issues of two views as one list, then sums."""
+    c = _load(spark, sf)
+    receipts = c.view("vw_GoodsReceipt").select("Factory", F.lit("receipt").alias("Kind"), "Qty")
+    issues = c.view("vw_StockIssue").select("Factory", F.concat(F.lit("issue "), "Cause").alias("Kind"), (-F.col("Qty")).alias("Qty"))
+    return receipts.unionByName(issues).groupBy("Factory", "Kind").agg(F.count("*").alias("n"), F.sum("Qty").cast("long").alias("qty"))
 
 
 def wip_to_date(spark, sf):
@@ -239,7 +242,7 @@ QUERIES = {
     "anti_share": (anti_share, "SELECT count(*) FILTER (WHERE u.user_id IS NULL) AS bad, count(*) AS total FROM customer LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') u ON c_custkey = user_id"),
     "correlated_scalar": (correlated_scalar, "SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS items, (SELECT max(l_extendedprice) FROM lineitem WHERE l_suppkey = s_suppkey) AS dearest FROM supplier"),
     "companion_merge": (companion_merge, _q("WITH m AS (SELECT FileNo, count(*) AS Orders, max(Factory) AS Factory FROM vw_ExportOrder WHERE Factory = 'ASIA' GROUP BY FileNo), k AS (SELECT DISTINCT FileNo FROM m ORDER BY FileNo LIMIT 200), e AS (SELECT *, row_number() OVER (PARTITION BY FileNo ORDER BY InspectionID, DefectNo, Buyer) AS rn FROM (SELECT Style || ' / ' || Factory AS FileNo, Factory, Buyer, InspectionID, DefectNo FROM vw_QCDefect) d WHERE FileNo IN (SELECT FileNo FROM k)) SELECT m.FileNo, m.Orders, m.Factory, e.Factory AS Factory2, e.InspectionID, e.DefectNo FROM m LEFT JOIN e ON m.FileNo = e.FileNo AND e.rn = 1")),
-    "stock_moves_union": (stock_moves_union, _q("SELECT Factory, Kind, count(*) AS n, CAST(sum(Qty) AS bigint) AS qty FROM vw_StockMovement GROUP BY Factory, Kind")),
+    "stock_moves_union": (stock_moves_union, _q("SELECT Factory, Kind, count(*) AS n, CAST(sum(Qty) AS bigint) AS qty FROM (SELECT Factory, 'receipt' AS Kind, Qty FROM vw_GoodsReceipt UNION ALL SELECT Factory, 'issue ' || Cause, -Qty FROM vw_StockIssue) m GROUP BY Factory, Kind")),
     "wip_to_date": (wip_to_date, _q("SELECT Factory, Style, CAST(sum(Received - Delivered) AS bigint) AS wip FROM vw_CombinationFlowDay WHERE Day < DATE '1998-01-01' GROUP BY Factory, Style")),
     "day_gaps": (day_gaps, _q("WITH d AS (SELECT DISTINCT Day FROM vw_LineDayQuality WHERE Line = 'Supplier#000000001') SELECT CAST(g AS varchar) AS day FROM (SELECT CAST(unnest(generate_series((SELECT CAST(min(Day) AS timestamp) FROM d), (SELECT CAST(max(Day) AS timestamp) FROM d), INTERVAL 1 DAY)) AS date) AS g) x WHERE g NOT IN (SELECT Day FROM d)")),
     "full_difference": (full_difference, _q("WITH a AS (SELECT DISTINCT Buyer FROM vw_ExportOrder WHERE PCD >= DATE '1996-01-01' AND PCD < DATE '1997-01-01'), b AS (SELECT DISTINCT Buyer FROM vw_ExportOrder WHERE PCD >= DATE '1997-01-01' AND PCD < DATE '1998-01-01') SELECT Buyer, 1996 AS only FROM (SELECT Buyer FROM a EXCEPT SELECT Buyer FROM b) x UNION ALL SELECT Buyer, 1997 FROM (SELECT Buyer FROM b EXCEPT SELECT Buyer FROM a) y")),
