@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, whole
+from .common import lower_ascii, whole, written
+
+#: A group with 1 / HOT of all rows or more is broadcast, HOT groups at most.
+HOT = 1000
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hash_of=F.md5) -> DataFrame:
@@ -18,6 +21,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The texts are hashed to 128 bits and aggregated by (hash, bytes), before and after one shuffle: the second key is
     what tells texts of one hash apart, so a collision makes two groups. A group of any size reaches a task as one row
     for each task that read some of it. What goes back to the documents is a row of numbers and hashes for each group.
+    A group that has a thousandth of all rows or more is one of a thousand at most; those are broadcast to the
+    documents' hashes, so no task of the other join meets more than a thousandth of the rows under one key.
     Two texts with equal 128-bit hash and equal SHA-256 but unequal bytes would end the query with an error.
 
     ``keep`` is which id stays in a group: "smallest" or "largest".
@@ -32,7 +37,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.count("*").alias("texts"), F.sum("n").alias("n"), best("stays").alias("stays"))
         .select("h", "sha", "stays", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("long")).alias("n"))
     )
-    return rows.select("id", "h", sha.alias("sha")).join(groups, ["h", "sha"]).select(
+    small, groups = written(rows.select("id", "h", sha.alias("sha"))), written(groups)
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT >= total
+    few, rest = F.broadcast(groups.where(hot)), groups.where(~hot)
+    joined = small.join(few, ["h", "sha"]).unionByName(small.join(few, ["h", "sha"], "left_anti").join(rest, ["h", "sha"]))
+    return joined.select(
         F.col("id").alias(id_col),
         F.col("stays").alias("keep_id"),
         F.col("n").alias("group_size"),
