@@ -141,16 +141,16 @@ def _graph(marked: DataFrame) -> DataFrame:
 
 
 def confident_patterns(graph: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns with enough support, after the rounds.
+    """(pattern, kind, confidence) of the patterns with enough support, after the rounds; ``graph`` is a written table.
 
-    Only patterns with enough seeds of one kind can ever be supported in the first round; their edges are kept, with
-    the edges of the values that they and others share, so each round's joins are on what the seeds reach.
+    Only patterns with enough seeds of one kind can ever be supported in the first round; their edges are kept, so each
+    round's joins are on what the seeds reach. A pattern before very many values is counted in parts, and its edges
+    come straight from the table to the join, where Spark splits a task that grows large.
     """
     seeds = graph.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= how.least_support)
-    reach = seeds.select("pattern").distinct()
-    near = graph.join(reach, "pattern", "left_semi")
-    size = near.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
-    edges = written(near.join(size, "pattern"))
+    sizes = graph.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
+    reach = written(sizes.join(seeds.select("pattern").distinct(), "pattern"))
+    edges = written(graph.join(reach, "pattern"))
     suits = F.coalesce(*[F.when((F.col("k") == kind) & _suits(kind, F.col("value")), F.lit(True)) for kind in KINDS], F.lit(False))
     scores = edges.where("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     found = None
@@ -167,7 +167,7 @@ def confident_patterns(graph: DataFrame, how: Bootstrap = Bootstrap()) -> DataFr
 def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame:
     """Per row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and new), n_new."""
     marked = written(_marked(docs, id_col, text_col))
-    patterns = confident_patterns(_graph(marked), how)
+    patterns = written(confident_patterns(written(_graph(marked)), how))
     open_ = marked.where(F.size("open") > 0).select("id", "text_hash", F.explode("open").alias("s")).select("id", "text_hash", "s.start", "s.end", "s.value", F.explode("s.patterns").alias("pattern"))
     suits = F.coalesce(*[F.when((F.col("kind") == kind) & _suits(kind, F.col("value")), F.lit(True)) for kind in KINDS], F.lit(False))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
