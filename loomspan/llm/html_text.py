@@ -5,7 +5,7 @@ occurrence vector says how often each page of the host has it; tokens of one vec
 that are large and frequent, tags among them, are the template; paths nest them. What the template leaves open are
 slots, the paths under which text stands. A text that itself is in such a class is the template's own (a menu, a
 notice) and is left out; so are slots whose elements say that they are no article (a form, a footer, an advert). Of
-the other slots, those in an article or main element are the article where the host has any, else those whose text
+the other slots, those in an article element are the article, else those in a main element, else those whose text
 isn't mostly links.
 
 The vectors are never gathered: two sums over the pages of a hash of (page, number) stand for a vector, and combine
@@ -43,7 +43,7 @@ NO_ARTICLE = frozenset("head nav footer aside form button select option svg canv
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup "
-    "sidebar side widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs toolbar masthead topbar footer comment comments respond replies disqus share sharing social related recommended recommendations trending pagination pager login search skip".split()
+    "sidebar side widget widgets adsense adsbygoogle copyright menu menus nav navbar navigation breadcrumb breadcrumbs toolbar masthead topbar footer comment comments respond replies disqus share sharing social related recommended recommendations trending pagination pager login search skip".split()
 )
 CONTENT = frozenset("article content main post entry story text body".split())
 
@@ -54,10 +54,12 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 @dataclass
 class Block:
+    """``level``: 2 inside an article element, 1 inside a main one, 0 elsewhere."""
+
     path: int
     text: str
     linked: int
-    article: bool
+    level: int
     no_article: bool
 
 
@@ -65,7 +67,7 @@ class Block:
 class _Open:
     name: str
     path: int
-    article: bool
+    level: int
     no_article: bool
 
 
@@ -79,25 +81,35 @@ def _hash(*parts: object) -> int:
     return xxhash.xxh64_intdigest("\x00".join(map(str, parts))) - (1 << 63)
 
 
-def _marked(attributes: str, inside: bool, name: str) -> bool:
-    """Whether the attributes say that an element is no part of an article."""
-    words: set[str] = set()
-    for m in _NAMED.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id"):
-            words.update(w.lower() for w in _WORD.findall(value))
-    if name in ("html", "body", "main") or words & CONTENT and not words & {"comment", "comments"}:
+def _attributes(source: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in reversed(list(_NAMED.finditer(source)))} if source else {}
+
+
+def _marked(attributes: dict[str, str], level: int, name: str) -> bool:
+    """Whether an element's attributes say that it is no part of an article.
+
+    The last word of a class or id is what it names: post-footer is a footer, article-body a body. A name that ends in
+    a word for content outweighs the others; one with comments in it never does.
+    """
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I) or attributes.get("role", "").lower() in ROLES:
+        return True
+    if name in ("html", "body", "main"):
         return False
-    return bool(words & MARKS) or not inside and "header" in words
+    mark = content = False
+    for token in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        if not words:
+            continue
+        if "comment" in words or "comments" in words:
+            return True
+        content |= words[-1] in CONTENT
+        mark |= words[-1] in MARKS or (not CONTENT.intersection(words) and bool(MARKS.intersection(words))) or (level == 0 and words[-1] == "header")
+    return mark and not content
 
 
 def read_page(source: str) -> Page:
     """Tags by path, and the blocks of text in page order. Inline elements neither end a block nor are in its path."""
-    page, stack, text, at = Page(), [_Open("", 0, False, False)], [], 0
+    page, stack, text, at = Page(), [_Open("", 0, 0, False)], [], 0
     links = linked = 0
 
     def flush() -> None:
@@ -105,7 +117,7 @@ def read_page(source: str) -> Page:
         joined = " ".join("".join(text).split())
         if joined:
             top = stack[-1]
-            page.blocks.append(Block(top.path, joined, linked, top.article, top.no_article))
+            page.blocks.append(Block(top.path, joined, linked, top.level, top.no_article))
         text.clear()
         linked = 0
 
@@ -143,13 +155,12 @@ def read_page(source: str) -> Page:
             continue
         if name in CLOSES_P and stack[-1].name == "p" or name == stack[-1].name and name in ("li", "dd", "dt", "tr", "td", "th", "option"):
             stack.pop()
-        top = stack[-1]
-        inside = top.article
-        path = _hash(top.path, name, *sorted(set(_WORD.findall(" ".join((x[2] or x[3] or x[4] or "") for x in _NAMED.finditer(attributes) if x[1].lower() == "class")))))
-        none = top.no_article or name in NO_ARTICLE or name == "header" and not inside or _marked(attributes, inside, name)
+        top, named = stack[-1], _attributes(attributes)
+        path = _hash(top.path, name, *sorted(set(_WORD.findall(named.get("class", "")))))
+        none = top.no_article or name in NO_ARTICLE or name == "header" and top.level == 0 or _marked(named, top.level, name)
         page.tags[path] += 1
         if not attributes.endswith("/"):
-            stack.append(_Open(name, path, inside or name in ("article", "main") or "role=\"main\"" in attributes, none))
+            stack.append(_Open(name, path, 2 if name == "article" else max(top.level, int(name == "main" or named.get("role", "").lower() == "main")), none))
     say(source[at:])
     flush()
     return page
@@ -185,7 +196,7 @@ def _tokens(pages: DataFrame) -> DataFrame:
 
                 def add(kind: int, token: int, times: int, block: Block | None = None, chars: int = 0, linked: int = 0) -> None:
                     v = xxhash.xxh64_intdigest(f"{key}/{times}")
-                    rows.append((host, kind, token, v & 0x7FFFFFFF, v >> 33, bool(block and block.article), bool(block and block.no_article), len(block.text.split()) if block and kind == _TEXT else 0, chars, linked))
+                    rows.append((host, kind, token, v & 0x7FFFFFFF, v >> 33, bool(block and block.level), bool(block and block.no_article), len(block.text.split()) if block and kind == _TEXT else 0, chars, linked))
 
                 add(_PAGE, 0, 1)
                 for path, n in page.tags.items():
@@ -203,7 +214,7 @@ def _tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """From (id, host, html), per host: the hashes of the template's own texts, whether an article element holds text, and the open slots."""
+    """From (id, host, html), per host: the hashes of the template's own texts, and its common slots, open and closed."""
     sums = [F.sum(c).alias(c) for c in ("v1", "v2", "chars", "linked")]
     tokens = written(_tokens(pages).groupBy("host", "kind", "token").agg(*sums, F.count("*").alias("n"), F.max("article").alias("article"), F.max("no_article").alias("no_article"), F.max("words").alias("words")).where(f"kind != {_TEXT} OR n > 1"))
     of_host = tokens.where(F.col("kind") == _PAGE).select("host", F.col("n").alias("pages"))
@@ -215,11 +226,11 @@ def templates(pages: DataFrame) -> DataFrame:
     slots = tokens.where((F.col("kind") == _SLOT) & ~F.col("no_article"))
     common = slots.join(of_host, "host").withColumn("common", F.col("n") >= COMMON_SHARE * F.col("pages"))
     listed = lambda links: F.collect_list(F.when(F.col("common") & ((F.col("linked") * 2 > F.col("chars")) == F.lit(links)), F.col("token")))
-    judged = common.groupBy("host").agg(F.max("article").alias("has_article"), listed(False).alias("open"), listed(True).alias("closed"))
+    judged = common.groupBy("host").agg(listed(False).alias("open"), listed(True).alias("closed"))
     return of_host.select("host").join(own, "host", "left").join(judged, "host", "left")
 
 
-def _extract(page: Page, own: set[int], has_article: bool, open_: set[int], closed: set[int]) -> str:
+def _extract(page: Page, own: set[int], open_: set[int], closed: set[int]) -> str:
     sums: dict[int, list[int]] = {}
     for b in page.blocks:
         slot = sums.setdefault(b.path, [0, 0])
@@ -229,9 +240,9 @@ def _extract(page: Page, own: set[int], has_article: bool, open_: set[int], clos
     def is_open(path: int) -> bool:
         return path in open_ or (path not in closed and sums[path][1] * 2 <= sums[path][0])
 
-    good = [b for b in page.blocks if not b.no_article and (b.article if has_article else is_open(b.path))]
-    if has_article and not good:  # this page of the host has none
-        good = [b for b in page.blocks if not b.no_article and is_open(b.path)]
+    good = [b for b in page.blocks if not b.no_article]
+    level = max((b.level for b in good), default=0)
+    good = [b for b in good if b.level == level and (level or is_open(b.path))]
     kept = [b for b in good if _hash(b.path, b.text) not in own]
     return " ".join(b.text for b in kept)
 
@@ -241,13 +252,13 @@ def articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col).cast("string")).alias("host"), whole(html_col).alias("html"))
     hosts = written(templates(rows))
     measured = hosts.agg(F.sum(F.length("host") + 40 + 8 * (F.coalesce(F.size("own"), F.lit(0)) + F.coalesce(F.size("open"), F.lit(0)) + F.coalesce(F.size("closed"), F.lit(0))))).first()[0] or 0
-    joined = rows.join(F.broadcast(hosts) if measured <= BROADCAST_BYTES else hosts, "host", "left").select("id", "url", "html", "own", "has_article", "open", "closed")
+    joined = rows.join(F.broadcast(hosts) if measured <= BROADCAST_BYTES else hosts, "host", "left").select("id", "url", "html", "own", "open", "closed")
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            columns = (batch.column(i).to_pylist() for i in range(2, 7))
-            texts = [_extract(read_page(h), set(own or ()), bool(has), set(open_ or ()), set(closed or ())) for h, own, has, open_, closed in zip(*columns)]
+            columns = (batch.column(i).to_pylist() for i in range(2, 6))
+            texts = [_extract(read_page(h), set(own or ()), set(open_ or ()), set(closed or ())) for h, own, open_, closed in zip(*columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)

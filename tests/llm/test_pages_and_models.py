@@ -95,6 +95,21 @@ def test_slots_of_their_own_on_each_page(spark):
     assert {r["page_id"]: r["text"] for r in html_text.articles(pages(spark, rows)).collect()} == {n: f"Text {n} of its own sort" for n in range(15)}
 
 
+@pytest.mark.parametrize(
+    "attributes,level,expected",
+    [("class='post-footer'", 2, True), ("class='article-body'", 0, False), ("class='content with-sidebar'", 0, False), ("id=main-menu", 0, True), ("class=\"ad-300x250\"", 2, True), ("class=comment-content", 2, True), ("class='page-header'", 0, True), ("class='entry-header'", 2, False), ("hidden", 2, True), ("role=navigation", 2, True), ("class=shadow", 0, False), ("style='display: none'", 0, True), ("class='reading'", 0, False), ("data-class=menu", 0, False)],
+)
+def test_marked_elements(attributes, level, expected):
+    assert html_text._marked(html_text._attributes(" " + attributes), level, "div") == expected
+
+
+def test_layouts_without_article(spark):
+    body = "<p>The story of {n}.</p><p>More of it {n}.</p>"
+    forms = ["<div id=content>{b}</div>", "<main>{b}<div class=related>Other</div></main>", "<div role='main'><section>{b}</section></div>", "<table><tr><td class=sidebar>Side</td><td>{b}</td></tr></table>"]
+    rows = [(n, f"http://only{n}.org/", f"<body><div id='header'>Site</div><ul class='menu'><li><a>x</a></ul>{form.format(b=body.format(n=n))}<div class='post-comments'><p>Nice!</div><div id=footer>end</div>") for n, form in enumerate(forms)]
+    assert {r["page_id"]: r["text"] for r in html_text.articles(pages(spark, rows)).collect()} == {n: f"The story of {n}. More of it {n}." for n in range(4)}
+
+
 def test_equal_articles_of_a_host_stay(spark):
     rows = [(n, f"http://copy.org/{n}", page("<article><p>One long story that the host shows under many addresses, word for word, to all of its readers.</p></article>", n)) for n in range(10)]
     assert {r["text"] for r in html_text.articles(pages(spark, rows)).collect()} == {"One long story that the host shows under many addresses, word for word, to all of its readers."}
