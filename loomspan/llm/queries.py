@@ -97,6 +97,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v
 """
 
+# Base 32 of the 160 bits: group i lies in the hexadecimal digits 5 i / 4 and the next.
+OP9 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) || '0' AS x FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((16 * (strpos('0123456789abcdef', substr(x, CAST(1 + 5 * i // 4 AS bigint), 1)) - 1) + strpos('0123456789abcdef', substr(x, CAST(2 + 5 * i // 4 AS bigint), 1)) - 1) >> CAST(3 - (5 * i) % 4 AS int)) & 31) AS bigint), 1)), '') AS payload_digest,
+       CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> page_id THEN f END AS refers_to
+FROM m
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4, "op10_quality_cascade": OP10}
+    return {"op9_warc": OP9, "op4_exact_dedup": OP4, "op10_quality_cascade": OP10}
