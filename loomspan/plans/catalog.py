@@ -31,7 +31,7 @@ class View:
     base: bool = False
 
     def __post_init__(self) -> None:
-        for column in (*self.keys, self.scope, *([self.fresh] if self.fresh else [])):
+        for column in (*self.keys, *([] if self.base else [self.scope]), *([self.fresh] if self.fresh else [])):
             if column not in self.kinds:
                 raise ValueError(f"{self.name}: {column} is no column")
         if unknown := set(self.kinds.values()) - KINDS:

@@ -3,7 +3,8 @@
 Stand-ins: a region is a factory, a nation a unit, a supplier a production line; an order is an export order, its
 customer the buyer, its part brand and region the file; a line item is a roll, an inspection or a movement. The bodies
 are portable SQL; what differs between engines goes through the dialect. Facts that one table holds are taken from it in
-one pass, as conditional sums, where separate tables would be padded with zeros and united.
+one pass, as conditional sums, where separate tables would be padded with zeros and united. A view joins what it shows
+and no more: Spark can't drop a left join whose columns nobody reads, since it may multiply rows.
 """
 
 from __future__ import annotations
@@ -28,12 +29,18 @@ SELECT o.o_orderkey AS OrderID, r.r_name AS Factory, n.n_name AS Unit, c.c_custk
        o.o_orderstatus AS Status, o.o_totalprice AS Value, CAST(o.o_orderdate AS date) AS PCD, o.o_orderpriority AS Priority
 FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""", base=True),
-    _view("b_line", "line item", "OrderID LineNo", "OrderID:int LineNo:int Factory:text Unit:text Line:text LineID:int ItemID:int Item:text Brand:text Type:text Qty:decimal Price:decimal Discount:decimal Tax:decimal Flag:text State:text Day:date", """
+    _view("b_work", "line item", "OrderID LineNo", "OrderID:int LineNo:int Factory:text Unit:text Line:text LineID:int ItemID:int Qty:decimal Price:decimal Discount:decimal Tax:decimal Flag:text State:text Day:date", """
 SELECT l.l_orderkey AS OrderID, l.l_linenumber AS LineNo, r.r_name AS Factory, n.n_name AS Unit, s.s_name AS Line, s.s_suppkey AS LineID,
-       l.l_partkey AS ItemID, p.p_name AS Item, p.p_brand AS Brand, p.p_type AS Type, l.l_quantity AS Qty, l.l_extendedprice AS Price,
-       l.l_discount AS Discount, l.l_tax AS Tax, l.l_returnflag AS Flag, l.l_linestatus AS State, CAST(l.l_shipdate AS date) AS Day
+       l.l_partkey AS ItemID, l.l_quantity AS Qty, l.l_extendedprice AS Price, l.l_discount AS Discount, l.l_tax AS Tax,
+       l.l_returnflag AS Flag, l.l_linestatus AS State, CAST(l.l_shipdate AS date) AS Day
 FROM lineitem l LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
-LEFT JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN part p ON l.l_partkey = p.p_partkey""", base=True),
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""", base=True),
+    _view("b_line", "line item with its part", "OrderID LineNo", "OrderID:int LineNo:int Factory:text Unit:text Line:text LineID:int ItemID:int Item:text Brand:text Type:text Qty:decimal Price:decimal Discount:decimal Tax:decimal Flag:text State:text Day:date", """
+SELECT w.OrderID AS OrderID, w.LineNo AS LineNo, w.Factory AS Factory, w.Unit AS Unit, w.Line AS Line, w.LineID AS LineID, w.ItemID AS ItemID,
+       p.p_name AS Item, p.p_brand AS Brand, p.p_type AS Type, w.Qty AS Qty, w.Price AS Price, w.Discount AS Discount, w.Tax AS Tax, w.Flag AS Flag, w.State AS State, w.Day AS Day
+FROM b_work w LEFT JOIN part p ON w.ItemID = p.p_partkey""", base=True),
+    _view("b_pieces", "order", "OrderID", "OrderID:int Pieces:decimal LastShip:date", """
+SELECT l_orderkey AS OrderID, sum(l_quantity) AS Pieces, CAST(max(l_shipdate) AS date) AS LastShip FROM lineitem GROUP BY l_orderkey""", base=True),
     _view("b_shipment", "order", "OrderID", "OrderID:int Factory:text Pieces:decimal FirstShip:date LastShip:date Items:int Style:text", """
 SELECT OrderID, max(Factory) AS Factory, sum(Qty) AS Pieces, min(Day) AS FirstShip, max(Day) AS LastShip, count(*) AS Items, max(Brand) AS Style
 FROM b_line GROUP BY OrderID""", base=True),
@@ -65,19 +72,19 @@ FROM b_order o WHERE o.Status = 'P'""", "CancelledOn"),
 SELECT o.OrderID AS LCNo, o.Factory AS Factory, o.Buyer AS Buyer, coalesce(a.Price, o.Value) AS Amount, {d.plus("coalesce(a.Day, o.PCD)", 90)} AS Expiry, a.LineNo AS AmendmentNo, a.Day AS Amended
 FROM b_order o LEFT JOIN (
   SELECT OrderID, LineNo, Day, Price FROM (
-    SELECT OrderID, LineNo, Day, Price, row_number() OVER (PARTITION BY OrderID ORDER BY Day DESC, LineNo DESC, Price DESC) AS rn FROM b_line
+    SELECT OrderID, LineNo, Day, Price, row_number() OVER (PARTITION BY OrderID ORDER BY Day DESC, LineNo DESC, Price DESC) AS rn FROM b_work
   ) x WHERE rn = 1
 ) a ON o.OrderID = a.OrderID
 WHERE o.Value > 100000""", "Expiry"),
     _view("vw_BackToBackLC", "back-to-back letter of credit", "BBLCNo", "BBLCNo:text Factory:text Supplier:text Amount:decimal Expiry:date Closed:text", lambda d: f"""
 SELECT CAST(OrderID AS varchar(20)) || '-' || CAST(LineNo AS varchar(5)) AS BBLCNo, Factory, Line AS Supplier, Price AS Amount, {d.plus("Day", 60)} AS Expiry,
        CASE WHEN coalesce(State, 'O') = 'F' THEN 'closed' ELSE 'open' END AS Closed
-FROM b_line WHERE Price > 40000""", "Expiry"),
+FROM b_work WHERE Price > 40000""", "Expiry"),
     _view("vw_OrderShipment", "order", "ExportOrderID", "ExportOrderID:int Factory:text Buyer:text OrderQty:decimal ShippedQty:decimal Invoices:int ShipDate:date FirstInvoice:date Late:int", lambda d: f"""
 SELECT o.OrderID AS ExportOrderID, o.Factory AS Factory, o.Buyer AS Buyer, s.Pieces AS OrderQty, i.Shipped AS ShippedQty, coalesce(i.Invoices, 0) AS Invoices,
        {d.plus("o.PCD", 60)} AS ShipDate, i.FirstInvoice AS FirstInvoice, CASE WHEN i.FirstInvoice IS NULL AND {d.plus("o.PCD", 60)} < {TODAY} THEN 1 ELSE 0 END AS Late
-FROM b_order o LEFT JOIN b_shipment s ON o.OrderID = s.OrderID
-LEFT JOIN (SELECT OrderID, sum(Qty) AS Shipped, count(*) AS Invoices, min(Day) AS FirstInvoice FROM b_line WHERE State = 'F' GROUP BY OrderID) i ON o.OrderID = i.OrderID""", "ShipDate"),
+FROM b_order o LEFT JOIN b_pieces s ON o.OrderID = s.OrderID
+LEFT JOIN (SELECT OrderID, sum(Qty) AS Shipped, count(*) AS Invoices, min(Day) AS FirstInvoice FROM b_work WHERE State = 'F' GROUP BY OrderID) i ON o.OrderID = i.OrderID""", "ShipDate"),
 ]
 
 FABRIC = [
@@ -85,20 +92,20 @@ FABRIC = [
 SELECT OrderID AS MeetingID, Factory, Buyer, {d.plus("PCD", -7)} AS MeetingDate, CASE Priority WHEN '1-URGENT' THEN 'urgent' ELSE 'planned' END AS State FROM b_order""", "MeetingDate"),
     _view("vw_PPMMeetingReschedule", "reschedule", "MeetingID RescheduleNo", "MeetingID:int RescheduleNo:int Factory:text NewDate:date Reason:text", """
 SELECT l.OrderID AS MeetingID, l.LineNo AS RescheduleNo, m.Factory AS Factory, l.Day AS NewDate, CASE l.Flag WHEN 'R' THEN 'buyer' WHEN 'A' THEN 'factory' ELSE 'none' END AS Reason
-FROM b_line l LEFT JOIN vw_PPMMeeting m ON l.OrderID = m.MeetingID WHERE l.LineNo > 1""", "NewDate"),
+FROM b_work l LEFT JOIN vw_PPMMeeting m ON l.OrderID = m.MeetingID WHERE l.LineNo > 1""", "NewDate"),
     _view("vw_PPMDepartmentChecklist", "meeting and department", "MeetingID Department", "MeetingID:int Department:text Factory:text Done:int", """
 SELECT l.OrderID AS MeetingID, l.Brand AS Department, max(m.Factory) AS Factory, max(CASE WHEN l.State = 'F' THEN 1 ELSE 0 END) AS Done
 FROM b_line l LEFT JOIN vw_PPMMeeting m ON l.OrderID = m.MeetingID GROUP BY l.OrderID, l.Brand"""),
     _view("vw_FabricReceipt", "goods receipt", "GR", "GR:int Factory:text Buyer:text Rolls:int Yards:decimal ReceivedOn:date", """
 SELECT l.OrderID AS GR, max(l.Factory) AS Factory, max(o.Buyer) AS Buyer, count(*) AS Rolls, sum(l.Qty) AS Yards, max(l.Day) AS ReceivedOn
-FROM b_line l LEFT JOIN b_order o ON l.OrderID = o.OrderID GROUP BY l.OrderID""", "ReceivedOn"),
+FROM b_work l LEFT JOIN b_order o ON l.OrderID = o.OrderID GROUP BY l.OrderID""", "ReceivedOn"),
     _view("vw_FabricRoll", "roll", "GR RollNo", "GR:int RollNo:int Factory:text Buyer:text FileNo:text Color:text Bowing:decimal Shrinkage:decimal Shade:text Width:decimal CutOn:date", """
 SELECT l.OrderID AS GR, l.LineNo AS RollNo, l.Factory AS Factory, o.Buyer AS Buyer, l.Brand || ' / ' || o.Factory AS FileNo, l.Type AS Color, round(l.Discount * 100, 2) AS Bowing,
        CASE WHEN l.Tax > 0.06 THEN -round(l.Tax * 100, 2) ELSE round(l.Tax * 100, 2) END AS Shrinkage, l.Flag AS Shade, l.Qty AS Width, l.Day AS CutOn
 FROM b_line l LEFT JOIN b_order o ON l.OrderID = o.OrderID""", "CutOn"),
     _view("vw_FabricVisualInspection", "inspection", "GR", "GR:int Factory:text Buyer:text Points:decimal Rolls:int Result:text InspectedOn:date", """
 SELECT g.GR AS GR, g.Factory AS Factory, g.Buyer AS Buyer, coalesce(c.Points, 0) AS Points, coalesce(c.Rolls, 0) AS Rolls, CASE WHEN coalesce(c.Points, 0) > 60 THEN 'Fail' ELSE 'Pass' END AS Result, g.ReceivedOn AS InspectedOn
-FROM vw_FabricReceipt g LEFT JOIN (SELECT OrderID, sum(CASE WHEN Flag = 'R' THEN Qty ELSE 0 END) AS Points, count(*) AS Rolls FROM b_line GROUP BY OrderID) c ON g.GR = c.OrderID""", "InspectedOn"),
+FROM vw_FabricReceipt g LEFT JOIN (SELECT OrderID, sum(CASE WHEN Flag = 'R' THEN Qty ELSE 0 END) AS Points, count(*) AS Rolls FROM b_work GROUP BY OrderID) c ON g.GR = c.OrderID""", "InspectedOn"),
     _view("vw_FabricYarnCount", "yarn test", "GR TestNo", "GR:int TestNo:int Factory:text Buyer:text FileNo:text Count:decimal Result:text TestedOn:date", lambda d: f"""
 SELECT GR, RollNo AS TestNo, Factory, Buyer, FileNo, Width AS Count, CASE WHEN Width > 45 THEN 'high' ELSE 'normal' END AS Result, {d.plus("CutOn", 1)} AS TestedOn FROM vw_FabricRoll WHERE RollNo = 1""", "TestedOn"),
     _view("vw_FabricGSMTest", "weight test", "GR", "GR:int Factory:text Buyer:text FileNo:text Samples:int AvgGSM:decimal MinGSM:decimal MaxGSM:decimal TestedOn:date", lambda d: f"""
@@ -116,7 +123,7 @@ SELECT l.Factory AS Factory, l.Line AS Line, {d.plus("l.Day", 0)} AS DetectedOn,
 FROM b_line l LEFT JOIN b_order o ON l.OrderID = o.OrderID WHERE l.LineNo = 2 GROUP BY l.Factory, l.Line, l.Day""", "DetectedOn"),
     _view("vw_NickelTest", "nickel test", "GR", "GR:int Factory:text Buyer:text FileNo:text Samples:int Failed:int TestedOn:date", """
 SELECT g.GR AS GR, g.Factory AS Factory, g.Buyer AS Buyer, g.Buyer || '!' AS FileNo, coalesce(c.Samples, 0) AS Samples, coalesce(c.Failed, 0) AS Failed, g.ReceivedOn AS TestedOn
-FROM vw_FabricReceipt g LEFT JOIN (SELECT OrderID, count(*) AS Samples, CAST(sum(CASE WHEN Flag = 'A' THEN 1 ELSE 0 END) AS bigint) AS Failed FROM b_line WHERE Qty > 25 GROUP BY OrderID) c ON g.GR = c.OrderID""", "TestedOn"),
+FROM vw_FabricReceipt g LEFT JOIN (SELECT OrderID, count(*) AS Samples, CAST(sum(CASE WHEN Flag = 'A' THEN 1 ELSE 0 END) AS bigint) AS Failed FROM b_work WHERE Qty > 25 GROUP BY OrderID) c ON g.GR = c.OrderID""", "TestedOn"),
     _view("vw_LotApproval", "lot", "GR Color", "GR:int Color:text Factory:text Approved:text ApprovedOn:date", """
 SELECT GR, Color, max(Factory) AS Factory, CASE WHEN min(Shade) = max(Shade) THEN 'yes' ELSE 'no' END AS Approved, max(CutOn) AS ApprovedOn FROM vw_FabricRoll GROUP BY GR, Color""", "ApprovedOn"),
 ]
@@ -144,24 +151,24 @@ SELECT n.n_name AS Store, r.r_name AS Factory, n.n_nationkey AS StoreID FROM nat
     _view("vw_Company", "company", "Factory", "Factory:text CompanyID:int Short:text", """
 SELECT r_name AS Factory, r_regionkey AS CompanyID, CASE WHEN r_name LIKE 'A%' THEN 'A-group' ELSE substring(r_name, 1, 2) END AS Short FROM region"""),
     _view("vw_LineDailyOutput", "line and day", "Factory Line Day", "Factory:text Line:text Day:date Output:decimal Target:decimal Code:text", """
-SELECT Factory, Line, Day, sum(Qty) AS Output, 30 * count(*) AS Target, CASE WHEN max(Factory) LIKE 'AS%' THEN 'ASI' WHEN max(Factory) LIKE 'AM%' THEN 'AME' ELSE 'OTH' END AS Code FROM b_line GROUP BY Factory, Line, Day""", "Day"),
+SELECT Factory, Line, Day, sum(Qty) AS Output, 30 * count(*) AS Target, CASE WHEN max(Factory) LIKE 'AS%' THEN 'ASI' WHEN max(Factory) LIKE 'AM%' THEN 'AME' ELSE 'OTH' END AS Code FROM b_work GROUP BY Factory, Line, Day""", "Day"),
 ]
 
 QUALITY = [
     _view("vw_LineDayQuality", "line and day", "Factory Unit Line Day", "Factory:text Unit:text Line:text Day:date Checked:decimal Defects:decimal Rejected:decimal Rectified:decimal Events:int", """
 SELECT Factory, Unit, Line, Day, sum(Qty) AS Checked, sum(CASE WHEN Flag = 'R' THEN Qty ELSE 0 END) AS Defects, sum(CASE WHEN Flag = 'A' THEN Qty ELSE 0 END) AS Rejected,
        sum(CASE WHEN State = 'F' THEN Qty ELSE 0 END) AS Rectified, count(*) AS Events
-FROM b_line WHERE Line IS NOT NULL GROUP BY Factory, Unit, Line, Day""", "Day"),
+FROM b_work WHERE Line IS NOT NULL GROUP BY Factory, Unit, Line, Day""", "Day"),
     _view("vw_QCDefect", "defect", "InspectionID DefectNo", "InspectionID:int DefectNo:int Factory:text Line:text Buyer:text Style:text Defect:text Category:text Stage:text Qty:decimal Day:date", """
 SELECT l.OrderID AS InspectionID, l.LineNo AS DefectNo, l.Factory AS Factory, l.Line AS Line, o.Buyer AS Buyer, l.Brand AS Style, l.Type AS Defect, CASE WHEN l.Qty > 25 THEN 'major' ELSE 'minor' END AS Category, o.Priority AS Stage, l.Qty AS Qty, l.Day AS Day
 FROM b_line l INNER JOIN b_order o ON l.OrderID = o.OrderID WHERE l.Flag = 'R'""", "Day"),
     _view("vw_QCStageDay", "stage and day", "Factory Stage Day", "Factory:text Stage:text Day:date Checked:decimal Passed:decimal", """
 SELECT l.Factory AS Factory, coalesce(o.Priority, '?') AS Stage, l.Day AS Day, sum(l.Qty) AS Checked, sum(CASE WHEN l.Flag = 'N' THEN l.Qty ELSE 0 END) AS Passed
-FROM b_line l LEFT JOIN b_order o ON l.OrderID = o.OrderID GROUP BY l.Factory, coalesce(o.Priority, '?'), l.Day""", "Day"),
+FROM b_work l LEFT JOIN b_order o ON l.OrderID = o.OrderID GROUP BY l.Factory, coalesce(o.Priority, '?'), l.Day""", "Day"),
     _view("vw_CorrectiveAction", "action", "ActionID", "ActionID:text Factory:text Buyer:text Defect:text Status:text RaisedOn:date", """
 SELECT CAST(InspectionID AS varchar(20)) || '/' || CAST(DefectNo AS varchar(5)) AS ActionID, Factory, Buyer, Defect, CASE WHEN Category = 'major' THEN 'open' ELSE 'closed' END AS Status, Day AS RaisedOn FROM vw_QCDefect""", "RaisedOn"),
     _view("vw_CuttingDaily", "buyer and day", "Factory Buyer Day", "Factory:text Buyer:text Day:date Cut:decimal", """
-SELECT l.Factory AS Factory, o.Buyer AS Buyer, l.Day AS Day, sum(l.Qty) AS Cut FROM b_line l INNER JOIN b_order o ON l.OrderID = o.OrderID WHERE l.State = 'F' GROUP BY l.Factory, o.Buyer, l.Day""", "Day"),
+SELECT l.Factory AS Factory, o.Buyer AS Buyer, l.Day AS Day, sum(l.Qty) AS Cut FROM b_work l INNER JOIN b_order o ON l.OrderID = o.OrderID WHERE l.State = 'F' GROUP BY l.Factory, o.Buyer, l.Day""", "Day"),
     _view("vw_QCTarget", "factory and setting", "Factory Setting", "Factory:text Setting:text Target:decimal", """
 SELECT r.r_name AS Factory, t.Setting AS Setting, t.Target AS Target FROM region r CROSS JOIN (SELECT 'DHU' AS Setting, 24.0 AS Target UNION ALL SELECT 'Reject' AS Setting, 26.0 AS Target) t"""),
     _view("vw_PlanDay", "plan", "PlanID", "PlanID:text Factory:text Unit:text Line:text Buyer:text Style:text Day:date Target:decimal", """
@@ -171,8 +178,8 @@ FROM b_line l LEFT JOIN b_order o ON l.OrderID = o.OrderID WHERE l.State = 'F' O
 SELECT Factory, Line, coalesce(Brand, '?') AS Style, Day, sum(CASE WHEN Flag <> 'A' THEN Qty ELSE 0 END) AS Output FROM b_line GROUP BY Factory, Line, coalesce(Brand, '?'), Day""", "Day"),
     _view("vw_LineDayManHours", "line and day", "Factory Line Day", "Factory:text Line:text Day:date Workers:int Minutes:int", """
 SELECT p.Factory AS Factory, p.Line AS Line, p.Day AS Day, coalesce(a.LineNo, 1) * 10 AS Workers, coalesce(a.LineNo, 1) * 10 * 480 AS Minutes
-FROM (SELECT Factory, Line, Day, max(OrderID) AS LastOrder FROM b_line GROUP BY Factory, Line, Day) p
-LEFT JOIN (SELECT OrderID, LineNo FROM (SELECT OrderID, LineNo, row_number() OVER (PARTITION BY OrderID ORDER BY Day DESC, LineNo DESC) AS rn FROM b_line) x WHERE rn = 1) a ON p.LastOrder = a.OrderID""", "Day"),
+FROM (SELECT Factory, Line, Day, max(OrderID) AS LastOrder FROM b_work GROUP BY Factory, Line, Day) p
+LEFT JOIN (SELECT OrderID, LineNo FROM (SELECT OrderID, LineNo, row_number() OVER (PARTITION BY OrderID ORDER BY Day DESC, LineNo DESC) AS rn FROM b_work) x WHERE rn = 1) a ON p.LastOrder = a.OrderID""", "Day"),
     _view("vw_CombinationFlowDay", "line, style and day", "Factory Line Style Day", "Factory:text Line:text Style:text Day:date Received:decimal Delivered:decimal", """
 SELECT Factory, Line, Brand AS Style, Day, sum(CASE WHEN State = 'F' THEN Qty ELSE 0 END) AS Received, sum(CASE WHEN State = 'O' THEN Qty ELSE 0 END) AS Delivered
 FROM b_line WHERE State IN ('F', 'O') GROUP BY Factory, Line, Brand, Day""", "Day"),
