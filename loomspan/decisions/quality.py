@@ -87,27 +87,27 @@ CHECKS = [
     Check("line_output_fresh", "freshness", 2, _fresh("vw_LineDailyOutput", "Day")),
     Check("line_rows_without_target", "share", 0.2, _share("coalesce(Target, 0) < 31", "vw_LineDailyOutput WHERE Day >= (SELECT max(Day) FROM vw_LineDailyOutput) - 30")),
     Check("line_targets_above_100_percent", "count", None, "SELECT count(*) AS n FROM vw_LineDailyOutput WHERE Output > Target AND Day >= (SELECT max(Day) FROM vw_LineDailyOutput) - 7"),
-    Check("bimob_hourly_line_fresh", "freshness", 2, _fresh("vw_PlanOutputDay", "Day")),
-    Check("hrms_attendance_fresh", "freshness", 2, "SELECT max(CAST(ts AS date)) AS last_date FROM events"),
-    Check("hrms_punches_fresh", "freshness", 2, "SELECT max(CAST(ts AS date)) AS last_date FROM events WHERE event_type = 'click'"),
-    Check("hwatt_punches_fresh", "freshness", 2, "SELECT max(CAST(ts AS date)) AS last_date FROM events WHERE event_type = 'view'"),
-    Check("hrms_overtime_fresh", "freshness", 2, "SELECT max(CAST(ts AS date)) AS last_date FROM events WHERE value > 50"),
-    Check("hrms_active_staff_without_attendance", "share", 0.05, f"SELECT sum(CASE WHEN p.user_id IS NULL THEN 1 ELSE 0 END) AS bad, count(*) AS total FROM customer c LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE CAST(ts AS date) = ({DAY_OF_EVENTS})) p ON c.c_custkey = p.user_id"),
-    Check("hrms_unknown_day_status", "count", None, f"SELECT count(*) AS n FROM events WHERE CAST(ts AS date) = ({DAY_OF_EVENTS}) AND event_type NOT IN ('click', 'view')"),
-    Check("hrms_overtime_barely_recorded", "share", 0.5, f"SELECT sum(CASE WHEN o.user_id IS NULL THEN 1 ELSE 0 END) AS bad, count(*) AS total FROM (SELECT DISTINCT user_id FROM events WHERE CAST(ts AS date) = ({DAY_OF_EVENTS}) AND user_id IN (SELECT c_custkey FROM customer)) d LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE value > 90) o ON d.user_id = o.user_id"),
-    Check("hrms_attendance_covers_the_group", "share", 0.2, f"SELECT sum(CASE WHEN e.Factory IS NULL THEN 1 ELSE 0 END) AS bad, count(*) AS total FROM vw_Company m LEFT JOIN (SELECT DISTINCT r.r_name AS Factory FROM events v INNER JOIN customer c ON v.user_id = c.c_custkey INNER JOIN nation n ON c.c_nationkey = n.n_nationkey INNER JOIN region r ON n.n_regionkey = r.r_regionkey WHERE CAST(v.ts AS date) = ({DAY_OF_EVENTS})) e ON m.Factory = e.Factory"),
-    Check("hrms_salary_month_fresh", "freshness", 70, _fresh("vw_CuttingDaily", "Day")),
+    Check("hourly_line_fresh", "freshness", 2, _fresh("vw_PlanOutputDay", "Day")),
+    Check("hr_attendance_fresh", "freshness", 2, "SELECT max(CAST(ts AS date)) AS last_date FROM events"),
+    Check("hr_punches_fresh", "freshness", 2, "SELECT max(CAST(ts AS date)) AS last_date FROM events WHERE event_type = 'click'"),
+    Check("gate_punches_fresh", "freshness", 2, "SELECT max(CAST(ts AS date)) AS last_date FROM events WHERE event_type = 'view'"),
+    Check("hr_overtime_fresh", "freshness", 2, "SELECT max(CAST(ts AS date)) AS last_date FROM events WHERE value > 50"),
+    Check("hr_active_staff_without_attendance", "share", 0.05, f"SELECT sum(CASE WHEN p.user_id IS NULL THEN 1 ELSE 0 END) AS bad, count(*) AS total FROM customer c LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE CAST(ts AS date) = ({DAY_OF_EVENTS})) p ON c.c_custkey = p.user_id"),
+    Check("hr_unknown_day_status", "count", None, f"SELECT count(*) AS n FROM events WHERE CAST(ts AS date) = ({DAY_OF_EVENTS}) AND event_type NOT IN ('click', 'view')"),
+    Check("hr_overtime_barely_recorded", "share", 0.5, f"SELECT sum(CASE WHEN o.user_id IS NULL THEN 1 ELSE 0 END) AS bad, count(*) AS total FROM (SELECT DISTINCT user_id FROM events WHERE CAST(ts AS date) = ({DAY_OF_EVENTS}) AND user_id IN (SELECT c_custkey FROM customer)) d LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE value > 90) o ON d.user_id = o.user_id"),
+    Check("hr_attendance_covers_the_group", "share", 0.2, f"SELECT sum(CASE WHEN e.Factory IS NULL THEN 1 ELSE 0 END) AS bad, count(*) AS total FROM vw_Company m LEFT JOIN (SELECT DISTINCT r.r_name AS Factory FROM events v INNER JOIN customer c ON v.user_id = c.c_custkey INNER JOIN nation n ON c.c_nationkey = n.n_nationkey INNER JOIN region r ON n.n_regionkey = r.r_regionkey WHERE CAST(v.ts AS date) = ({DAY_OF_EVENTS})) e ON m.Factory = e.Factory"),
+    Check("hr_salary_month_fresh", "freshness", 70, _fresh("vw_CuttingDaily", "Day")),
     Check("visitor_dates_missing", "share", 0.05, _share("FirstInvoice IS NULL", "vw_OrderShipment WHERE ShipDate >= DATE '1999-06-30'")),
-    Check("vistaq_inspections_fresh", "freshness", 2, _fresh("vw_LineDayQuality", "Day")),
-    Check("vistaq_defects_fresh", "freshness", 2, _fresh("vw_QCDefect", "Day")),
-    Check("vistaq_factory_coverage", "share", 0, "SELECT sum(CASE WHEN x.n < y.most / 2 THEN 1 ELSE 0 END) AS bad, count(*) AS total FROM (SELECT Factory, count(*) AS n FROM vw_LineDayQuality WHERE Day >= (SELECT max(Day) FROM vw_LineDayQuality) - 30 AND Factory IN (SELECT Factory FROM vw_Company) GROUP BY Factory) x CROSS JOIN (SELECT max(c) AS most FROM (SELECT count(*) AS c FROM vw_LineDayQuality WHERE Day >= (SELECT max(Day) FROM vw_LineDayQuality) - 30 GROUP BY Factory) z) y"),
-    Check("vistaq_summary_job_lag", "count", 2, "SELECT CASE WHEN (SELECT max(Day) FROM vw_LineDayQuality) > (SELECT max(Day) FROM vw_LineDailyOutput) THEN 1 ELSE 0 END AS n"),
-    Check("vistaq_targets_sane", "count", 0, "SELECT count(*) AS n FROM vw_QCTarget WHERE coalesce(Target, 0) <= 0 OR Target > 100"),
-    Check("vistaq_inspections_without_a_file", "share", 0.05, "SELECT sum(CASE WHEN f.FileNo IS NULL THEN 1 ELSE 0 END) AS bad, count(*) AS total FROM vw_PlanQualityDay q LEFT JOIN vw_FileRef f ON q.FileNo = f.FileNo WHERE q.Day >= (SELECT max(Day) FROM vw_PlanQualityDay) - 90"),
-    Check("ppc_head_cutting_fresh", "freshness", 3, _fresh("vw_FabricRoll", "CutOn")),
-    Check("ppc_fabric_receipts_fresh", "freshness", 3, _fresh("vw_FabricReceipt", "ReceivedOn")),
-    Check("ppc_visual_inspection_fresh", "freshness", 3, _fresh("vw_FabricVisualInspection", "InspectedOn")),
-    Check("ppc_trims_inspection_fresh", "freshness", 3, _fresh("vw_TrimsInspection", "InspectedOn", "WHERE InspectedOn < DATE '2000-06-30'")),
+    Check("qc_inspections_fresh", "freshness", 2, _fresh("vw_LineDayQuality", "Day")),
+    Check("qc_defects_fresh", "freshness", 2, _fresh("vw_QCDefect", "Day")),
+    Check("qc_factory_coverage", "share", 0, "SELECT sum(CASE WHEN x.n < y.most / 2 THEN 1 ELSE 0 END) AS bad, count(*) AS total FROM (SELECT Factory, count(*) AS n FROM vw_LineDayQuality WHERE Day >= (SELECT max(Day) FROM vw_LineDayQuality) - 30 AND Factory IN (SELECT Factory FROM vw_Company) GROUP BY Factory) x CROSS JOIN (SELECT max(c) AS most FROM (SELECT count(*) AS c FROM vw_LineDayQuality WHERE Day >= (SELECT max(Day) FROM vw_LineDayQuality) - 30 GROUP BY Factory) z) y"),
+    Check("qc_summary_job_lag", "count", 2, "SELECT CASE WHEN (SELECT max(Day) FROM vw_LineDayQuality) > (SELECT max(Day) FROM vw_LineDailyOutput) THEN 1 ELSE 0 END AS n"),
+    Check("qc_targets_sane", "count", 0, "SELECT count(*) AS n FROM vw_QCTarget WHERE coalesce(Target, 0) <= 0 OR Target > 100"),
+    Check("qc_inspections_without_a_file", "share", 0.05, "SELECT sum(CASE WHEN f.FileNo IS NULL THEN 1 ELSE 0 END) AS bad, count(*) AS total FROM vw_PlanQualityDay q LEFT JOIN vw_FileRef f ON q.FileNo = f.FileNo WHERE q.Day >= (SELECT max(Day) FROM vw_PlanQualityDay) - 90"),
+    Check("prep_head_cutting_fresh", "freshness", 3, _fresh("vw_FabricRoll", "CutOn")),
+    Check("prep_fabric_receipts_fresh", "freshness", 3, _fresh("vw_FabricReceipt", "ReceivedOn")),
+    Check("prep_visual_inspection_fresh", "freshness", 3, _fresh("vw_FabricVisualInspection", "InspectedOn")),
+    Check("prep_trims_inspection_fresh", "freshness", 3, _fresh("vw_TrimsInspection", "InspectedOn", "WHERE InspectedOn < DATE '2000-06-30'")),
 ]
 
 

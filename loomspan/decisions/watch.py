@@ -48,7 +48,7 @@ RULES = [
     WatchRule("line_data_age", "SELECT Factory, CAST({days} AS double) AS value FROM (SELECT Factory, max(Day) AS newest FROM vw_LineDailyOutput WHERE Day < DATE '2000-06-30' GROUP BY Factory) x", 2, 7, kind="data"),
     WatchRule("dhu_today", "SELECT Factory, round(100.0 * sum(Defects) / nullif(sum(Checked), 0), 2) AS value FROM vw_LineDayQuality WHERE Day = DATE '2000-06-30' GROUP BY Factory", 25, 45, weight=3, label="quality"),
     WatchRule("reject_rate_today", "SELECT Factory, round(100.0 * sum(Rejected) / nullif(sum(Checked), 0), 2) AS value FROM vw_LineDayQuality WHERE Day = DATE '2000-06-30' GROUP BY Factory", 25, 45, weight=2, label="quality"),
-    WatchRule("vistaq_data_age", "SELECT Factory, CAST({days} AS double) AS value FROM (SELECT Factory, max(Day) AS newest FROM vw_LineDayQuality WHERE Day < DATE '2000-06-30' GROUP BY Factory) x", 2, 7, kind="data"),
+    WatchRule("qc_data_age", "SELECT Factory, CAST({days} AS double) AS value FROM (SELECT Factory, max(Day) AS newest FROM vw_LineDayQuality WHERE Day < DATE '2000-06-30' GROUP BY Factory) x", 2, 7, kind="data"),
 ]
 
 

@@ -19,7 +19,7 @@ SPECS: dict[str, tuple[str, Callable[[Loaded], DataFrame]]] = {
     "values_item_categories": ("name", lambda c: c.view("vw_Item").select(F.col("Category").alias("name")).distinct()),
     "values_store_groups": ("name", lambda c: c.view("vw_Item").select(F.col("ItemGroup").alias("name")).distinct()),
     "values_issue_causes": ("name", lambda c: c.view("vw_StockIssue").groupBy(F.col("Cause").alias("name")).agg(F.count("*").alias("n"))),
-    "values_ppc_buyers": ("code", lambda c: c.view("b_order").groupBy(F.col("BuyerID").cast("string").alias("code")).agg(F.max("Buyer").alias("name")).where(F.length("name") > 2)),
+    "values_prep_buyers": ("code", lambda c: c.view("b_order").groupBy(F.col("BuyerID").cast("string").alias("code")).agg(F.max("Buyer").alias("name")).where(F.length("name") > 2)),
 }
 
 SQL = {
@@ -30,7 +30,7 @@ SQL = {
     "values_item_categories": "SELECT DISTINCT Category AS name FROM vw_Item",
     "values_store_groups": "SELECT DISTINCT ItemGroup AS name FROM vw_Item",
     "values_issue_causes": "SELECT Cause AS name, count(*) AS n FROM vw_StockIssue GROUP BY Cause",
-    "values_ppc_buyers": "SELECT CAST(BuyerID AS varchar) AS code, max(Buyer) AS name FROM b_order GROUP BY BuyerID HAVING length(max(Buyer)) > 2",
+    "values_prep_buyers": "SELECT CAST(BuyerID AS varchar) AS code, max(Buyer) AS name FROM b_order GROUP BY BuyerID HAVING length(max(Buyer)) > 2",
 }
 
 
