@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import let, written
 
-#: At most so many labelled urls train the trees, those of the smallest hashes.
+#: At most so many distinct labelled urls train the trees, chosen by their hashes.
 SAMPLE_ROWS = 20_000
 
 
@@ -104,7 +104,8 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
     rows = rows.withColumns({"rule": fitting(rules, F.col("host"), F.col("path")), "ruled": fitting(rules, F.col("host"), F.col("path"), lambda r: r.verdict)})
     labelled = rows.where("ruled IS NOT NULL").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
-    sample = labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(sample_rows)
+    share = max(1, labelled.count() // (20 * sample_rows))  # of very many labelled urls only so many are made distinct
+    sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(share)) == 0).distinct().orderBy(F.xxhash64("url"), "url").limit(sample_rows)
     train = written(features(sample).coalesce(1))
     kinds = [r["label"] for r in train.select("label").distinct().collect()]
     if len(kinds) < 2:
