@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share: spark.checkpoint.dir, or where it is unset a folder of ours."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        local = spark.sparkContext.master.startswith("local")
+        local = spark.sparkContext.master.partition("[")[0] == "local"
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
     return f"{base.rstrip('/')}/loomspan-{uuid.uuid4().hex}"
 
