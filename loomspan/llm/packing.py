@@ -12,6 +12,9 @@ packed as often as it occurs; an empty table gives no rows; further columns are
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import zlib
 from array import array
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 from .common import whole, written
 
 CAPACITY = 2048
-_CACHED, _AT_ONCE = 600_000, 1000
+_CACHED, _AT_ONCE = 800_000, 500
 _KNOWN: dict[str, tuple[object, dict[bytes, bytes]]] = {}
 
 #: Some bins of equal content: how many, and the (length, how many of it) in them.
@@ -66,6 +69,15 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     return [b"".join(map(look.__getitem__, words)) for words in split]
 
 
+def forget() -> None:
+    """Gives back what a worker keeps of words, once no more texts come."""
+    if _KNOWN:
+        _KNOWN.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32 and if asked for ids) for each piece; only longer documents are cut."""
     kind = docs.schema[id_col].dataType
@@ -210,6 +222,7 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     keys = table[:, 0] * wide + table[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("length", "rank"))
             row = table[np.searchsorted(keys, length * wide + rank, side="right") - 1] if len(rank) else table[:0]
