@@ -41,9 +41,9 @@ def n_dup_lines(text: Column) -> Column:
 def n_repeat_words(w: Column) -> Column:
     """Words inside 3-word windows that the text holds twice or more.
 
-    Most texts have no such window: the number of distinct windows tells. For the others the windows are sorted with
-    their places; those with an equal neighbour are repeated, and place p covers up to three words, as many as lie
-    before the next repeated place.
+    Most texts have no such window: if all windows' hashes differ, so do the windows. For the others the windows
+    themselves are sorted with their places; those with an equal neighbour are repeated, and place p covers up to three
+    words, as many as lie before the next repeated place.
     """
 
     def places(win: Column) -> Column:
@@ -55,9 +55,13 @@ def n_repeat_words(w: Column) -> Column:
     def covered(win: Column) -> Column:
         return let(places(win), lambda p: F.aggregate(F.transform(p, lambda at, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - at, F.lit(3)))), F.lit(0), lambda a, b: a + b))
 
+    def windows(w: Column, of) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: of(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+
     def repeated(w: Column) -> Column:
-        win = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(win, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0)).otherwise(covered(x))))
+        exact = let(windows(w, lambda *x: F.concat_ws(" ", *x)), covered)
+        none = let(windows(w, F.xxhash64), lambda h: F.size(F.array_distinct(h)) == F.size(h))
+        return F.when(F.size(w) < 4, F.lit(0)).when(none, F.lit(0)).otherwise(exact)
 
     return let(w, repeated).cast("long")
 
