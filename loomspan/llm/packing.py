@@ -16,6 +16,8 @@ import contextlib
 import ctypes
 import gc
 import os
+import threading
+import time
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -33,6 +35,9 @@ from .common import whole, written
 CAPACITY = 2048
 _CACHED, _AT_ONCE = 800_000, 500
 _KNOWN: dict[str, tuple[object, dict[bytes, bytes]]] = {}
+#: When texts last came, and after how many seconds without any a worker forgets.
+_USED: list[float] = []
+_IDLE = 5.0
 
 #: Some bins of equal content: how many, and the (length, how many of it) in them.
 Bins = tuple[int, tuple[tuple[int, int], ...]]
@@ -45,12 +50,15 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     it, so the ids of a text are those of its words; a worker keeps those of the first _CACHED words it meets. Where a
     text may hold a special token's name, its case stays, since those names are told apart by case.
     """
-    if path not in _KNOWN:
+    if not _USED:
+        threading.Thread(target=_forget_when_idle, daemon=True).start()
+    _USED[:] = [time.monotonic()]
+    if (held := _KNOWN.get(path)) is None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _KNOWN[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _KNOWN[path]
+        held = _KNOWN[path] = (Tokenizer.from_file(path), {})
+    tokenizer, known = held
     split = [(t if b"<|" in t else t.lower()).split() for t in texts]
     new = set().union(*split).difference(known)
     stem = {w: w[:-1] for w in new if w[-1] in b",." and w[-2:-1].isalnum()}
@@ -69,13 +77,15 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     return [b"".join(map(look.__getitem__, words)) for words in split]
 
 
-def forget() -> None:
-    """Gives back what a worker keeps of words, once no more texts come."""
-    if _KNOWN:
-        _KNOWN.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+def _forget_when_idle() -> None:
+    """Gives back what a worker keeps of words once no text has come for some seconds; runs beside the worker's work."""
+    while True:
+        time.sleep(_IDLE)
+        if _KNOWN and time.monotonic() - max(_USED, default=0) > _IDLE:
+            _KNOWN.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -222,7 +232,6 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     keys = table[:, 0] * wide + table[:, 1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("length", "rank"))
             row = table[np.searchsorted(keys, length * wide + rank, side="right") - 1] if len(rank) else table[:0]
