@@ -143,24 +143,24 @@ def _graph(marked: DataFrame) -> DataFrame:
 def confident_patterns(graph: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     """(pattern, kind, confidence) of the patterns with enough support, after the rounds; ``graph`` is a written table.
 
-    Only patterns with enough seeds of one kind can ever be supported in the first round; their edges are kept, so each
-    round's joins are on what the seeds reach. A pattern before very many values is counted in parts, and its edges
-    come straight from the table to the join, where Spark splits a task that grows large.
+    Each round asks all patterns: those that the values found in the round before support count as those of seeds do.
+    Only patterns before fewer values than the support needs are left out, which no round can support. A pattern before
+    very many values is counted in parts, and its edges come straight from the table to the join, where Spark splits a
+    task that grows large.
     """
-    seeds = graph.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= how.least_support)
-    sizes = graph.select("pattern", "value").distinct().groupBy("pattern").agg(F.count("*").alias("n"))
-    reach = written(sizes.join(seeds.select("pattern").distinct(), "pattern"))
-    edges = written(graph.join(reach, "pattern"))
+    pairs = written(graph.groupBy("pattern", "value").agg(F.bool_or(F.col("kind").isNull()).alias("open")))
+    reach = written(pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= how.least_support))
+    edges = written(pairs.join(reach, "pattern"))
+    seeds = written(graph.where("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score")).distinct())
     suits = F.coalesce(*[F.when((F.col("k") == kind) & _suits(kind, F.col("value")), F.lit(True)) for kind in KINDS], F.lit(False))
-    scores = edges.where("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score")).distinct()
-    found = None
+    scores, found = seeds, None
     for _ in range(how.rounds):
-        by = edges.select("pattern", "value", "n").distinct().join(scores, "value")
+        by = edges.select("pattern", "value", "n").join(scores, "value")
         found = by.groupBy("pattern", "kind").agg((F.sum("score") / F.first("n")).alias("confidence"), F.count_if(F.col("score") >= 0.5).alias("support"))
         found = written(found.where((F.col("support") >= how.least_support) & (F.col("confidence") >= how.least_confidence / 2)))
-        new = edges.where("kind IS NULL").select("pattern", "value").join(found.withColumnRenamed("kind", "k"), "pattern").where(suits)
+        new = edges.where("open").select("pattern", "value").join(found.withColumnRenamed("kind", "k"), "pattern").where(suits)
         new = new.groupBy("value", F.col("k").alias("kind")).agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score"))
-        scores = edges.where("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score")).distinct().unionByName(new)
+        scores = seeds.unionByName(new).groupBy("value", "kind").agg(F.max("score").alias("score"))
     return found.where(F.col("confidence") >= how.least_confidence).select("pattern", "kind", "confidence")
 
 

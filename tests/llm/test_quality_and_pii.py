@@ -101,6 +101,17 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(got[i]["n_new"] == 0 and got[i]["n_phone"] == got[i]["n_email"] == 1 for i in range(12))
 
 
+def test_discovered_values_support_further_contexts(spark):
+    seen = [(i, f"please ring the desk on +4412345678{i:02d} today") for i in range(10)]
+    shared = [(20 + i, f"please ring the desk on 441 234 56{i:02d} today") for i in range(6)] + [(30 + i, f"use extension line 441 234 56{i:02d} instead") for i in range(6)]
+    only = (40, "use extension line 441 999 8888 instead")
+    got = {r["doc_id"]: r for r in pii.extracted(spark.createDataFrame([*seen, *shared, only], "doc_id long, text string")).collect()}
+    assert [got[i]["n_new"] for i in range(20, 26)] == [1] * 6
+    for i, text in [*shared[6:], only]:
+        at = text.index("441")
+        assert got[i]["spans"] == f"phone:{at}:{at + 12}"
+
+
 def test_a_context_of_many_kinds_discovers_nothing(spark):
     rows = [(i, f"number of +4412345678{i:02d} here") for i in range(10)] + [(50 + i, f"number of {i} 000 {i} 11 things") for i in range(40)]
     assert pii.extracted(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.sum("n_new")).first()[0] == 0
