@@ -27,20 +27,43 @@ def closeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def _pairs(text):
+    """The pairs of neighbouring characters, those that repeat with a number, in an order that all texts share."""
+    two = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
+    return F.array_sort(F.transform(two, lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.concat(x, F.size(F.filter(F.slice(two, F.lit(1), i + 1), lambda y: y == x)).cast("string")).alias("pair"))))["pair"]
+
+
+def _first(pairs, length):
+    """As many of the pairs as hold one that any close text shares.
+
+    A ratio r = 2 M / (la + lb) leaves x and y characters unmatched, x + y <= 2 M (1 / r - 1), and each takes at most
+    two of the pairs of its own text or one of the other's. So M - 1 - x - y pairs are shared, with M >= la r / (2 - r).
+    """
+    least = F.greatest(F.lit(1), F.ceil(length * (CUTOFF / (2 - CUTOFF)) * (3 - 2 / CUTOFF) - 1 - 1e-6))
+    return F.slice(pairs, F.lit(1), (F.size(pairs) - least + 1).cast("int"))
+
+
 def lookup(questions: DataFrame, entries: DataFrame, factory: str | None = None) -> DataFrame:
     """(question_id, entity, value, code, score): questions (question_id, text) against entries (entity, value, code,
     factory, alias). A whole name scores 1, its base 1 (one word 0.95), an alias 1, a close spelling of a base of two
-    words or more its ratio. Exact hits are joins on phrases; only phrases that share a word with a name are compared
-    by spelling."""
+    words or more its ratio, against phrases of as many words, one less or one more. Exact hits are joins on phrases;
+    spelling is compared where enough pairs of characters are shared, as they are at any ratio that counts."""
     own = entries if factory is None else entries.where(F.col("factory").isNull() | (F.col("factory") == factory))
-    words = F.filter(F.split(_norm(F.col("text")), " "), lambda w: w != "")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: i + n <= F.size("w")), lambda i: F.array_join(F.slice("w", i + 1, n), " "))))
-    asked = questions.withColumn("w", words).where(F.size("w") > 0).select("question_id", F.explode(F.array_distinct(grams)).alias("phrase"))
+    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     named = own.select("entity", "value", "code", F.explode(F.array(F.struct(_norm(F.col("value")).alias("phrase"), F.lit(1.0).alias("score")), F.struct(base(F.col("value")).alias("phrase"), F.when(F.size(F.split(base(F.col("value")), " ")) > 1, 1.0).otherwise(0.95).alias("score")), F.struct(_norm(F.coalesce("alias", F.lit(""))).alias("phrase"), F.lit(1.0).alias("score")))).alias("p")).select("entity", "value", "code", "p.*").where("phrase != ''")
+    longest = named.agg((F.max(F.size(F.split("phrase", " "))) + 1).alias("longest"))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least("longest", F.size("w"))), lambda n: F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, n), " "))))
+    asked = questions.withColumn("w", split(_norm(F.col("text")))).where(F.size("w") > 0).join(F.broadcast(longest)).select("question_id", F.explode(F.array_distinct(grams)).alias("phrase"))  # one row
     exact = asked.join(named, "phrase").select("question_id", "entity", "value", "code", "score")
-    long = own.select("entity", "value", "code", base(F.col("value")).alias("b")).withColumn("bw", F.split("b", " ")).where(F.size("bw") > 1)
-    near = asked.withColumn("n", F.size(F.split("phrase", " "))).withColumn("word", F.explode(F.split("phrase", " "))).join(long.withColumn("word", F.explode("bw")), "word").where(F.abs(F.col("n") - F.size("bw")) <= 1).select("question_id", "phrase", "entity", "value", "code", "b").distinct()
-    fuzzy = near.withColumn("score", closeness("phrase", "b")).where(F.col("score") >= CUTOFF).select("question_id", "entity", "value", "code", "score")
+    phrases = asked.where(F.length("phrase") > 2).select("question_id", "phrase", F.size(F.split("phrase", " ")).alias("n"), F.length("phrase").alias("l"), _pairs(F.col("phrase")).alias("g"))
+    phrases = phrases.withColumn("f", _first(F.col("g"), F.col("l")))
+    long = own.select("entity", "value", "code", base(F.col("value")).alias("b")).withColumn("bn", F.size(F.split("b", " "))).where(F.col("bn") > 1)
+    long = long.withColumn("bl", F.length("b")).withColumn("bg", _pairs(F.col("b"))).withColumn("bf", _first(F.col("bg"), F.col("bl")))
+    near = phrases.withColumn("pair", F.explode("f")).join(long.withColumn("pair", F.explode("bf")), "pair").where(F.abs(F.col("n") - F.col("bn")) <= 1)
+    near = near.where(F.element_at(F.array_intersect("f", "bf"), 1) == F.col("pair"))  # once for all pairs shared
+    total = F.col("l") + F.col("bl")
+    near = near.where((2 * F.least("l", "bl") >= CUTOFF * total - 1e-6) & (F.size(F.array_intersect("g", "bg")) >= total * (CUTOFF / 2) * (3 - 2 / CUTOFF) - 1 - 1e-6))
+    fuzzy = near.withColumn("score", closeness("b", "phrase")).where(F.col("score") >= CUTOFF).select("question_id", "entity", "value", "code", "score")
     return exact.unionByName(fuzzy).groupBy("question_id", "entity", "value", "code").agg(F.max("score").alias("score"))
 
 

@@ -147,7 +147,7 @@ def even_sample(spark, sf):
 
 def value_lookup(spark, sf):
     c = _t(spark, sf, "customer")
-    entries = c.where("c_custkey < 200").select(F.lit("buyer").alias("entity"), F.concat(F.lit("Buyer House "), F.col("c_custkey").cast("string"), F.lit(" Ltd")).alias("value"), F.col("c_custkey").cast("string").alias("code"), F.lit(None).cast("string").alias("factory"), F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("bh"), F.col("c_custkey").cast("string"))).alias("alias"))
+    entries = c.select(F.lit("buyer").alias("entity"), F.concat(F.lit("Buyer House "), F.col("c_custkey").cast("string"), F.lit(" Ltd")).alias("value"), F.col("c_custkey").cast("string").alias("code"), F.lit(None).cast("string").alias("factory"), F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("bh"), F.col("c_custkey").cast("string"))).alias("alias"))
     questions = spark.createDataFrame([(1, "orders of buyer house 17 ltd this week"), (2, "what did BH20 order"), (3, "orders of byer house 33"), (4, "nothing of interest")], "question_id int, text string")
     return values.resolve(values.lookup(questions, entries)).select("question_id", "entity", "value", "score")
 
