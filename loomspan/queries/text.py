@@ -55,8 +55,8 @@ RRF = f"WITH w AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id
 
 
 def hybrid_retrieve(spark, sf):
-    """Scope, both searches, fusion, final six; documents carry the vector of equal number."""
-    chunks = _t(spark, sf, "documents").join(_t(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    """Scope, both searches, fusion, final six; documents carry the vector of equal number, or none."""
+    chunks = _t(spark, sf, "documents").join(_t(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
     return search.retrieve(chunks, QUERY, VECTOR, F.col("source").isin("src1", "src2", "src3", "src4", "src5"))
 
 

@@ -74,11 +74,12 @@ def fused(first: DataFrame, second: DataFrame, k: int = 8, id_col: str = "doc_id
 def retrieve(chunks: DataFrame, query: str, vector: list[float], scope: Column, each: int = 20, candidates: int = 8, final: int = 6, rerank=None) -> DataFrame:
     """The whole search over chunks (doc_id, text, embedding, ...): scope first, both searches, fusion, re-ranking.
 
+    A chunk whose embedding is null is found by its words alone.
     ``rerank`` takes and returns the candidates with a score; without one the fused order stands.
     """
     seen = chunks.where(scope)
     words = bm25(seen, query, each)
-    near = nearest(seen, vector, each, id_col="doc_id")
+    near = nearest(seen, vector, each, id_col="doc_id", where=F.col("embedding").isNotNull())
     best = fused(words, near, candidates)
     best = rerank(best.join(seen, "doc_id")) if rerank else best
     return best.orderBy(F.desc("score"), "doc_id").limit(final)
