@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import let, written
 
-#: At most so many distinct labelled urls train the trees, chosen by their hashes.
+#: At most so many distinct labelled urls train the trees, chosen by their hashes; a twentieth is kept for each label.
 SAMPLE_ROWS = 20_000
 
 
@@ -94,6 +94,17 @@ def _statistics(train: DataFrame, key: str, smooth: float = 10.0) -> DataFrame:
     return train.groupBy(key).agg(F.sum("label").alias("b"), F.count("*").alias("n")).crossJoin(F.broadcast(every)).select(key, ((F.col("b") + smooth * F.col("all")) / (F.col("n") + smooth)).alias("s_" + key[2:]))
 
 
+def sampled(labelled: DataFrame, n: int) -> DataFrame:
+    """The n distinct urls of the smallest hashes, by hash; of a rare label a twentieth of n, if it has so many."""
+    place = F.xxhash64("url")
+    each = written(labelled.distinct())
+    least = lambda df, k: df.orderBy(place, "url").limit(k)
+    firsts = [least(each.where(F.col("label") == label), max(1, n // 20)).withColumn("turn", F.lit(0)) for label in (0.0, 1.0)]
+    every = firsts[0].unionByName(firsts[1]).unionByName(least(each, n).withColumn("turn", F.lit(1)))
+    chosen = every.groupBy("url", "host", "path", "label").agg(F.min("turn").alias("turn")).orderBy("turn", place, "url").limit(n)
+    return chosen.drop("turn").orderBy(place, "url")
+
+
 def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, trees: int = 15, depth: int = 4) -> DataFrame:
     """Per row: id, host, path, rule, verdict, and the trees' probability to block (null where a rule fits)."""
     from pyspark.ml.classification import GBTClassifier
@@ -104,9 +115,7 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
     rows = rows.withColumns({"rule": fitting(rules, F.col("host"), F.col("path")), "ruled": fitting(rules, F.col("host"), F.col("path"), lambda r: r.verdict)})
     labelled = rows.where("ruled IS NOT NULL").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
-    share = max(1, labelled.count() // (20 * sample_rows))  # of very many labelled urls only so many are made distinct
-    sample = labelled.where(F.pmod(F.xxhash64("url"), F.lit(share)) == 0).distinct().orderBy(F.xxhash64("url"), "url").limit(sample_rows)
-    train = written(features(sample).coalesce(1))
+    train = written(features(sampled(labelled, sample_rows)).coalesce(1))
     kinds = [r["label"] for r in train.select("label").distinct().collect()]
     if len(kinds) < 2:
         verdict = F.coalesce("ruled", F.lit("block" if kinds == [1.0] else "allow"))

@@ -143,6 +143,28 @@ def test_urls_without_labels_or_with_one_kind(spark):
     assert [r["verdict"] for r in none] == ["allow"] and {r["page_id"]: r["verdict"] for r in one} == {1: "block", 2: "block"}
 
 
+def test_repeated_urls_all_train_the_trees(spark):
+    once = [f"http://h{i}.{t}/es/" for i in range(3) for t in ("com", "net")]
+    rows = spark.range(12_000).selectExpr("id AS page_id", f"element_at(array({', '.join(map(repr, once))}), CAST(id % 6 AS int) + 1) AS url")
+    asked = spark.createDataFrame([(20_000, "http://h.org/es/")], "page_id long, url string")
+    got = urls.judged(rows.unionByName(asked), sample_rows=10).where("page_id >= 20000").first()
+    assert got["p_block"] is not None  # urls of both labels were seen
+
+
+def test_rare_labels_are_in_the_sample(spark):
+    allowed = spark.range(300).selectExpr("concat('http://h', id, '.com/') AS url", "concat('h', id, '.com') AS host", "'/' AS path", "0.0D AS label")
+    blocked = spark.range(3).selectExpr("concat('http://h', id, '.net/es/') AS url", "concat('h', id, '.net') AS host", "'/es/' AS path", "1.0D AS label")
+    every = allowed.unionByName(blocked).unionByName(allowed)
+    hashes = {r["url"]: (r["h"], r["label"]) for r in every.distinct().withColumn("h", F.xxhash64("url")).collect()}
+    by_hash = sorted(hashes, key=lambda u: hashes[u][0])
+    of = lambda label: [u for u in by_hash if hashes[u][1] == label]
+    for n in (20, 60, 303, 1000):
+        got = [r["url"] for r in urls.sampled(every, n).collect()]
+        must = of(0.0)[: n // 20] + of(1.0)[: n // 20]
+        assert set(got) == set((must + [u for u in by_hash if u not in must])[:n]) and len(got) == min(n, 303)
+    assert all(set(urls.sampled(every, n).agg(F.collect_set("label")).first()[0]) == {0.0, 1.0} for n in (20, 60))
+
+
 def test_entropy(spark):
     got = spark.createDataFrame([("",), ("aaaa",), ("abab",), ("abcd",), (None,)], "t string").select(urls.entropy(F.col("t"))).collect()
     assert [r[0] for r in got] == pytest.approx([0, 0, 1, 2, 0])
