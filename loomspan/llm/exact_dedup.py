@@ -1,52 +1,70 @@
 """Exact duplicates: groups by a 128-bit content hash whose members are compared byte by byte.
 
-Defined cases: a null text counts as empty; repeated rows (same id, same text) are all reported and count in
-``group_size``; an empty table gives no rows; further columns are left out, whatever their names.
+Only texts that may have a copy are moved. A 64-bit key that equal texts share is counted first; the texts whose key
+is single are settled by that, and stay where they are. Those of a repeated key are aggregated by (128-bit hash,
+bytes), before and after one shuffle: the second key is what tells texts of one hash apart, so a collision makes two
+groups, and a group of any size reaches a task as one row for each task that read some of it.
+
+A group that has a thousandth of all rows or more is one of a thousand at most; those are broadcast to the documents'
+hashes, so no task of the other join meets more than a thousandth of the rows under one key. Two texts with equal
+128-bit hash and equal SHA-256 but unequal bytes would end the query with an error.
+
+Defined cases: a null text counts as empty; a null id is an id of its own; repeated rows (same id, same text) are all
+reported and count in ``group_size``, and one of them stays; texts of any length are hashed and compared whole; ties of
+ids are repeated rows; an empty table gives no rows. ``exact_groups`` leaves further columns out, and
+``drop_exact_duplicates`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, whole, written
+from .common import boxed, lower_ascii, sieved, unboxed, whole, written
 
 #: A group with 1 / HOT of all rows or more is broadcast, HOT groups at most.
 HOT = 1000
+_BEST = {"smallest": F.min, "largest": F.max}
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hash_of=F.md5) -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256.
+def _key(text_col: str) -> Column:
+    """Texts that are equal after lower-casing A-Z are equal after lower-casing everything, which is much cheaper."""
+    return F.xxhash64(F.lower(whole(text_col)))
 
-    The texts are hashed to 128 bits and aggregated by (hash, bytes), before and after one shuffle: the second key is
-    what tells texts of one hash apart, so a collision makes two groups. A group of any size reaches a task as one row
-    for each task that read some of it. What goes back to the documents is a row of numbers and hashes for each group.
-    A group that has a thousandth of all rows or more is one of a thousand at most; those are broadcast to the
-    documents' hashes, so no task of the other join meets more than a thousandth of the rows under one key.
-    Two texts with equal 128-bit hash and equal SHA-256 but unequal bytes would end the query with an error.
 
-    ``keep`` is which id stays in a group: "smallest" or "largest".
-    """
-    best = {"smallest": F.min, "largest": F.max}[keep]
-    rows = docs.select(F.col(id_col).alias("id"), lower_ascii(whole(text_col)).alias("norm")).withColumn("h", F.unhex(hash_of("norm")))
-    sha = F.unhex(F.sha2("norm", 256))
+def _repeated(keyed: DataFrame) -> DataFrame:
+    return written(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
+
+
+def _groups(rows: DataFrame, best) -> DataFrame:
+    """From (id, norm, h): h, sha, n, stays of the groups of two rows or more, whose bytes are equal."""
     texts = rows.groupBy("h", "norm").agg(F.count("*").alias("n"), best("id").alias("stays"))
-    groups = (
-        texts.select("h", sha.alias("sha"), "n", "stays")
-        .groupBy("h", "sha")
-        .agg(F.count("*").alias("texts"), F.sum("n").alias("n"), best("stays").alias("stays"))
-        .select("h", "sha", "stays", F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("long")).alias("n"))
-    )
-    small, groups = written(rows.select("id", "h", sha.alias("sha"))), written(groups)
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT >= total
-    few, rest = F.broadcast(groups.where(hot)), groups.where(~hot)
-    joined = small.join(few, ["h", "sha"]).unionByName(small.join(few, ["h", "sha"], "left_anti").join(rest, ["h", "sha"]))
+    groups = texts.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "n", "stays").groupBy("h", "sha").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), best("stays").alias("stays"))
+    checked = F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("long"))
+    return written(groups.select("h", "sha", "stays", checked.alias("n")).where("n > 1"))
+
+
+def _hot(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups to broadcast and the others."""
+    least = (groups.agg(F.sum("n")).first()[0] or 0) / HOT
+    return F.broadcast(groups.where(F.col("n") >= least)), groups.where(F.col("n") < least)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hash_of=F.md5) -> DataFrame:
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256. ``keep``: the "smallest" or "largest" id."""
+    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    sha, hashed = F.unhex(F.sha2("norm", 256)).alias("sha"), F.unhex(hash_of("norm")).alias("h")
+    small = written(rows.select("id", _key("text").alias("k"), lower_ascii(F.col("text")).alias("norm")).select("id", "k", hashed, sha))
+    again = sieved(rows, _key("text"), _repeated(small)).where("hit").select("id", lower_ascii(F.col("text")).alias("norm"))
+    few, rest = _hot(_groups(again.select("id", "norm", hashed), _BEST[keep]))
+    names = ["id", "h", "sha"]
+    joined = small.select(*names).join(few, ["h", "sha"]).unionByName(small.select(*names).join(few, ["h", "sha"], "left_anti").join(rest, ["h", "sha"], "left"))
+    stays = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("stays"))
     return joined.select(
         F.col("id").alias(id_col),
-        F.col("stays").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        F.col("id").eqNullSafe(F.col("stays")).alias("kept"),
+        stays.alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+        F.col("id").eqNullSafe(stays).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
@@ -54,11 +72,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The documents that stay, with all their columns; of fully equal rows with the id that stays, one remains.
 
-    The texts' hashes and ids of those that stay are joined back. The same two columns tell repeated rows apart, so
-    the documents are shuffled once for both.
+    Documents whose text is single aren't shuffled. Of the others, those of the largest groups meet their group by a
+    broadcast, so that of such a group only the rows with the id that stays are moved.
     """
-    names = docs.columns
-    id_text = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))  # noqa: E731  a null id is one of its own
-    stays = exact_groups(docs, id_col, text_col, keep).where("kept").select(id_text(F.col("keep_id")).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    tagged = docs.withColumns({"__id": id_text(F.col(id_col)), "__sha": F.sha2(lower_ascii(whole(text_col)), 256)})
-    return tagged.join(stays, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(*names)
+    keys = _repeated(docs.select(_key(text_col).alias("k")))
+    marked = sieved(docs.select(boxed(docs).alias("doc"), F.col(id_col).alias("id"), whole(text_col).alias("text")), _key("text"), keys)
+    again = marked.where("hit").select("doc", "id", lower_ascii(F.col("text")).alias("norm")).withColumns({"h": F.unhex(F.md5("norm")), "sha": F.unhex(F.sha2("norm", 256))})
+    few, rest = _hot(_groups(again.select("id", "norm", "h"), _BEST[keep]))
+    slim = again.select("doc", "id", "h", "sha")
+    one = lambda rows: rows.groupBy("h", "sha", "id").agg(F.first("doc").alias("doc")).select("doc")
+    large = one(slim.join(few, ["h", "sha"]).where(F.col("id").eqNullSafe(F.col("stays"))))
+    others = one(slim.join(few, ["h", "sha"], "left_anti").join(rest, ["h", "sha"], "left").where(F.col("n").isNull() | F.col("id").eqNullSafe(F.col("stays"))))
+    return unboxed(marked.where(~F.col("hit")).select("doc").unionByName(large).unionByName(others), docs.columns)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomspan.llm import exact_dedup, simhash
-from loomspan.llm.common import lower_ascii
+from loomspan.llm.common import lower_ascii, sieved
 from loomspan.llm.components import components
 
 from . import cases
@@ -144,3 +144,20 @@ def test_keep_one_of_each_group(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == set(groups.values())
+
+
+def test_dropping_keeps_columns_of_any_name(spark):
+    rows = [(1, "Same", "a", "b", "c", 1), (2, "same", "d", "e", "f", 2), (3, "other", "g", "h", "i", 3), (3, "other", "g", "h", "i", 3), (None, "none", "j", "k", "l", 4), (None, None, "m", "n", "o", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __sha string, __id string, h string, `a.b` int")
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, {rows[0], rows[2], rows[4], rows[5]}))
+
+
+def test_a_sieve_lets_every_key_through(spark):
+    keys = spark.range(0, 3000).select((F.xxhash64("id")).alias("k"))
+    rows = sieved(spark.range(-9000, 9000), F.xxhash64("id"), keys)
+    hits = {r["id"] for r in rows.where("hit").collect()}
+    assert rows.columns == ["id", "hit"] and rows.count() == 18000
+    assert set(range(3000)) <= hits and len(hits) < 3000 + 15000 / 4
+    assert sieved(spark.range(10), F.xxhash64("id"), keys.limit(0)).where("hit").count() == 0
