@@ -54,18 +54,17 @@ SIEVE_BITS, SIEVE_MOST = 8, 1 << 30
 _BITMAP = 1 << 15  # bits of one of Spark's bitmaps
 
 
-def sieved(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+def sieved(rows: DataFrame, key: Column, keys: DataFrame, n: int) -> DataFrame:
     """``rows`` with a boolean ``hit``: true for every row whose 64-bit ``key`` is in the only column of ``keys``.
 
-    Other rows are hits too, by chance: one in SIEVE_BITS at most while ``keys`` has fewer than SIEVE_MOST / SIEVE_BITS
-    rows, more beyond. So a hit has to be joined, and a row that is none needs no shuffle to be told from the keys. The
-    keys are broadcast as a bitmap whose size follows their number, up to a fixed one. Write ``keys`` first.
+    ``keys`` has ``n`` rows or fewer. Other rows are hits too, by chance: one in SIEVE_BITS at most while n is below
+    SIEVE_MOST / SIEVE_BITS, more beyond. So a hit has to be joined, and a row that is none needs no shuffle to be told
+    from the keys. What is broadcast is a bitmap of those keys, whose size follows n up to a fixed one.
     """
-    bits = min(SIEVE_MOST, max(_BITMAP, 1 << (SIEVE_BITS * keys.count()).bit_length()))
+    bits = min(SIEVE_MOST, max(_BITMAP, 1 << (SIEVE_BITS * n).bit_length()))
     at = F.pmod(F.col(keys.columns[0]), F.lit(bits))
     maps = keys.select(F.floor(at / _BITMAP).cast("int").alias("__map"), (at % _BITMAP).alias("at")).groupBy("__map").agg(F.bitmap_construct_agg("at").alias("__bits"))
-    place = F.pmod(key, F.lit(bits))
-    rows = rows.withColumn("__at", place).withColumn("__of", F.floor(F.col("__at") / _BITMAP).cast("int")).join(F.broadcast(maps), F.col("__of") == F.col("__map"), "left")
+    rows = rows.withColumn("__at", F.pmod(key, F.lit(bits))).withColumn("__of", F.floor(F.col("__at") / _BITMAP).cast("int")).join(F.broadcast(maps), F.col("__of") == F.col("__map"), "left")
     byte = F.conv(F.hex(F.substr("__bits", (F.floor((F.col("__at") % _BITMAP) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, (F.col("__at") % 8).cast("int")).bitwiseAND(F.lit(1))
     return rows.withColumn("hit", F.coalesce(bit == 1, F.lit(False))).drop("__at", "__of", "__map", "__bits")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, lower_ascii, sieved, unboxed, whole, written
+from .common import boxed, lower_ascii, sieved, unboxed, whole
 
 #: A group with 1 / HOT of all rows or more is broadcast, HOT groups at most.
 HOT = 1000
@@ -32,35 +32,45 @@ def _key(text_col: str) -> Column:
     return F.xxhash64(F.lower(whole(text_col)))
 
 
-def _repeated(keyed: DataFrame) -> DataFrame:
-    return written(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
+def _maybe_again(rows: DataFrame, text_col: str, n: int) -> DataFrame:
+    """``rows`` with ``hit``, false for those whose text is surely single."""
+    keys = rows.select(_key(text_col).alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    return sieved(rows, _key(text_col), keys, n)
 
 
-def _groups(rows: DataFrame, best) -> DataFrame:
-    """From (id, norm, h): h, sha, n, stays of the groups of two rows or more, whose bytes are equal."""
-    texts = rows.groupBy("h", "norm").agg(F.count("*").alias("n"), best("id").alias("stays"))
+def _joined(rows: DataFrame, again: DataFrame, best, n: int, only_kept: bool = False) -> DataFrame:
+    """``rows`` (id, h, sha and more) with ``n`` and ``stays`` of their group, null where the text is single.
+
+    ``again`` (id, norm, h) has all texts that occur more than once. Rows that found their group among the broadcast
+    ones go through the other join by their place in the input, which no group matches, so they are spread; if only
+    those that are kept are asked for, the others go before that.
+    """
+    texts = again.groupBy("h", "norm").agg(F.count("*").alias("n"), best("id").alias("stays"))
     groups = texts.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "n", "stays").groupBy("h", "sha").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), best("stays").alias("stays"))
     checked = F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("long"))
-    return written(groups.select("h", "sha", "stays", checked.alias("n")).where("n > 1"))
-
-
-def _hot(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The groups to broadcast and the others."""
-    least = (groups.agg(F.sum("n")).first()[0] or 0) / HOT
-    return F.broadcast(groups.where(F.col("n") >= least)), groups.where(F.col("n") < least)
+    groups = groups.where("n > 1").select(F.col("h").alias("g_h"), F.col("sha").alias("g_sha"), F.struct(checked.alias("n"), "stays").alias("group"))
+    hot = F.col("group.n") * HOT >= n
+    few, rest = groups.where(hot).withColumnRenamed("group", "few"), groups.where(~hot).withColumn("g_at", F.xxhash64("g_h"))
+    same = (F.col("h") == F.col("g_h")) & (F.col("sha") == F.col("g_sha"))
+    met = rows.join(F.broadcast(few), same, "left").drop("g_h", "g_sha")
+    if only_kept:
+        met = met.where(F.col("few").isNull() | F.col("id").eqNullSafe(F.col("few.stays")))
+    met = met.withColumn("at", F.when(F.col("few").isNull(), F.xxhash64("h")).otherwise(F.monotonically_increasing_id()))
+    met = met.join(rest, (F.col("at") == F.col("g_at")) & same, "left").withColumn("group", F.coalesce("few", "group"))
+    if only_kept:
+        met = met.where(F.col("group").isNull() | F.col("id").eqNullSafe(F.col("group.stays")))
+    return met.select(*rows.columns, F.col("group.n").alias("n"), F.col("group.stays").alias("stays"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", hash_of=F.md5) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256. ``keep``: the "smallest" or "largest" id."""
-    rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    sha, hashed = F.unhex(F.sha2("norm", 256)).alias("sha"), F.unhex(hash_of("norm")).alias("h")
-    small = written(rows.select("id", _key("text").alias("k"), lower_ascii(F.col("text")).alias("norm")).select("id", "k", hashed, sha))
-    again = sieved(rows, _key("text"), _repeated(small)).where("hit").select("id", lower_ascii(F.col("text")).alias("norm"))
-    few, rest = _hot(_groups(again.select("id", "norm", hashed), _BEST[keep]))
-    names = ["id", "h", "sha"]
-    joined = small.select(*names).join(few, ["h", "sha"]).unionByName(small.select(*names).join(few, ["h", "sha"], "left_anti").join(rest, ["h", "sha"], "left"))
+    rows, n = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")), docs.count()
+    norm = lower_ascii(F.col("text")).alias("norm")
+    hashed = lambda df: df.withColumn("h", F.unhex(hash_of("norm")))
+    again = hashed(_maybe_again(rows, "text", n).where("hit").select("id", norm))
+    every = hashed(rows.select("id", norm)).select("id", "h", F.unhex(F.sha2("norm", 256)).alias("sha"))
     stays = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("stays"))
-    return joined.select(
+    return _joined(every, again, _BEST[keep], n).select(
         F.col("id").alias(id_col),
         stays.alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
@@ -72,15 +82,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The documents that stay, with all their columns; of fully equal rows with the id that stays, one remains.
 
-    Documents whose text is single aren't shuffled. Of the others, those of the largest groups meet their group by a
-    broadcast, so that of such a group only the rows with the id that stays are moved.
+    Documents whose text is single aren't shuffled, and of the largest groups only the rows with the id that stays are.
     """
-    keys = _repeated(docs.select(_key(text_col).alias("k")))
-    marked = sieved(docs.select(boxed(docs).alias("doc"), F.col(id_col).alias("id"), whole(text_col).alias("text")), _key("text"), keys)
+    n = docs.count()
+    marked = _maybe_again(docs.select(boxed(docs).alias("doc"), F.col(id_col).alias("id"), whole(text_col).alias("text")), "text", n)
     again = marked.where("hit").select("doc", "id", lower_ascii(F.col("text")).alias("norm")).withColumns({"h": F.unhex(F.md5("norm")), "sha": F.unhex(F.sha2("norm", 256))})
-    few, rest = _hot(_groups(again.select("id", "norm", "h"), _BEST[keep]))
-    slim = again.select("doc", "id", "h", "sha")
-    one = lambda rows: rows.groupBy("h", "sha", "id").agg(F.first("doc").alias("doc")).select("doc")
-    large = one(slim.join(few, ["h", "sha"]).where(F.col("id").eqNullSafe(F.col("stays"))))
-    others = one(slim.join(few, ["h", "sha"], "left_anti").join(rest, ["h", "sha"], "left").where(F.col("n").isNull() | F.col("id").eqNullSafe(F.col("stays"))))
-    return unboxed(marked.where(~F.col("hit")).select("doc").unionByName(large).unionByName(others), docs.columns)
+    kept = _joined(again.select("doc", "id", "h", "sha"), again.select("id", "norm", "h"), _BEST[keep], n, only_kept=True)
+    one = kept.groupBy("h", "sha", "id").agg(F.first("doc").alias("doc"))
+    return unboxed(marked.where(~F.col("hit")).select("doc").unionByName(one.select("doc")), docs.columns)

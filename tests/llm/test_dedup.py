@@ -156,8 +156,8 @@ def test_dropping_keeps_columns_of_any_name(spark):
 
 def test_a_sieve_lets_every_key_through(spark):
     keys = spark.range(0, 3000).select((F.xxhash64("id")).alias("k"))
-    rows = sieved(spark.range(-9000, 9000), F.xxhash64("id"), keys)
+    rows = sieved(spark.range(-9000, 9000), F.xxhash64("id"), keys, 3000)
     hits = {r["id"] for r in rows.where("hit").collect()}
     assert rows.columns == ["id", "hit"] and rows.count() == 18000
     assert set(range(3000)) <= hits and len(hits) < 3000 + 15000 / 4
-    assert sieved(spark.range(10), F.xxhash64("id"), keys.limit(0)).where("hit").count() == 0
+    assert sieved(spark.range(10), F.xxhash64("id"), keys.limit(0), 0).where("hit").count() == 0
