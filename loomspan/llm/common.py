@@ -35,6 +35,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_CLASS + "+", -1), F.lit(""))
 
 
+def unhexed(digest: Column) -> Column:
+    """The bytes of a hexadecimal digest, in a type without null: a join then adds no filter that makes them again."""
+    return F.coalesce(F.unhex(digest), F.lit(b""))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, which a lambda that names an expression doesn't ensure."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -62,10 +67,11 @@ def sieved(rows: DataFrame, key: Column, keys: DataFrame, n: int) -> DataFrame:
     from the keys. What is broadcast is a bitmap of those keys, whose size follows n up to a fixed one.
     """
     bits = min(SIEVE_MOST, max(_BITMAP, 1 << (SIEVE_BITS * n).bit_length()))
-    at = F.pmod(F.col(keys.columns[0]), F.lit(bits))
-    maps = keys.select(F.floor(at / _BITMAP).cast("int").alias("__map"), (at % _BITMAP).alias("at")).groupBy("__map").agg(F.bitmap_construct_agg("at").alias("__bits"))
-    rows = rows.withColumn("__at", F.pmod(key, F.lit(bits))).withColumn("__of", F.floor(F.col("__at") / _BITMAP).cast("int")).join(F.broadcast(maps), F.col("__of") == F.col("__map"), "left")
-    byte = F.conv(F.hex(F.substr("__bits", (F.floor((F.col("__at") % _BITMAP) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    place = lambda k: k.bitwiseAND(F.lit(bits - 1))  # noqa: E731  never null, so that no filter repeats what it is made of
+    at = place(F.col(keys.columns[0]))
+    maps = keys.select(F.shiftright(at, 15).cast("int").alias("__map"), at.bitwiseAND(F.lit(_BITMAP - 1)).alias("at")).groupBy("__map").agg(F.bitmap_construct_agg("at").alias("__bits"))
+    rows = rows.withColumn("__at", place(key)).withColumn("__of", F.shiftright("__at", 15).cast("int")).join(F.broadcast(maps), F.col("__of") == F.col("__map"), "left")
+    byte = F.conv(F.hex(F.substr("__bits", (F.shiftright(F.col("__at").bitwiseAND(F.lit(_BITMAP - 1)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, (F.col("__at") % 8).cast("int")).bitwiseAND(F.lit(1))
     return rows.withColumn("hit", F.coalesce(bit == 1, F.lit(False))).drop("__at", "__of", "__map", "__bits")
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, lower_ascii, sieved, unboxed, whole
+from .common import boxed, lower_ascii, sieved, unboxed, unhexed, whole
 
 #: A group with 1 / HOT of all rows or more is broadcast, HOT groups at most.
 HOT = 1000
@@ -46,7 +46,7 @@ def _joined(rows: DataFrame, again: DataFrame, best, n: int, only_kept: bool = F
     those that are kept are asked for, the others go before that.
     """
     texts = again.groupBy("h", "norm").agg(F.count("*").alias("n"), best("id").alias("stays"))
-    groups = texts.select("h", F.unhex(F.sha2("norm", 256)).alias("sha"), "n", "stays").groupBy("h", "sha").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), best("stays").alias("stays"))
+    groups = texts.select("h", unhexed(F.sha2("norm", 256)).alias("sha"), "n", "stays").groupBy("h", "sha").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), best("stays").alias("stays"))
     checked = F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts share MD5 and SHA-256")).cast("long"))
     groups = groups.where("n > 1").select(F.col("h").alias("g_h"), F.col("sha").alias("g_sha"), F.struct(checked.alias("n"), "stays").alias("group"))
     hot = F.col("group.n") * HOT >= n
@@ -66,9 +66,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256. ``keep``: the "smallest" or "largest" id."""
     rows, n = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")), docs.count()
     norm = lower_ascii(F.col("text")).alias("norm")
-    hashed = lambda df: df.withColumn("h", F.unhex(hash_of("norm")))
+    hashed = lambda df: df.withColumn("h", unhexed(hash_of("norm")))
     again = hashed(_maybe_again(rows, "text", n).where("hit").select("id", norm))
-    every = hashed(rows.select("id", norm)).select("id", "h", F.unhex(F.sha2("norm", 256)).alias("sha"))
+    every = hashed(rows.select("id", norm)).select("id", "h", unhexed(F.sha2("norm", 256)).alias("sha"))
     stays = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("stays"))
     return _joined(every, again, _BEST[keep], n).select(
         F.col("id").alias(id_col),
@@ -86,7 +86,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     n = docs.count()
     marked = _maybe_again(docs.select(boxed(docs).alias("doc"), F.col(id_col).alias("id"), whole(text_col).alias("text")), "text", n)
-    again = marked.where("hit").select("doc", "id", lower_ascii(F.col("text")).alias("norm")).withColumns({"h": F.unhex(F.md5("norm")), "sha": F.unhex(F.sha2("norm", 256))})
+    again = marked.where("hit").select("doc", "id", lower_ascii(F.col("text")).alias("norm")).withColumns({"h": unhexed(F.md5("norm")), "sha": unhexed(F.sha2("norm", 256))})
     kept = _joined(again.select("doc", "id", "h", "sha"), again.select("id", "norm", "h"), _BEST[keep], n, only_kept=True)
     one = kept.groupBy("h", "sha", "id").agg(F.first("doc").alias("doc"))
     return unboxed(marked.where(~F.col("hit")).select("doc").unionByName(one.select("doc")), docs.columns)
