@@ -10,9 +10,12 @@ Texts of one fingerprint are one node, so copies cost nothing. In a table's buck
 pairs are compared; those of a larger bucket take an exact way whose groups geometry bounds: each fingerprint is filed
 under itself and its 64 neighbours at distance 1, and two fingerprints are within 2 of each other exactly if they are
 filed together somewhere. No such file has over 65 fingerprints, all within 2 of each other, so a star links them.
+That second way isn't covering LSH; it costs 65 rows for each fingerprint of a large bucket.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a text of one or two words has its
-whole word sequence as the only shingle; repeated rows get equal results; an empty table gives no rows.
+whole word sequence as the only shingle; texts of any length are read whole; repeated rows get equal results; a null id
+is never a component's name while the component has another; an empty table gives no rows; further columns are left out
+by ``near_duplicates`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole, written
+from .common import boxed, sieved, unboxed, unhexed, whole, written
 from .components import components
 
 SEED, SHINGLE, RADIUS, SMALL = 42, 3, 2, 16
@@ -58,17 +61,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fp) with the fingerprint as a signed 64-bit number."""
+    """Rows (id, fp, h) with the fingerprint as a signed 64-bit number, and the text's MD5."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fp = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), batch.column(2)], names=["id", "fp", "h"])
 
-    schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())])
-    return docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType()), T.StructField("h", T.BinaryType())])
+    return docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), unhexed(F.md5(whole(text_col))).alias("h")).mapInArrow(run, schema)
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -89,18 +92,34 @@ def links(nodes: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id that links reach)."""
+def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, fp, h (the text's MD5), component (the smallest id that links reach), keeper (id and h of the row to keep)."""
     prints = written(fingerprints(docs, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    keeper = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    nodes = prints.groupBy("fp").agg(F.min("id").alias("first"), F.min(keeper).alias("keeper"))
     roots = components(links(nodes.select("fp")))
     grouped = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component"))
-    of = grouped.join(smallest, "root").select("fp", "component")
-    return prints.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    smallest = grouped.groupBy("root").agg(F.min("first").alias("component"), F.min("keeper").alias("keeper"))
+    return prints.join(grouped.select("fp", "root").join(smallest, "root").drop("root"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id that links reach)."""
+    return _members(docs, id_col, text_col).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, that of the smallest id, with all its columns."""
-    gone = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One document of each group, that of the smallest id, with all its columns.
+
+    Rows are told apart by id and text, so another text of the same id is a document of its own. Of rows of one id
+    and text one stays. Documents that are alone in their group aren't shuffled.
+    """
+    mine = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    decided = written(_members(docs, id_col, text_col).groupBy("id", "h").agg(F.first(mine == F.col("keeper")).alias("stays"), F.count("*").alias("n")))
+    key = F.xxhash64("id", "h")
+    rows = docs.select(boxed(docs).alias("doc"), F.col(id_col).alias("id"), unhexed(F.md5(whole(text_col))).alias("h"))
+    touched = decided.where(~F.col("stays") | (F.col("n") > 1)).select(key.alias("k"))
+    marked = sieved(rows, key, touched, touched.count())
+    stays = decided.where("stays").select(F.col("id").alias("s_id"), F.col("h").alias("s_h"))
+    among = marked.where("hit").join(stays, (F.col("h") == F.col("s_h")) & F.col("id").eqNullSafe(F.col("s_id")), "left_semi").groupBy("id", "h").agg(F.first("doc").alias("doc"))
+    return unboxed(marked.where(~F.col("hit")).select("doc").unionByName(among.select("doc")), docs.columns)

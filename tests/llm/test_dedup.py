@@ -161,3 +161,13 @@ def test_a_sieve_lets_every_key_through(spark):
     assert rows.columns == ["id", "hit"] and rows.count() == 18000
     assert set(range(3000)) <= hits and len(hits) < 3000 + 15000 / 4
     assert sieved(spark.range(10), F.xxhash64("id"), keys.limit(0), 0).where("hit").count() == 0
+
+
+def test_keep_one_loses_no_text(spark):
+    """Ids that repeat with other texts, and columns that could clash."""
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(1, a, "p", 1), (7, a, "q", 2), (7, b, "r", 3), (7, b, "r", 3), (None, b, "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h string, keeper int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(1, a, "p", 1), (7, b, "r", 3)]
