@@ -1,10 +1,12 @@
 import base64
+import gzip
 import hashlib
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +65,45 @@ def test_both_arc_versions(version):
         list(archives.read_warc(warc.replace(b"body", b"bodx") + b"\r\n\r\n"))
 
 
+ALEXA = b"filedesc://IA-001102.arc 0.0.0.0 20000918135343 text/plain 75\n1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\nhttp://www.x.com:80/ 127.10.100.2 19961104142103 text/html 28\nHTTP/1.0 200 OK\n\n<p>Hi</p>\n\n\n"
+FIELDS_2 = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
+ABOUT_2 = b"2 0 Other Crawler\n" + FIELDS_2 + b"\nmore about it\n"
+SECOND = b"filedesc://o.arc 0.0.0.0 20010101000000 text/plain 200 - - 0 o.arc %d\n" % len(ABOUT_2) + ABOUT_2 + b"\nhttp://y.org/a%20b 10.0.0.1 20010203040506 text/plain 404 fac069150613fe55599cc7fa88aa089d - 209 o.arc 7\n\x00\xffab\n\nc\n"
+
+
+def test_archives_of_other_writers():
+    """Files as other programs wrote them: another origin, ports, bare line ends in headers, bytes that are no text."""
+    (a,), (b,) = archives.read_arc(ALEXA), archives.read_arc(SECOND)
+    assert a.fields["URL"] == "http://www.x.com:80/" and a.content == b"HTTP/1.0 200 OK\n\n<p>Hi</p>\n\n"[: len(a.content)]
+    assert b.fields["Result-code"] == "404" and b.content == b"\x00\xffab\n\nc"
+    for arc, date in ((a, "1996-11-04T14:21:03Z"), (b, "2001-02-03T04:05:06Z")):
+        ((headers, block),) = archives.read_warc(archives.to_warc(arc, None) + archives.RECORD_END)
+        assert headers["WARC-Date"] == date and headers["WARC-Target-URI"] == arc.fields["URL"] and block.endswith(arc.content)
+        assert headers["WARC-Payload-Digest"] == "sha1:" + archives.base32_sha1(b"<p>Hi</p>\n\n" if arc is a else arc.content)
+        assert headers["WARC-Type"] == "response" and "WARC-Source-Row" not in headers
+    assert b"404" in archives.to_warc(b, None).split(b"HTTP/1.1 ")[1][:4]
+
+
+def test_a_record_is_one_gzip_member(spark, tmp_path):
+    archives.write_archives(pages(spark, ROWS), f"{tmp_path}/warc")
+    seen = []
+    for file in Path(f"{tmp_path}/warc").glob("part-*"):
+        data = file.read_bytes()
+        assert gzip.decompress(data).count(b"WARC-Record-ID") == sum(1 for _ in archives.read_warc(gzip.decompress(data)))
+        while data:  # each member at its own offset
+            member = zlib.decompressobj(31)
+            record = member.decompress(data)
+            seen += [len(list(archives.read_warc(record)))]
+            data = member.unused_data
+    assert Counter(seen) == {1: len(ROWS), 0: len(ROWS)}
+
+
+def test_large_payloads(spark):
+    rows = [(i, "http://big/", f"{i} " * 300_000) for i in range(6)] + [(9, "http://big/", "1 " * 300_000)]
+    got = archives.archived(pages(spark, rows))
+    assert sorted((r["page_id"], r["payload_bytes"], r["refers_to"]) for r in got.collect()) == [(i, 600_000, None) for i in range(6)] + [(9, 600_000, 1)]
+
+
 def page(article, n, host="h"):
     noise = f"<div class='ad'>Buy thing {n}</div><aside><p>Side {n}</p></aside>"
     comments = f"<section id='comments'><p>Comment {n} of a reader</p></section>"
