@@ -7,8 +7,9 @@ the words and one end; the first word's context is the end of what was before.
 
 How it is computed. Documents stand in chunks of about CHUNK tokens. A chunk sends each distinct word and bigram once,
 as a 64-bit hash with its counts, to the bucket that the hash falls into; the bucket adds up and answers each chunk with
-the totals. So a word pair that stands in a third of all documents is one number of each chunk, and no model is ever
-broadcast. A chunk and its answers meet in one task, which has all that its documents' scores need. Chunks are cut from
+the totals. Buckets are as many as the bytes of the texts ask for, and a task takes its own one by one from rows that Spark
+has sorted, so what it holds doesn't grow with the corpus. A word pair that stands in a third of all documents is one number
+of each chunk, and no model is ever broadcast. A chunk and its answers meet in one task, which has all that its documents' scores need. Chunks are cut from
 the input twice, once for what they send and once for what they keep; both cuts carry a checksum of the hashes, and an
 input that isn't read equally both times is an error (write it first).
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from .common import whole, written
 
 FOLDS, OUT, HELD = 5, 1, 4
 CHUNK, ROUNDS, BUCKETS = 1_500_000, 20, 40
+#: Bytes of text for each bucket of keys that is in memory at once, and for each task of the shuffles at least.
+BUCKET_BYTES, TASK_BYTES = 16 << 20, 64 << 20
 _END = np.uint64(xxhash.xxh64_intdigest(b" "))
 
 
@@ -144,13 +148,12 @@ def _send(docs: DataFrame, buckets: int, tokens: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, c in _chunks(batches, tokens):
             held, learnt = c.count(c.held), c.count(c.learnt)
-            ends = np.searchsorted(c.keys // width, np.arange(buckets + 1, dtype=np.uint64))
+            filled, starts = np.unique(c.keys // width, return_index=True)
             out: dict[str, list] = {x: [] for x in schema.names}
-            for b, (i, j) in enumerate(zip(ends[:-1], ends[1:])):
-                if i < j:
-                    steps = np.diff(c.keys[i:j], prepend=np.uint64(0))
-                    for name, x in zip(schema.names, (b, number, _pack(steps), _pack(held[i:j]), _pack(learnt[i:j]))):
-                        out[name].append(x)
+            for b, i, j in zip(filled.tolist(), starts, np.append(starts[1:], len(c.keys))):
+                steps = np.diff(c.keys[i:j], prepend=np.uint64(0))
+                for name, x in zip(schema.names, (b, number, _pack(steps), _pack(held[i:j]), _pack(learnt[i:j]))):
+                    out[name].append(x)
             yield _rows(out, schema)
 
     return docs.mapInArrow(run, _SENT)
@@ -159,27 +162,26 @@ def _send(docs: DataFrame, buckets: int, tokens: int) -> DataFrame:
 def _answer(sent: DataFrame) -> DataFrame:
     schema = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("checked", pa.int64()), ("held", pa.binary()), ("learnt", pa.binary()), ("owner", pa.binary())])
 
+    def answered(b: int, asked: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for _, k, _, _ in asked]
+        _, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = lambda i: np.bincount(of, weights=np.concatenate([_unpack(x[i], np.uint32) for x in asked]))  # noqa: E731  exact below 2 ** 53
+        held, learnt = total(2).astype(np.uint64), total(3).astype(np.uint64)
+        owner = np.zeros(len(of), np.uint8)
+        owner[first] = 1
+        at = 0
+        for (chunk, *_), k in zip(asked, keys):
+            mine = of[at : at + len(k)]
+            checked = int(np.bitwise_xor.reduce(k).view(np.int64))
+            yield _rows({"chunk": [chunk], "bucket": [b], "checked": [checked], "held": [_pack(held[mine])], "learnt": [_pack(learnt[mine])], "owner": [_pack(owner[at : at + len(k)])]}, schema)
+            at += len(k)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple[int, bytes, bytes, bytes]]] = {}
-        for batch in batches:
-            for b, *rest in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                by.setdefault(b, []).append(tuple(rest))
-        for b in sorted(by):
-            asked = sorted(by.pop(b))
-            keys = [np.cumsum(_unpack(k, np.uint64), dtype=np.uint64) for _, k, _, _ in asked]
-            _, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            total = lambda i: np.bincount(of, weights=np.concatenate([_unpack(x[i], np.uint32) for x in asked]))  # noqa: B023, E731  exact below 2 ** 53
-            held, learnt = total(2).astype(np.uint64), total(3).astype(np.uint64)
-            owner = np.zeros(len(of), np.uint8)
-            owner[first] = 1
-            at = 0
-            for (chunk, *_), k in zip(asked, keys):
-                mine = of[at : at + len(k)]
-                checked = int(np.bitwise_xor.reduce(k).view(np.int64))
-                yield _rows({"chunk": [chunk], "bucket": [b], "checked": [checked], "held": [_pack(held[mine])], "learnt": [_pack(learnt[mine])], "owner": [_pack(owner[at : at + len(k)])]}, schema)
-                at += len(k)
-
-    return sent.mapInArrow(run, _ANSWER)
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5))))
+        for b, asked in groupby(rows, key=lambda row: row[0]):
+            yield from answered(b, [row[1:] for row in asked])
+
+    return sent.sortWithinPartitions("bucket", "chunk").mapInArrow(run, _ANSWER)
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -199,7 +201,9 @@ def _gathered(docs: DataFrame, answers: DataFrame, parts: int, tokens: int) -> D
             yield pa.RecordBatch.from_arrays(columns, names=kept_schema.names)
 
     kept = docs.mapInArrow(keep, kept_schema).withColumns({"bucket": F.lit(-1), "checked": F.lit(None).cast("long")} | {n: F.lit(None).cast("binary") for n in ("held", "learnt", "owner")})
-    both = kept.unionByName(answers, allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket")
+    # Numbered without gaps while input partitions hold equally many chunks, so that tasks get equally many.
+    place = F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(F.lit(0xFFFFFFFF)) * kept.rdd.getNumPartitions()
+    both = kept.unionByName(answers, allowMissingColumns=True).repartitionById(parts, F.pmod(place, F.lit(parts)).cast("int")).sortWithinPartitions("chunk", "bucket")
     binary = ["sizes", "parts", "ids", "words", "pairs", "e_bucket", "e_pair", "e_first", "e_second", "e_times"]
     schema = T.StructType([kept_schema["row_ids"]] + [T.StructField(n, T.BinaryType()) for n in binary] + [T.StructField(n, T.LongType()) for n in ("n_estimate", "n_learnt", "v_learnt")])
 
@@ -284,10 +288,12 @@ def learned_weights(gathered: DataFrame, n: int, v: int, rounds: int = ROUNDS) -
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: int = CHUNK, rounds: int = ROUNDS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams, add 0.5), score (log10 of the text)."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(whole(text_col)))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    buckets = parts * (size // (parts * BUCKET_BYTES) + 1)
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("tinyint")
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), fold.alias("part"))
-    answers = _answer(_send(rows, parts, tokens).repartition(parts, "bucket"))
+    answers = _answer(_send(rows, buckets, tokens).repartitionById(parts, F.col("bucket") % parts))
     gathered = written(_gathered(rows, answers, parts, tokens), compression="zstd")
     n_estimate, n, v = (x or 0 for x in gathered.agg(F.sum("n_estimate"), F.sum("n_learnt"), F.sum("v_learnt")).first())
     weights = learned_weights(gathered, n_estimate, v, rounds)
