@@ -130,6 +130,67 @@ def test_a_template_is_deduced_without_telling_elements(spark):
     assert got == {n: f"Story {n} about thing {n * 7} It goes on {n}" for n in range(9)}
 
 
+def brute_template(pages):
+    """Occurrence vectors as tuples, classes as dictionaries: (container, the template's own texts) of a host."""
+    read = [html_text.read_page(h) for h in pages]
+    vectors, tag, article = {}, {}, {}
+    for k, page in enumerate(read):
+        for path, n in page.tags.items():
+            vectors.setdefault(path, [0] * len(read))[k] = n
+            tag[path] = (path not in page.articles, page.depth[path])
+        for b in page.blocks:
+            t = html_text._hash(b.path, b.text)
+            vectors.setdefault(t, [0] * len(read))[k] += 1
+            article[t] = b.level > 0
+    classes = {}
+    for token, v in vectors.items():
+        classes.setdefault(tuple(v), []).append(token)
+    plain = Counter()
+    for page in read:
+        for b in page.blocks:
+            for path in (None, *b.chain):
+                plain[path] += len(b.text) - b.linked
+    own, once = set(), []
+    for v, members in classes.items():
+        n = sum(x > 0 for x in v)
+        if len(read) >= html_text.LEAST_PAGES and n >= html_text.LEAST_SHARE * len(read) and len(members) >= html_text.LEAST_TOKENS and any(t in tag for t in members):
+            sure = len(read) >= html_text.ARTICLE_PAGES and n >= html_text.ARTICLE_SHARE * len(read)
+            own |= {t for t in members if t in article and (sure or not article[t])}
+            once += [(tag[t][0], plain[t], -tag[t][1], t) for t in members if t in tag and sum(v) == n and 0 < plain[t] >= html_text.CONTAINER_SHARE * plain[None]]
+    return (min(once)[3] if once else None), own
+
+
+def hidden_notices(n, host):
+    """Divisions without telling names; the notice lies inside the article's own division."""
+    story = f"<p>Story {n} of {host} tells about thing {n * 7} at length, and goes on to the end.</p><p>More {n}, and more of it {n * 3}.</p>"
+    return f"<body><div><p>Latest {n * 5}: short news</p></div><div class=x1><h2>Head {n}</h2><div><p>Reading this page means that you agree to the rules of the house, which may change at any time without a word.</p></div>{story}</div><div><p>Weather {n}</p></div></body>"
+
+
+def test_the_classes_decide_without_names(spark):
+    rows = [(n, f"http://plain{n % 2}.org/{n}", hidden_notices(n, f"h{n % 2}")) for n in range(24)]
+    got = {r["page_id"]: r for r in html_text.articles(pages(spark, rows)).collect()}
+    for n in range(24):
+        assert got[n]["text"] == f"Head {n} Story {n} of h{n % 2} tells about thing {n * 7} at length, and goes on to the end. More {n}, and more of it {n * 3}."
+        assert (got[n]["n_outside"], got[n]["n_template"], got[n]["n_named"]) == (2, 1, 0)
+        alone = html_text.extract(html_text.read_page(rows[n][2]), set(), set(), set(), None)[0]
+        assert "agree to the rules" in alone and "Weather" in alone and "Latest" in alone
+
+
+def test_deduction_equals_brute_force(spark):
+    r = random.Random(4)
+    rows = []
+    for n in range(60):
+        host = f"h{n % 7}.org" if n < 50 else "small.org"
+        kind = r.choice([hidden_notices, lambda n, h: page(f"<article><h1>T{n}</h1><p>{'word ' * r.randint(1, 60)}{n}</p><div>Read more</div></article>", n, h)]) if n % 7 == 3 else [hidden_notices, lambda n, h: page(f"<article><p>{'text ' * (n + 5)}</p><p>Share it</p></article>", n, h)][n % 2]
+        rows.append((n, f"http://{host}/{n}", kind(n, host)))
+    got = {r["host"]: (r["container"], set(r["own"] or [])) for r in html_text.templates(pages(spark, rows).withColumn("id", F.col("page_id")).withColumn("host", html_text.host_of(F.col("url")))).collect()}
+    by = {}
+    for _, url, h in rows:
+        by.setdefault(url.split("/")[2], []).append(h)
+    assert got == {host: brute_template(found) for host, found in by.items()}
+    assert any(c for c, _ in got.values()) and any(own for _, own in got.values())
+
+
 def test_slots_of_their_own_on_each_page(spark):
     """Class names that no two pages share: each page is judged by itself."""
     rows = [(n, f"http://css.org/{n}", f"<div class='x{n}a'><a href=1>Go {n}</a> <a>there {n}</a></div><div class='x{n}b'><p>Text {n} of its <a>own</a> sort</p></div>") for n in range(15)]
