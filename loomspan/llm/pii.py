@@ -1,17 +1,20 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers that no base pattern knows.
 
-Base matches are the seeds. The one or two words before a match are a lexical pattern. Patterns and the values they
-stand before are a bipartite graph; the values of all candidates (runs of digits, things with an at sign, colon-parted
-hexadecimal numbers) are in it, seeds and others. A pattern's confidence for a kind is the mean score of its distinct
-values; a value's score is 1 for a seed, else 1 - product(1 - confidence) over the patterns with enough support. After
-some rounds, a candidate that a pattern of high confidence stands before, and whose shape suits the kind, is a new span.
+Base matches are seeds; of a fifth kind, secrets, seeds are lower-case hexadecimal runs in quotes behind an equals sign.
+Patterns are what surrounds a value: the one or two words before it, the marks between those and it, the word behind it,
+that it begins a line, and the kind of the base match shortly before it. Patterns and the values they surround are a
+bipartite graph; the values of all candidates (runs of digits, things with an at sign, colon-parted hexadecimal numbers,
+long runs of letters and digits) are in it, seeds and others. A pattern's confidence for a kind is the mean score of its
+distinct values; a value's score is 1 for a seed, else 1 - product(1 - confidence) over the patterns with enough
+support. After some rounds, a candidate that a pattern of high confidence surrounds, and whose shape suits the kind, is
+a new span.
 
 All of it is DataFrame functions. Positions are code points: split() gives the text between the matches that
 regexp_extract_all() gives, and running sums of their lengths are the places.
 
-Defined cases: a null or empty text has no spans (base_sha256 is that of the empty string); repeated rows get equal
-results; of equal scores for two kinds the first of KINDS counts; an empty table gives no rows; further columns are
-left out.
+Defined cases: a null or empty text has no spans (base_sha256 is that of the empty string); texts and words of any length
+are read whole; repeated rows get equal results; of equal scores for two kinds the first of ALL_KINDS counts; an empty
+table gives no rows; further columns are left out.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, whole, written
+from .common import SPACE_CHARS, let, whole, written
 
 KINDS = ["email", "ip", "card", "phone"]
+ALL_KINDS = [*KINDS, "secret"]
 
 # Fixed values of the contract, with possessive repeats so that Java's matcher loops and never recurses, and for emails
 # and addresses a test that a run is tried from its begin only (a later begin of one run can match no more than it).
@@ -35,9 +39,13 @@ BASE = {
 }
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-#: What may be an identifier: things with an at sign in any writing, hexadecimal groups, runs of digits.
-CANDIDATE = r"[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9.-]++(?:\x20?(?:\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)*+|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}+(?![0-9A-Fa-f:])|[+(]?[0-9](?:[\x20().-]{0,2}[0-9])++"
-CONTEXT = 80
+#: Seeds of secrets.
+SECRET = r"(?<==[\x20]?\")[0-9a-f]{32,}+(?=\")"
+#: What may be an identifier: things with an at sign in any writing, long runs with letters and digits, hexadecimal
+#: groups, runs of digits.
+CANDIDATE = r"[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9.-]++(?:\x20?(?:\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)*+|(?<![A-Za-z0-9_+/-])(?=[0-9_+/-]*+[A-Za-z])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{20,}+|(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}+(?![0-9A-Fa-f:])|[+(]?[0-9](?:[\x20().-]{0,2}[0-9])++"
+#: Contexts are first looked for so many characters around a value, and in the whole text where they reach further.
+WINDOW = 80
 
 
 @dataclass(frozen=True)
@@ -67,6 +75,8 @@ def _suits(kind: str, value: Column) -> Column:
         return value.rlike(r"@|\[at\]|\(at\)")
     if kind == "ip":
         return value.rlike(r":.*:|^[0-9]+(?:\.[0-9]+){2,}$")
+    if kind == "secret":
+        return (F.length(value) >= 20) & value.rlike(r"^[A-Za-z0-9_+/-]+$") & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     n = F.length(_digits(value))
     plain = value.rlike(r"^[+(]?[0-9(][\x20().0-9-]*$")
     return plain & (n.between(12, 19) if kind == "card" else n.between(6, 15))
@@ -114,11 +124,35 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def contexts(text: Column, start: Column) -> Column:
-    """The patterns before a place: its last two words, and the last one alone; none where there is no word."""
-    before = F.lower(F.substring(text, F.greatest(F.lit(1), start - CONTEXT + 1).cast("int"), F.least(start, F.lit(CONTEXT)).cast("int")))
-    found = F.split(F.btrim(F.regexp_replace(F.regexp_replace(before, r"[^\p{L}\p{N}\s]+", " "), r"[0-9]+", "0")), r"\s+")
-    return let(F.filter(found, lambda w: w != ""), lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) == 1, F.array(F.element_at(w, -1))).otherwise(F.array(F.concat_ws(" ", F.element_at(w, -2), F.element_at(w, -1)), F.element_at(w, -1))))
+def _words_before(text: Column, start: Column) -> Column:
+    """The last two words before a place (fewer at the text's begin), numbers as 0."""
+    clean = lambda t: F.btrim(F.regexp_replace(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\s]+", " "), r"[0-9]+", "0"))
+    split = lambda t: F.filter(F.split(clean(t), r"\s+"), lambda w: w != "")
+    near = split(F.substring(text, F.greatest(F.lit(1), start - WINDOW + 1).cast("int"), F.least(start, F.lit(WINDOW)).cast("int")))
+    # The window's first word may be the end of a longer one.
+    whole_words = let(near, lambda w: F.when((F.size(w) > 2) | (start <= WINDOW), w).otherwise(split(F.substring(text, F.lit(1), start.cast("int")))))
+    return let(whole_words, lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - 1), F.lit(2)))
+
+
+def _word_behind(text: Column, end: Column) -> Column:
+    word = lambda t: F.regexp_extract(t, r"^[^\p{L}\p{N}]*+([\p{L}\p{N}]*+)", 0)
+    near = word(F.substring(text, (end + 1).cast("int"), F.lit(WINDOW)))
+    found = let(near, lambda w: F.when(F.length(w) < WINDOW, w).otherwise(word(F.substring(text, (end + 1).cast("int"), F.length(text)))))
+    return F.lower(F.regexp_replace(F.regexp_replace(found, r"[^\p{L}\p{N}]+", ""), "[0-9]+", "0"))
+
+
+def contexts(text: Column, start: Column, end: Column, base: Column) -> Column:
+    """The patterns around a value, each with a sign of its own before it."""
+    words = _words_before(text, start)
+    marks = F.regexp_extract(F.substring(text, F.greatest(F.lit(1), start - 7).cast("int"), F.least(start, F.lit(8)).cast("int")), r"([^\p{L}\p{N}]*)$", 1)
+    last = lambda w: F.element_at(w, -1)
+    before = let(words, lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) == 1, F.array(last(w))).otherwise(F.array(F.concat_ws(" ", F.element_at(w, -2), last(w)), last(w))))
+    marked = let(marks, lambda m: F.when((F.size(words) > 0) & (F.btrim(m, F.lit(SPACE_CHARS)) != ""), F.concat(F.lit("="), last(words), m)))
+    behind = let(_word_behind(text, end), lambda w: F.when(w != "", F.concat(F.lit(">"), w)))
+    line = F.when((start == 0) | (F.substring(text, start.cast("int"), F.lit(1)) == "\n"), F.lit("^"))
+    near = F.filter(base, lambda b: (b["end"] <= start) & (b["end"] > start - WINDOW))
+    neighbour = let(near, lambda n: F.when(F.size(n) > 0, F.concat(F.lit("#"), F.element_at(F.array_sort(F.transform(n, lambda b: F.struct(b["end"].alias("end"), b["kind"].alias("kind")))), -1)["kind"])))
+    return F.array_distinct(F.concat(before, F.filter(F.array(marked, behind, line, neighbour), lambda p: p.isNotNull())))
 
 
 def _digest(spans: Column) -> Column:
@@ -128,15 +162,17 @@ def _digest(spans: Column) -> Column:
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per document its base spans, and the candidates apart from them, each with the patterns before it."""
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).withColumn("base", base_spans(F.col("text")))
-    apart = F.filter(located(F.col("text"), CANDIDATE, r"[0-9@]|\[at\]|\(at\)"), lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    shaped = F.filter(apart, lambda c: _suits("email", c["value"]) | _suits("ip", c["value"]) | _suits("card", c["value"]) | _suits("phone", c["value"]))
-    with_context = lambda spans, kind: F.transform(spans, lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), contexts(F.col("text"), s["start"]).alias("patterns")))
-    return rows.select("id", F.xxhash64("text").alias("text_hash"), with_context(F.col("base"), lambda s: s["kind"]).alias("base"), with_context(shaped, lambda s: F.lit(None).cast("string")).alias("open"))
+    rows = rows.withColumn("secret", F.transform(located(F.col("text"), SECRET, "[0-9a-f]{32}"), lambda m: F.struct(F.lit("secret").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))))
+    rows = rows.withColumn("seeds", F.concat("base", "secret"))
+    apart = F.filter(located(F.col("text"), CANDIDATE, r"[0-9@]|\[at\]|\(at\)"), lambda c: ~F.exists(F.col("seeds"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    any_kind = lambda c: _suits("email", c["value"]) | _suits("ip", c["value"]) | _suits("card", c["value"]) | _suits("phone", c["value"]) | _suits("secret", c["value"])
+    with_context = lambda spans, kind: F.transform(spans, lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), contexts(F.col("text"), s["start"], s["end"], F.col("base")).alias("patterns")))
+    return rows.select("id", F.xxhash64("text").alias("text_hash"), F.size("base").alias("n_base"), with_context(F.col("seeds"), lambda s: s["kind"]).alias("seeds"), with_context(F.filter(apart, any_kind), lambda s: F.lit(None).cast("string")).alias("open"))
 
 
 def _graph(marked: DataFrame) -> DataFrame:
     """Distinct (pattern, value, kind) with kind null for what is no seed; all patterns of seeds and candidates."""
-    every = marked.where((F.size("base") > 0) | (F.size("open") > 0)).select(F.explode(F.concat("base", "open")).alias("s"))
+    every = marked.where((F.size("seeds") > 0) | (F.size("open") > 0)).select(F.explode(F.concat("seeds", "open")).alias("s"))
     return every.select(F.explode("s.patterns").alias("pattern"), F.col("s.value").alias("value"), F.col("s.kind").alias("kind")).distinct()
 
 
@@ -152,7 +188,7 @@ def confident_patterns(graph: DataFrame, how: Bootstrap = Bootstrap()) -> DataFr
     reach = written(pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= how.least_support))
     edges = written(pairs.join(reach, "pattern"))
     seeds = written(graph.where("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score")).distinct())
-    suits = F.coalesce(*[F.when((F.col("k") == kind) & _suits(kind, F.col("value")), F.lit(True)) for kind in KINDS], F.lit(False))
+    suits = F.coalesce(*[F.when((F.col("k") == kind) & _suits(kind, F.col("value")), F.lit(True)) for kind in ALL_KINDS], F.lit(False))
     scores, found = seeds, None
     for _ in range(how.rounds):
         by = edges.select("pattern", "value", "n").join(scores, "value")
@@ -165,20 +201,21 @@ def confident_patterns(graph: DataFrame, how: Bootstrap = Bootstrap()) -> DataFr
 
 
 def extracted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame:
-    """Per row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and new), n_new."""
+    """Per row: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base, secrets and new), n_spans, n_new."""
     marked = written(_marked(docs, id_col, text_col))
     patterns = written(confident_patterns(written(_graph(marked)), how))
     open_ = marked.where(F.size("open") > 0).select("id", "text_hash", F.explode("open").alias("s")).select("id", "text_hash", "s.start", "s.end", "s.value", F.explode("s.patterns").alias("pattern"))
-    suits = F.coalesce(*[F.when((F.col("kind") == kind) & _suits(kind, F.col("value")), F.lit(True)) for kind in KINDS], F.lit(False))
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    suits = F.coalesce(*[F.when((F.col("kind") == kind) & _suits(kind, F.col("value")), F.lit(True)) for kind in ALL_KINDS], F.lit(False))
+    order = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind"))
     hits = open_.join(patterns, "pattern").where(suits)
     best = hits.groupBy("id", "text_hash", "start", "end").agg(F.max_by("kind", F.struct("confidence", -order)).alias("kind"))
     new = best.groupBy("id", "text_hash").agg(F.collect_list(F.struct("kind", "start", "end")).alias("new"))
     new = new.withColumnsRenamed({"id": "__id", "text_hash": "__hash"})
-    rows = marked.select("id", "text_hash", F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("base"))
+    plain = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    rows = marked.select("id", "text_hash", plain(F.col("seeds")).alias("seeds"), plain(F.slice("seeds", F.lit(1), F.col("n_base"))).alias("base"))
     rows = rows.join(new, F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    every = F.concat("base", F.coalesce("new", none))
-    ranked = F.array_sort(F.transform(every, lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    every = F.concat("seeds", F.coalesce("new", none))
+    ranked = F.array_sort(F.transform(every, lambda s: F.struct(F.array_position(F.array(*map(F.lit, ALL_KINDS)), s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return rows.select(F.col("id").alias(id_col), *map(count, KINDS), F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(ranked).alias("spans"), F.size(F.coalesce("new", none)).cast("long").alias("n_new"))
+    return rows.select(F.col("id").alias(id_col), *map(count, KINDS), F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(ranked).alias("spans"), F.size(every).cast("long").alias("n_spans"), F.size(F.coalesce("new", none)).cast("long").alias("n_new"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -121,3 +122,64 @@ def test_a_context_of_many_kinds_discovers_nothing(spark):
 def test_running_sums(spark, n):
     got = spark.range(1).select(pii.running(F.sequence(F.lit(1), F.lit(n)).cast("array<bigint>"))).first()[0]
     assert got == [i * (i + 1) // 2 for i in range(1, n + 1)]
+
+
+def test_secrets_are_found_by_their_context(spark):
+    tail = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'set it w{i} token = "{tail(i)}" then x{i}') for i in range(8)] + [(20, f'SET IT TOKEN = "{tail(20).upper()}" NOW'), (21, 'a token = "Zk3_9fjQpLm20xT-aa81" now'), (22, f"checksum {tail(22).upper()} of a file")]
+    got = {r["doc_id"]: r for r in pii.extracted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        at = text.find('"') + 1
+        assert got[i]["spans"] == (f"secret:{at}:{text.rfind(chr(34))}" if at else "")
+        assert got[i]["n_new"] == (i in (20, 21)) and got[i]["n_spans"] == (i != 22)
+        assert got[i]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_context_is_whole_words_however_long(spark):
+    long = "x" * 500
+    rows = [(1, f"one two {long} 5"), (2, f"a b {long} c 5"), (3, "5"), (4, "é,é 5 then"), (5, f"a\n5 {long}y z"), (6, "to a@b.cd or 5")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("at", F.expr("position('5', t) - 1").cast("long"))
+    got = {r["id"]: r["p"] for r in df.select("id", pii.contexts(F.col("t"), F.col("at"), F.col("at") + 1, pii.base_spans(F.col("t"))).alias("p")).collect()}
+    assert got == {1: [f"two {long}", long], 2: [f"{long} c", "c"], 3: ["^"], 4: ["é é", "é", ">then"], 5: ["a", f">{long}y", "^"], 6: ["cd or", "or", "#email"]}
+
+
+def brute_patterns(edges, how):
+    """(pattern, kind) -> confidence from (pattern, value, kind or None), by dictionaries."""
+    values = {}
+    for p, v, _ in edges:
+        values.setdefault(p, set()).add(v)
+    seeds = {(v, k): 1.0 for _, v, k in edges if k}
+    is_open = {(p, v) for p, v, k in edges if k is None}
+    scores, found = dict(seeds), {}
+    for _ in range(how.rounds):
+        found = {}
+        for p, vs in values.items():
+            for k in {k for v, k in scores if v in vs}:
+                own = [scores[v, k] for v in vs if (v, k) in scores]
+                if sum(x >= 0.5 for x in own) >= how.least_support and sum(own) / len(vs) >= how.least_confidence / 2:
+                    found[p, k] = sum(own) / len(vs)
+        scores, missing = dict(seeds), {}
+        for (p, k), c in found.items():
+            for v in values[p]:
+                if (p, v) in is_open:
+                    missing[v, k] = missing.get((v, k), 1.0) * max(1 - c, 1e-9)
+        for at, m in missing.items():
+            scores[at] = max(scores.get(at, 0.0), 1 - m)
+    return {at: c for at, c in found.items() if c >= how.least_confidence}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_the_graph_is_scored_as_by_brute_force(spark, seed):
+    r = random.Random(seed)
+    edges = set()
+    for v in range(160):
+        phone = v % 3 != 2
+        value = f"0{v:07d}" if phone else f"{v:05d}.{v}.{v}"  # shapes that suit phones and addresses alone
+        for p in r.sample(range(8) if phone else range(6, 14), 3):
+            edges.add((f"p{p}", value, ("phone" if phone else "ip") if r.random() < 0.6 else None))
+    kinds = {}
+    edges = sorted({(p, v, kinds.setdefault(v, k)) for p, v, k in sorted(edges, key=str)}, key=str)
+    how = pii.Bootstrap(rounds=3, least_support=4, least_confidence=0.7)
+    got = pii.confident_patterns(spark.createDataFrame(edges, "pattern string, value string, kind string"), how).collect()
+    want = brute_patterns(edges, how)
+    assert want and {(r["pattern"], r["kind"]): round(r["confidence"], 9) for r in got} == {at: round(c, 9) for at, c in want.items()}
