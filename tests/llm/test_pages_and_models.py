@@ -332,3 +332,33 @@ def test_the_model_beats_its_base_on_held_out_texts(spark):
         rows.append((i, " ".join(words)))
     out = lm.scored(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > 0.6 * out[1]
+
+
+def spread_urls(n=600):
+    r = random.Random(2)
+    return [f"http://{r.choice(['www', 'm', 'blog'])}{i % 97}.site{i % 97}.{r.choice(['com', 'net', 'org'])}/{r.choice(['es', 'fr', 'de', 'en'])}/{'x' * r.randint(1, 20)}{i}" for i in range(n)]
+
+
+def test_statistics_leave_out_the_own_fold(spark):
+    rows = [("a", f, float(f == 1)) for f in range(urls.FOLDS)] + [("b", 0, 1.0)]
+    found = {(r["k_x"], r["fold"]): r["s_x"] for r in urls._statistics(spark.createDataFrame(rows, "k_x string, fold int, label double"), "k_x", smooth=1.0).collect()}
+    whole = 2 / 6
+    for key, folds in (("a", range(urls.FOLDS)), ("b", [0])):
+        for fold in range(-1, urls.FOLDS):
+            others = [label for k, f, label in rows if k == key and f != fold]
+            assert found[key, fold] == pytest.approx((sum(others) + whole) / (len(others) + 1)), (key, fold)
+    assert len(found) == 2 * (urls.FOLDS + 1)
+
+
+def test_trees_rank_labels_of_unseen_hosts(spark):
+    docs = pages(spark, [(i, u, None) for i, u in enumerate(spread_urls())])
+    assert urls.held_out_auc(docs) > 0.95
+    assert urls.held_out_auc(docs, keys=tuple(k for k in urls.KEYS if k != "two")) > 0.9
+
+
+def test_no_segment_decides_alone(spark):
+    got = urls.judged(pages(spark, [(i, u, None) for i, u in enumerate(spread_urls())])).where("rule IS NULL").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["path"].split("/")[1], set()).add(r["verdict"])
+    assert len({round(r["p_block"], 6) for r in got}) > 10 and any(len(v) == 2 for v in by.values())
