@@ -7,22 +7,22 @@ pieces that provably dominate all others of a length (Martello and Toth, 1990);
 length. Both treat all pieces of a length together, so the plan's size depends on CAPACITY alone.
 
 Defined cases: a null text counts as empty and is one piece of one id (the end, 0); a document of repeated rows is
-packed as often as it occurs; an empty table gives no rows; further columns are left out.
+packed as often as it occurs; a text of any length is encoded whole and cut into pieces; pieces of equal length go in the
+order of id and piece; an empty table gives no rows; further columns are left out.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
+import json
 import os
-import threading
-import time
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import ChainMap
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,59 +33,64 @@ from pyspark.sql import types as T
 from .common import whole, written
 
 CAPACITY = 2048
-_CACHED, _AT_ONCE = 800_000, 500
-_KNOWN: dict[str, tuple[object, dict[bytes, bytes]]] = {}
-#: When texts last came, and after how many seconds without any a worker forgets.
-_USED: list[float] = []
-_IDLE = 5.0
+_CACHED, _AT_ONCE = 300_000, 500
+# How the tokenizer that may be asked word by word lower-cases and splits.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+}
 
 #: Some bins of equal content: how many, and the (length, how many of it) in them.
 Bins = tuple[int, tuple[tuple[int, int], ...]]
 
 
-def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
-    """The ids of UTF-8 texts as little-endian 32-bit numbers, without special tokens.
+@cache
+def _loaded(path: str) -> tuple[object, bool]:
+    """The tokenizer, and whether it is as in WORDWISE."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-    The tokenizer lower-cases and never joins what white space parts, nor a comma or stop with a letter or digit before
-    it, so the ids of a text are those of its words; a worker keeps those of the first _CACHED words it meets. Where a
-    text may hold a special token's name, its case stays, since those names are told apart by case.
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    steps = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    return Tokenizer.from_file(path), said["normalizer"] == WORDWISE["normalizer"] and steps[0] == WORDWISE["split"] and said["post_processor"] is None
+
+
+class Encoder:
+    """Ids of UTF-8 texts as little-endian 32-bit numbers, without special tokens.
+
+    A tokenizer as in WORDWISE lower-cases and never joins what white space parts, nor a comma or stop with a letter or
+    digit before it, so the ids of a text are those of its words; the first _CACHED words that an encoder meets are
+    kept. Where a text may hold a special token's name, its case stays, since those names are told apart by case. Any
+    other tokenizer gets whole texts.
     """
-    if not _USED:
-        threading.Thread(target=_forget_when_idle, daemon=True).start()
-    _USED[:] = [time.monotonic()]
-    if (held := _KNOWN.get(path)) is None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        held = _KNOWN[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = held
-    split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-    new = set().union(*split).difference(known)
-    stem = {w: w[:-1] for w in new if w[-1] in b",." and w[-2:-1].isalnum()}
-    missing = list({stem.get(w, w) for w in new}.union(w[-1:] for w in stem).difference(known))
-    encoded = tokenizer.encode_batch_fast([w.decode("utf-8") for w in missing], add_special_tokens=False)
-    found = {w: array("I", e.ids).tobytes() for w, e in zip(missing, encoded)}
-    look = ChainMap(found, known)
-    found |= {w: look[s] + look[w[-1:]] for w, s in stem.items()}
-    if len(known) + len(found) <= _CACHED:
-        known.update(found)
-        look = known
-    else:
-        for words in split:
-            found.update((w, known[w]) for w in words if w not in found)
-        look = found
-    return [b"".join(map(look.__getitem__, words)) for words in split]
-
-
-def _forget_when_idle() -> None:
-    """Gives back what a worker keeps of words once no text has come for some seconds; runs beside the worker's work."""
-    while True:
-        time.sleep(_IDLE)
-        if _KNOWN and time.monotonic() - max(_USED, default=0) > _IDLE:
-            _KNOWN.clear()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer, self.wordwise = _loaded(path)
+        self.known: dict[bytes, bytes] = {}
+
+    def _encoded(self, texts: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if not self.wordwise:
+            return self._encoded(texts)
+        known = self.known
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = set().union(*split).difference(known)
+        stem = {w: w[:-1] for w in new if w[-1] in b",." and w[-2:-1].isalnum()}
+        missing = list({stem.get(w, w) for w in new}.union(w[-1:] for w in stem).difference(known))
+        found = dict(zip(missing, self._encoded(missing)))
+        look = ChainMap(found, known)
+        found |= {w: look[s] + look[w[-1:]] for w, s in stem.items()}
+        if len(known) + len(found) <= _CACHED:
+            known.update(found)
+            look = known
+        else:
+            for words in split:
+                found.update((w, known[w]) for w in words if w not in found)
+            look = found
+        return [b"".join(map(look.__getitem__, words)) for words in split]
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -93,9 +98,17 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is kept of words lives as long as the task, and then goes back to the system, not just to Python."""
+        encode = Encoder(tokenizer)
+        yield from cut(batches, encode)
+        encode.known.clear()
+        with contextlib.suppress(OSError, AttributeError):  # other systems have no malloc_trim
+            ctypes.CDLL(None).malloc_trim(0)
+
+    def cut(batches: Iterator[pa.RecordBatch], encode: Encoder) -> Iterator[pa.RecordBatch]:
         for batch in (large.slice(at, _AT_ONCE) for large in batches for at in range(0, large.num_rows, _AT_ONCE)):
             rows, ids = [], []
-            for at, tokens in enumerate(token_bytes(batch.column(1).cast(pa.binary()).to_pylist(), tokenizer)):
+            for at, tokens in enumerate(encode(batch.column(1).cast(pa.binary()).to_pylist())):
                 tokens += b"\0\0\0\0"
                 for piece, start in enumerate(range(0, len(tokens), 4 * capacity)):
                     part = tokens[start : start + 4 * capacity]

@@ -197,3 +197,16 @@ def test_the_plan_does_not_grow_with_the_corpus():
     lengths = [r.randint(1, 2048) for _ in range(20_000)]
     small, large = Counter(lengths), {k: v * 100_000 for k, v in Counter(lengths).items()}
     assert len(packing.plan(large)) < 3 * len(packing.plan(dict(small))) + 20_000
+
+
+def test_other_tokenizers_get_whole_texts():
+    """One that keeps case and white space isn't asked word by word; the ids are its own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["Hello,  World. ", "a\n\nb", "", "Ünder 12,000.5 <|endoftext|>"]
+    for name, wordwise in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        encode, plain = packing.Encoder(path), Tokenizer.from_file(path)
+        assert encode.wordwise == wordwise
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
