@@ -3,20 +3,22 @@
 Each rule has a cost and a selectivity, both estimated on a sample; the cascade asks the rules in the order of
 rejections per cost and stops at the first that rejects. The order decides how much is computed, never the verdict.
 
-Defined cases: a null text has no words; an empty text fails the length rule; repeated rows get equal verdicts; an
-empty table gives no rows (the rules then keep their written order).
+Defined cases: a null text has no words; an empty text fails the length rule; texts of any length are measured whole;
+rules of equal worth keep their written order; repeated rows get equal verdicts; an empty table gives no rows (the rules
+then keep their written order); further columns are left out by ``measured`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
-from typing import Callable
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, whole, words
+from .common import SPACE_CHARS, let, whole, words, written
 
 
 def n_words(w: Column) -> Column:
@@ -72,12 +74,28 @@ def upper_share(text: Column) -> Column:
     return F.coalesce(F.try_divide(upper.cast("double"), letters), F.lit(0.0))
 
 
+class Figures:
+    """What rules ask for, from a text and its words, or as columns where they are known; made when asked."""
+
+    def __init__(self, text: Column, w: Column, **known: Column) -> None:
+        self.text, self.words, self.known = text, w, known
+
+    def __getattr__(self, name: str) -> Column:
+        made = {
+            "n_words": lambda: n_words(self.words), "word_chars": lambda: word_chars(self.words), "n_symbols": lambda: n_symbols(self.text), "n_dup_lines": lambda: n_dup_lines(self.text),
+            "n_repeat_words": lambda: n_repeat_words(self.words), "upper_share": lambda: upper_share(self.text), "n_lines": lambda: F.size(F.split(self.text, "\n", -1)),
+        }
+        if name not in made:
+            raise AttributeError(name)
+        return self.known[name] if name in self.known else made[name]()
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects(text, words)`` is true for a document that has to go."""
+    """``rejects(figures)`` is true for a document that has to go."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    rejects: Callable[[Figures], Column]
 
 
 @dataclass(frozen=True)
@@ -91,14 +109,13 @@ class Limits:
 
 
 def rules(x: Limits = Limits()) -> list[Rule]:
-    lines = lambda t: F.size(F.split(t, "\n", -1))
     return [
-        Rule("too_short", lambda t, w: n_words(w) < x.min_words),
-        Rule("word_length", lambda t, w: ~word_chars(w).between(n_words(w) * x.mean_word[0], n_words(w) * x.mean_word[1])),
-        Rule("symbols", lambda t, w: n_symbols(t) > n_words(w) * x.max_symbols_per_word),
-        Rule("shouting", lambda t, w: upper_share(t) > x.max_upper_share),
-        Rule("equal_lines", lambda t, w: n_dup_lines(t) > lines(t) * x.max_dup_line_share),
-        Rule("repetition", lambda t, w: n_repeat_words(w) * 100 > n_words(w) * x.max_repeat_percent),
+        Rule("too_short", lambda f: f.n_words < x.min_words),
+        Rule("word_length", lambda f: ~f.word_chars.between(f.n_words * x.mean_word[0], f.n_words * x.mean_word[1])),
+        Rule("symbols", lambda f: f.n_symbols > f.n_words * x.max_symbols_per_word),
+        Rule("shouting", lambda f: f.upper_share > x.max_upper_share),
+        Rule("equal_lines", lambda f: f.n_dup_lines > f.n_lines * x.max_dup_line_share),
+        Rule("repetition", lambda f: f.n_repeat_words * 100 > f.n_words * x.max_repeat_percent),
     ]
 
 
@@ -113,58 +130,61 @@ class Step:
         return self.rejected / self.seconds
 
 
-def planned(docs: DataFrame, text_col: str = "text", of: list[Rule] | None = None, sample_rows: int = 500) -> list[Step]:
-    """The rules by falling rejection per cost, both measured on a sample of ``sample_rows`` rows at most.
+def planned(docs: DataFrame, text_col: str = "text", of: list[Rule] | None = None, sample_rows: int = 500, times: int = 3) -> list[Step]:
+    """The rules by falling rejection per cost, both measured on a sample of about ``sample_rows`` rows.
 
-    A run of each rule alone over the sample, less a run that only splits words, is its cost. The sample is the first
-    rows that Spark finds (texts of up to 100,000 characters), brought to the driver as take() does, which reads no
-    more partitions than it needs; it orders the rules and decides nothing else.
+    The sample is drawn by a hash of each row's place, from all partitions and texts of any length, and written. The
+    cost of a rule is the median time of ``times`` runs over it, less that of a run that only reads words. The
+    sample orders the rules and decides nothing else.
     """
     of = of or rules()
-    spark = docs.sparkSession
-    first = docs.select(whole(text_col).alias("t")).where(F.length("t") <= 100_000).take(sample_rows)
-    sample = spark.createDataFrame(first, "t string").withColumn("w", words(F.col("t"))).cache()
-    try:
-        total = sample.count()
-
-        def run(column: Column) -> tuple[float, float]:
+    every = max(1, docs.count() // sample_rows)
+    drawn = docs.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0)
+    sample = written(drawn.select(whole(text_col).alias("t"), words(whole(text_col)).alias("w")).repartition(1))
+    figures = Figures(F.col("t"), F.col("w"))
+
+    def run(column: Column) -> tuple[float, float]:
+        took = []
+        for _ in range(times):
             began = time.perf_counter()
             n = sample.agg(F.sum(column.cast("long"))).first()[0] or 0
-            return n, time.perf_counter() - began
-
-        run(F.size("w") > 0)
-        floor = run(F.size("w") > 0)[1]
-        steps = []
-        for rule in of:
-            n, took = run(rule.rejects(F.col("t"), F.col("w")))
-            steps.append(Step(rule, n / max(total, 1), max(took - floor, 0.001)))
-    finally:
-        sample.unpersist()
+            took.append(time.perf_counter() - began)
+        return n, median(took)
+
+    total = sample.count()
+    floor = run(F.size("w") + F.length("t") > 0)[1] if total else 0
+    steps = []
+    for rule in of:
+        n, took = run(rule.rejects(figures)) if total else (0, 1)
+        steps.append(Step(rule, n / max(total, 1), max(took - floor, 0.001)))
     return sorted(steps, key=lambda s: -s.worth) if total else steps
 
 
-def cascade(order: list[Rule], text: Column, w: Column) -> Column:
+def cascade(order: list[Rule], text: Column, w: Column, **known: Column) -> Column:
     """The name of the first rule that rejects, or null. CASE WHEN asks no rule behind that one."""
-    out = None
+    out, figures = None, Figures(text, w, **known)
     for rule in order:
-        out = (out.when if out is not None else F.when)(rule.rejects(text, w), F.lit(rule.name))
+        out = (out.when if out is not None else F.when)(rule.rejects(figures), F.lit(rule.name))
     return out
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", of: list[Rule] | None = None) -> DataFrame:
-    """The documents that no rule rejects, with all their columns."""
+    """The documents that no rule rejects, with all their columns; a figure is made only where a rule is asked."""
     order = [s.rule for s in planned(docs, text_col, of)]
     return docs.where(let(words(whole(text_col)), lambda w: cascade(order, whole(text_col), w)).isNull())
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_words, the figures that the rules use, base_failed, and kept as the cascade says."""
-    order = [s.rule for s in planned(docs, text_col)]
-    rest = [r for r in order if r.name not in ("too_short", "repetition")]
-    x = Limits()
+    """Per document: n_words, the figures of the base rules, base_failed, and kept as the cascade says.
+
+    The base figures are asked for of every document, so the rules read them from columns; what a document that fails
+    the base rules, or a rule before, saves is the figures that only later rules need.
+    """
+    order = [s.rule for s in planned(docs, text_col, [r for r in rules() if r.name not in ("too_short", "repetition")])]
+    x, names = Limits(), ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("t")).withColumn("w", words(F.col("t")))
-    rows = rows.select("id", "t", "w", n_words(F.col("w")).alias("n_words"), word_chars(F.col("w")).alias("word_chars"), n_symbols(F.col("t")).alias("n_symbols"), n_dup_lines(F.col("t")).alias("n_dup_lines"), n_repeat_words(F.col("w")).alias("n_repeat_words"))
+    made = Figures(F.col("t"), F.col("w"))
+    rows = rows.select("id", "t", "w", *[getattr(made, name).alias(name) for name in names])
     failed = (F.col("n_words") < x.min_words) | (100 * F.col("n_repeat_words") > x.max_repeat_percent * F.col("n_words"))
-    return rows.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(cascade(rest, F.col("t"), F.col("w")).isNull()).alias("kept")
-    )
+    passed = cascade(order, F.col("t"), F.col("w"), **{name: F.col(name) for name in names}).isNull()
+    return rows.select(F.col("id").alias(id_col), *names, failed.alias("base_failed"), F.when(failed, F.lit(False)).otherwise(passed).alias("kept"))
