@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the columns of
 documents; the last returns where each piece of the packed documents lies.
+
+Defined cases, as the operators have them: a null text counts as empty and fails the quality rules; a null id is an id
+of its own, a null source a source; texts of any length are whole in every stage; of equal texts the one with the
+smallest id stays, of rows with equal id and text one; an empty table gives no rows; further columns of documents, with
+whatever names, are kept by all stages but the last.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomspan.llm import exact_dedup, mixing, packing, quality, simhash
-from loomspan.llm.common import shared_dir, table
+from loomspan.llm.common import remove, shared_dir, table, temporary
 from loomspan.llm.queries import tokenizer
 
 
@@ -48,10 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written and read again as the next one's."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's rows are written and read again as the next one's, then removed."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        path = shared_dir(spark)
+        path = temporary(spark, shared_dir(spark))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

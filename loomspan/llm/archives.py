@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, sieved, unhexed, whole
+from .common import shared_dir, sieved, temporary, unhexed, whole
 
 # The header fields of ARC files, by version, and the profile of records that repeat a payload.
 ARC_FIELDS = {
@@ -241,7 +241,7 @@ def read_archives(spark, path: str, id_type: T.DataType) -> DataFrame:
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Writes the archives and reads them back: a row for each record."""
-    path = path or shared_dir(pages.sparkSession)
+    """Writes the archives and reads them back: a row for each record. Without ``path`` they go when the driver ends."""
+    path = path or temporary(pages.sparkSession, shared_dir(pages.sparkSession))
     write_archives(pages, path, id_col, url_col, payload_col, least_bytes)
     return read_archives(pages.sparkSession, path, pages.schema[id_col].dataType).withColumnRenamed("id", id_col)

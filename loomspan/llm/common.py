@@ -85,11 +85,25 @@ def unboxed(rows: DataFrame, names: list[str], box: str = "doc") -> DataFrame:
     return rows.select(*[F.col(box)[f"c{i}"].alias(c) for i, c in enumerate(names)])
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def temporary(spark: SparkSession, path: str) -> str:
+    """``path``, which is removed when the driver ends."""
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
     """Cuts the lineage: the rows as a Parquet table in the shared folder, removed when the driver ends."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.options(**options).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(temporary(spark, path))
