@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import whole, written
 
 CAPACITY = 2048
-_CACHED, _AT_ONCE = 300_000, 500
+_CACHED, _AT_ONCE, GROUP = 500_000, 500, 32
 # How the tokenizer that may be asked word by word lower-cases and splits.
 WORDWISE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -45,15 +45,20 @@ Bins = tuple[int, tuple[tuple[int, int], ...]]
 
 
 @cache
-def _loaded(path: str) -> tuple[object, bool]:
-    """The tokenizer, and whether it is as in WORDWISE."""
+def _loaded(path: str) -> tuple[object, np.ndarray | None]:
+    """The tokenizer, and if it is as in WORDWISE which ids end a run of letters."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
         said = json.load(file)
-    steps = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-    return Tokenizer.from_file(path), said["normalizer"] == WORDWISE["normalizer"] and steps[0] == WORDWISE["split"] and said["post_processor"] is None
+    tokenizer, steps, ending = Tokenizer.from_file(path), (said["pre_tokenizer"] or {}).get("pretokenizers", [{}]), said["model"].get("end_of_word_suffix")
+    if said["normalizer"] != WORDWISE["normalizer"] or steps[0] != WORDWISE["split"] or said["post_processor"] is not None or not ending:
+        return tokenizer, None
+    vocabulary = tokenizer.get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[i for token, i in vocabulary.items() if token.endswith(ending)]] = True
+    return tokenizer, last
 
 
 class Encoder:
@@ -66,21 +71,40 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.wordwise = _loaded(path)
+        self.tokenizer, self.last = _loaded(path)
         self.known: dict[bytes, bytes] = {}
 
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
 
+    def _of_letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, asked for GROUP at a time and parted behind each id that ends a run of letters.
+
+        Every word has one such id or more, so that as many as there are words means one each; else they go one by one.
+        """
+        groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+        out: list[bytes] = []
+        for group, data in zip(groups, self._encoded([b" ".join(g) for g in groups])):
+            ends = np.flatnonzero(self.last[np.frombuffer(data, "<u4")])
+            if len(ends) == len(group):
+                at = [0, *(4 * ends + 4).tolist()]
+                out += [data[a:b] for a, b in zip(at, at[1:])]
+            else:
+                out += self._encoded(group)
+        return out
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if not self.wordwise:
+        if self.last is None:
             return self._encoded(texts)
         known = self.known
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         new = set().union(*split).difference(known)
         stem = {w: w[:-1] for w in new if w[-1] in b",." and w[-2:-1].isalnum()}
         missing = list({stem.get(w, w) for w in new}.union(w[-1:] for w in stem).difference(known))
-        found = dict(zip(missing, self._encoded(missing)))
+        letters = [w for w in missing if w.isalpha() or w.decode("utf-8").isalpha()]
+        found = dict(zip(letters, self._of_letters(letters)))
+        others = [w for w in missing if w not in found]
+        found.update(zip(others, self._encoded(others)))
         look = ChainMap(found, known)
         found |= {w: look[s] + look[w[-1:]] for w, s in stem.items()}
         if len(known) + len(found) <= _CACHED:
