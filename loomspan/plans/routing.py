@@ -170,4 +170,5 @@ def run_pasted(loaded, sql: str, max_rows: int = 200):
     from .guard import guard
 
     catalog: Catalog = loaded.catalog
-    return loaded.sql(guard(loaded.spark, sql, {n for n, v in catalog.views.items() if not v.base}, max_rows=max_rows))
+    offered = {n: v for n, v in catalog.views.items() if not v.base}
+    return loaded.sql(guard(loaded.spark, sql, set(offered), columns={n: list(v.kinds) for n, v in offered.items()}, max_rows=max_rows))

@@ -178,3 +178,32 @@ def test_rewrites():
     assert routing.window_of("d >= DATE '2024-01-01' AND d < DATE '2024-02-01'") == ("2024-01-01", "2024-02-01")
     assert routing.beyond(D(2024, 1, 1), (D(2024, 1, 1), D(2024, 1, 31))) and routing.beyond(D(2024, 1, 30), (D(2024, 1, 1), D(2024, 1, 31))) is None
     assert closest("byer house", ["Buyer House", "Other"]) == "Buyer House" and closest("abc", ["abd", "abe"]) is None and closest("X", ["x"]) == "x"
+
+
+@pytest.mark.parametrize(
+    "text,days",
+    [
+        ("may i see the orders", (D(2026, 11, 5), D(2026, 11, 12))), ("october 12 2026", (D(2026, 10, 12), D(2026, 10, 13))), ("12.10.2026", (D(2026, 10, 12), D(2026, 10, 13))),
+        ("12-10-25", (D(2025, 10, 12), D(2025, 10, 13))), ("yesterdays report", (D(2026, 11, 4), D(2026, 11, 5))), ("toady", (D(2026, 11, 5), D(2026, 11, 6))), ("the 12th of October", (D(2026, 10, 12), D(2026, 10, 13))),
+        ("Oct. 7th to 9 oct", (D(2026, 10, 7), D(2026, 10, 10))), ("line 3 and 4", (D(2026, 11, 5), D(2026, 11, 12))), ("today's output", (D(2026, 11, 5), D(2026, 11, 6))),
+    ],
+)
+def test_written_days(text, days):
+    assert periods.window(text, D(2026, 11, 5))[0] == days
+
+
+def test_days_that_do_not_exist_are_refused():
+    assert periods.window("31-02-2026", T) is None and periods.window("30 february", T) is None
+
+
+def test_what_slipped_through_the_guard(spark):
+    denied = ["WITH secret AS (SELECT * FROM secret) SELECT * FROM secret", "WITH a AS (SELECT * FROM b), b AS (SELECT * FROM ok) SELECT * FROM a", "SELECT x, password FROM ok", "SELECT * FROM range(10)", "SELECT x FROM ok WHERE y IN (SELECT y FROM secret)", "SELECT original_login() FROM ok"]
+    for sql in denied:
+        with pytest.raises(Denied):
+            guard(spark, sql, {"ok"})
+    inner = "SELECT a.x FROM ok a CROSS JOIN (SELECT y FROM ok LIMIT 5) b"
+    assert guard(spark, inner, {"ok"}).endswith("LIMIT 200") and guard(spark, "WITH a AS (SELECT x FROM ok) SELECT x FROM a LIMIT 7", {"ok"}).endswith("LIMIT 7")
+    with pytest.raises(Denied):
+        guard(spark, "SELECT a FROM big WHERE 1 = 1", {"big"}, rows={"big": 2_000_000})
+    with pytest.raises(Denied):
+        guard(spark, "SELECT * FROM staff", {"staff"}, columns={"staff": ["Name", "Salary"]})
