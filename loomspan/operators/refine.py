@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,10 +44,11 @@ class RefinePlan:
 
 
 def ordered(df: DataFrame, *order: Column) -> DataFrame:
-    """Gives a bounded result (a page of rows, as shown to a user) its positions."""
+    """Gives a result its positions: what it is ordered by, ascending, as one value that compares as they do. No row
+    needs to know how many are before it, so a result of any size stays where it is."""
     if not order:
         raise Refused("without an order or keys there is no first and last")
-    return df.withColumn("__pos", F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn("__pos", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
 
 
 def is_text(df: DataFrame, column: str) -> bool:
@@ -130,8 +131,8 @@ def apply(df: DataFrame, plan: RefinePlan, capped: bool = False) -> DataFrame:
 
 
 def tail(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """The last n rows of an order: the first n of the order turned round, which Spark takes from each task."""
-    return df.orderBy(*[_turned(o) for o in order]).limit(n)
+    """The last n rows of an order, in that order: the first n of it turned round, which Spark takes from each task."""
+    return df.orderBy(*[_turned(o) for o in order]).limit(n).orderBy(*order)
 
 
 def _turned(order: Column) -> Column:
@@ -172,5 +173,7 @@ def summarize(df: DataFrame, cut: bool = False) -> DataFrame:
 def natural_order(df: DataFrame, column: str, n: int, total_label: str = "Total") -> DataFrame:
     """Numbers inside text by their value, without case; blanks last, a total row behind all."""
     text = F.lower(F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))))
-    padded = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0)), lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(x)), "")
+    # A number compares by how many digits it has without leading zeros, then by them.
+    number = lambda x: F.ltrim(x, F.lit("0"))
+    padded = F.transform(F.regexp_extract_all(text, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0)), lambda x: F.when(x.rlike("^[0-9]"), F.struct(F.lit("0").alias("a"), F.length(number(x)).alias("b"), number(x).alias("c"))).otherwise(F.struct(x.alias("a"), F.lit(0).alias("b"), F.lit("").alias("c"))))
     return df.orderBy((text == total_label.lower()), (text == ""), padded, column).limit(n)

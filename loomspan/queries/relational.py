@@ -187,12 +187,12 @@ def own_last_days(spark, sf):
 
 
 def _shown(spark, sf) -> DataFrame:
-    """A result as a user sees it: the first 150 orders of a factory, with positions."""
-    o = _load(spark, sf).view("vw_ExportOrder").where("Factory = 'ASIA'").select("ExportOrderID", "Buyer", "Style", "Status", "OrderQty", "PCD").orderBy("PCD", "ExportOrderID").limit(150)
+    """A result as a user sees it: the orders of a factory, with positions."""
+    o = _load(spark, sf).view("vw_ExportOrder").where("Factory = 'ASIA'").select("ExportOrderID", "Buyer", "Style", "Status", "OrderQty", "PCD")
     return refine.ordered(o, F.col("PCD"), F.col("ExportOrderID"))
 
 
-SHOWN = "shown AS (SELECT *, row_number() OVER (ORDER BY PCD, ExportOrderID) AS pos FROM (SELECT ExportOrderID, Buyer, Style, Status, OrderQty, PCD FROM vw_ExportOrder WHERE Factory = 'ASIA' ORDER BY PCD, ExportOrderID LIMIT 150) x)"
+SHOWN = "shown AS (SELECT *, row_number() OVER (ORDER BY PCD, ExportOrderID) AS pos FROM (SELECT ExportOrderID, Buyer, Style, Status, OrderQty, PCD FROM vw_ExportOrder WHERE Factory = 'ASIA') x)"
 
 
 def _refined(plan: RefinePlan):

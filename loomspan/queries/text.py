@@ -185,18 +185,18 @@ PURGED = "SELECT role, count(*) AS n FROM conversations WHERE conv_id % 6 <> 0 A
 
 def redact_by_request(spark, sf):
     e = _t(spark, sf, "events").select("event_id", F.col("user_id").alias("request_id"), F.col("event_type").alias("database"), F.col("props").alias("statement"))
-    out = store.redacted(e.where("event_id < 2000"), ["purchase"], ["statement", "database"])
+    out = store.redacted(e, ["purchase"], ["statement", "database"])
     return out.groupBy(F.col("database").alias("shown")).agg(F.count("*").alias("n"))
 
 
-REDACTED = "WITH e AS (SELECT event_id, user_id, event_type FROM events WHERE event_id < 2000), b AS (SELECT DISTINCT user_id FROM e WHERE event_type = 'purchase') SELECT CASE WHEN b.user_id IS NOT NULL THEN '(withheld)' ELSE event_type END AS shown, count(*) AS n FROM e LEFT JOIN b USING (user_id) GROUP BY 1"
+REDACTED = "WITH e AS (SELECT event_id, user_id, event_type FROM events), b AS (SELECT DISTINCT user_id FROM e WHERE event_type = 'purchase') SELECT CASE WHEN b.user_id IS NOT NULL THEN '(withheld)' ELSE event_type END AS shown, count(*) AS n FROM e LEFT JOIN b USING (user_id) GROUP BY 1"
 
 
 def rotated_logs(spark, sf):
     """Log files of two layouts by name, what one lacks is null."""
     e = _t(spark, sf, "events")
-    a, b = e.where("event_id < 50").select("ts", "user_id", "event_type"), e.where("event_id >= 50 AND event_id < 100").select("ts", "user_id", "value")
-    return store.all_logs(a, b).where("user_id % 2 = 0").select("user_id", "event_type", F.round("value", 4).alias("value"))
+    a, b = e.where("event_type IN ('view', 'click')").select("ts", "user_id", "event_type"), e.where("event_type IS NULL OR event_type NOT IN ('view', 'click')").select("ts", "user_id", "value")
+    return store.all_logs(a, b).select("user_id", "event_type", F.round("value", 4).alias("value"))
 
 
 def latency_percentiles(spark, sf):
@@ -316,7 +316,7 @@ QUERIES = {f"copy_{n}": (_copy(n), CATALOG.with_views(sql)) for n, sql in copies
     "upsert_turns": (upsert_turns, "WITH o AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY 1, 2) SELECT CASE WHEN conv_id % 4 = 0 THEN 'edited' ELSE role END AS role, CASE WHEN conv_id % 4 = 0 THEN 2 ELSE 1 END AS stamp, count(*) AS n FROM o GROUP BY 1, 2"),
     "purge_old": (purge_old, PURGED),
     "redact_by_request": (redact_by_request, REDACTED),
-    "rotated_logs": (rotated_logs, "SELECT user_id, CASE WHEN event_id < 50 THEN event_type END AS event_type, CASE WHEN event_id >= 50 THEN round(value, 4) END AS value FROM events WHERE event_id < 100 AND user_id % 2 = 0"),
+    "rotated_logs": (rotated_logs, "SELECT user_id, CASE WHEN event_type IN ('view', 'click') THEN event_type END AS event_type, CASE WHEN event_type IN ('view', 'click') THEN NULL ELSE round(value, 4) END AS value FROM events"),
     "latency_percentiles": (latency_percentiles, "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY event_type"),
     "events_json": (events_json, "SELECT event_type, CAST(sum(k) AS bigint) AS k, count(*) FILTER (WHERE k IS NULL) AS nulls FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS bigint) AS k FROM events) x GROUP BY event_type"),
     "calls_today": (calls_today, CALLS),

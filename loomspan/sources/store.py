@@ -34,12 +34,17 @@ class Copies:
         out = self._fs.create(new, True)
         out.write(bytearray(json.dumps(meta).encode()))
         out.close()
-        old = self._pointer(name)
-        if self._fs.exists(old):
-            self._fs.delete(old, False)
-        self._fs.rename(new, old)
+        self._replace(new, self._pointer(name))
         return meta
 
+    def _replace(self, new, old) -> None:
+        """Renames over the pointer in one step, so that readers find the pointer before or the one after."""
+        spark = self.spark.sparkContext
+        fs = spark._jvm.org.apache.hadoop.fs
+        options = spark._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        options[0] = getattr(fs, "Options$Rename").OVERWRITE
+        fs.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, old, options)
+
     def meta(self, name: str) -> dict | None:
         if not self._fs.exists(self._pointer(name)):
             return None
@@ -131,9 +136,10 @@ def purged(conversations: DataFrame, turns: DataFrame, before: dt.datetime) -> t
 
 
 def redacted(log: DataFrame, denied: list[str], columns: list[str], by: str = "request_id", what: str = "database") -> DataFrame:
-    """Rows that name something denied, and every row of the same request, with their texts replaced."""
-    bad = log.where(F.col(what).isin(*denied)).select(by).distinct().withColumn("__bad", F.lit(True))
-    marked = log.join(bad, by, "left")
+    """Rows that name something denied, and every row of the same request, with their texts replaced. A row without a
+    request is one of its own."""
+    bad = log.where(F.col(what).isin(*denied) & F.col(by).isNotNull()).select(by).distinct().withColumn("__bad", F.lit(True))
+    marked = log.join(bad, by, "left").withColumn("__bad", F.coalesce("__bad", F.col(what).isin(*denied)))
     return marked.select(*[F.when(F.col("__bad"), F.lit("(withheld)")).otherwise(F.col(c).cast("string")).alias(c) if c in columns else F.col(c) for c in log.columns])
 
 

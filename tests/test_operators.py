@@ -226,3 +226,18 @@ def test_events_arrive_once(spark, tmp_path):
         append_new(spark, source, events.schema, sink, f"{tmp_path}/state")
     assert spark.read.parquet(sink).count() == 10
     assert [r["n"] for r in by_window(spark.read.parquet(sink)).orderBy("start").collect()] == [5, 5]
+
+
+def test_the_last_rows_keep_their_order(spark):
+    shown = refine.ordered(spark.createDataFrame([(i,) for i in (3, 1, 4, 2)], "OrderID int"), F.col("OrderID"))
+    assert [r[0] for r in refine.apply(shown, refine.RefinePlan(limit=2, from_end=True)).collect()] == [3, 4]
+
+
+def test_long_numbers_sort_by_value(spark):
+    texts = ["a" + "9" * 25, "a1" + "0" * 25, "a02", "a10", "a2b", "", "total"]
+    assert [r[0] for r in refine.natural_order(spark.createDataFrame([(t,) for t in texts], "t string"), "t", 9).collect()] == ["a02", "a2b", "a10", texts[0], texts[1], "", "total"]
+
+
+def test_rows_without_a_request_are_withheld_too(spark):
+    log = spark.createDataFrame([(None, "hr", "q1"), (None, "ok", "q2"), (1, "hr", "q3"), (1, "ok", "q4"), (2, "ok", "q5")], "request_id int, database string, statement string")
+    assert sorted(r["statement"] for r in store.redacted(log, ["hr"], ["statement"]).collect()) == ["(withheld)"] * 3 + ["q2", "q5"]
