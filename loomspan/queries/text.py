@@ -106,6 +106,13 @@ def contents_pages(spark, sf):
     return documents.contents_pages(documents.pages_of(_t(spark, sf, "documents"), 10))
 
 
+CONTENTS = r"""
+WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)
+SELECT doc_id, pos // 10 AS page, count(*) FILTER (WHERE regexp_matches(text, '(\.[ ]?){4,}[ ]*([0-9]+|[ivxlcdmIVXLCDM]+)[ ]*$')) AS dotted, count(*) AS lines
+FROM p WHERE trim(text) <> '' GROUP BY 1, 2 HAVING dotted >= 5 AND dotted * 2 >= count(*)
+"""
+
+
 def superseded(spark, sf):
     t = _t(spark, sf, "pages").select(F.col("url").alias("source"), F.concat(F.lit("Manual "), F.col("page_id") % 20, F.lit(" Rev "), F.floor(F.col("page_id") / 20) + 1, F.lit("."), F.col("page_id") % 3).alias("title"))
     return documents.superseded(t)
@@ -304,7 +311,7 @@ QUERIES = {f"copy_{n}": (_copy(n), CATALOG.with_views(sql)) for n, sql in copies
     "change_detection": (change_detection, "SELECT doc_id, CASE WHEN doc_id < 20 THEN 'new' WHEN doc_id % 11 = 0 THEN 'gone' ELSE 'changed' END AS state FROM documents WHERE (doc_id < 20 AND doc_id % 11 <> 0) OR (doc_id >= 20 AND (doc_id % 11 = 0 OR doc_id % 7 = 0))"),
     "chunk_documents": (chunk_documents, None),
     "repeated_lines": (repeated_lines, REPEATED),
-    "contents_pages": (contents_pages, None),
+    "contents_pages": (contents_pages, CONTENTS),
     "superseded": (superseded, SUPERSEDED),
     "index_consistency": (index_consistency, CONSISTENT),
     "duplicate_names": (duplicate_names, "SELECT name, path, indexed FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY indexed DESC, path) AS rn FROM (SELECT 'file' || (doc_id % 50) || '.pdf' AS name, source || '/' || doc_id AS path, doc_id % 9 = 0 AS indexed FROM documents) f) x WHERE rn = 1"),

@@ -241,3 +241,39 @@ def test_long_numbers_sort_by_value(spark):
 def test_rows_without_a_request_are_withheld_too(spark):
     log = spark.createDataFrame([(None, "hr", "q1"), (None, "ok", "q2"), (1, "hr", "q3"), (1, "ok", "q4"), (2, "ok", "q5")], "request_id int, database string, statement string")
     assert sorted(r["statement"] for r in store.redacted(log, ["hr"], ["statement"]).collect()) == ["(withheld)"] * 3 + ["q2", "q5"]
+
+
+@pytest.mark.parametrize(
+    "line,is_one",
+    [
+        ("3.2 Change after fabric in-house", True), ("1.7  Exceptions", True), ("4) Scope", True), ("10 minutes before the meeting", False), ("30 Days after delivery", False), ("2 Years for trend analysis", False),
+        ("SOP-02 — New Joiner Setup", True), ("SOP-02", False), ("PART B — IT OPERATIONS POLICIES", True), ("Annexure F", True), ("Part A (Chapters 3–9) applies to all", False), ("Annexure A and may be updated", False),
+        ("1.7.1", False), ("2.", False), ("12 pcs of cloth", False), ("3 Ends with a stop.", False), ("1.2.3.4.5 Too deep", False), ("5 " + "Word " * 12, False), ("", False), ("১.২ পরিধি", True),
+    ],
+)
+def test_headings(line, is_one):
+    assert documents.is_heading(line) == is_one
+
+
+def test_long_bodies_are_cut_between_paragraphs_then_sentences():
+    a, b, c = "Aa " * 50, "Bb " * 50, "Cc. " * 100
+    assert documents.split_long(f"{a}\n\n{b}", 400, 20) == [f"{a.strip()}\n\n{b.strip()}"]
+    assert documents.split_long(f"{a}\n\n{b}", 200, 20) == [a.strip(), " ".join(["Aa"] * 7) + "\n\n" + b.strip()]
+    sentences = documents.split_long(c, 100, 10)
+    assert all(len(x) <= 100 and x.endswith("Cc.") for x in sentences) and "".join(sentences).count("Cc.") >= 100
+    assert documents.split_long("", 100, 10) == []
+
+
+def test_a_heading_goes_on_to_the_next_page():
+    body = "Text of it. " * 60
+    first, heading = documents.chunk_page(f"1.1 Scope\n{body}", "Manual")
+    second, last = documents.chunk_page(f"{body}\n2 Next\nshort", "Manual", heading)
+    assert heading == "1.1 Scope" and last == "2 Next"
+    assert [c.split("\n")[0] for c in first + second] == ["Manual › 1.1 Scope", "Manual › 1.1 Scope", "Manual › 2 Next"]
+    assert second[-1] == "Manual › 2 Next\nshort"
+
+
+def test_roman_page_numbers_in_contents(spark):
+    lines = [(1, 0, i, t) for i, t in enumerate(["Scope ..... 3", "Preface . . . . iv", "Terms ....... 12", "Rules .... xii", "Ends ..... 9", "a | b | c"])] + [(1, 1, i, "a | b") for i in range(9)]
+    got = documents.contents_pages(spark.createDataFrame(lines, "doc_id int, page int, line int, text string"))
+    assert [tuple(r) for r in got.collect()] == [(1, 0, 5, 6)]
