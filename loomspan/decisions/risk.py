@@ -125,6 +125,29 @@ def current_outcomes(versions: DataFrame) -> DataFrame:
     return changed.groupBy("prediction_id").agg(F.max_by("outcome_level", "written").alias("outcome_level"), F.sum(F.coalesce("changed", F.lit(0))).alias("revised"))
 
 
+def written_outcomes(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``predictions`` (id, outcome_level, outcome_totals, outcome_at, revised and more) after ``outcomes`` (id, level,
+    totals, written) are recorded.
+
+    An outcome that is there already and changes in level or totals counts as revised, so that a back-test can leave
+    out subjects that were settled early and then moved. Outcomes of unknown predictions are not recorded.
+    """
+    new = outcomes.select(F.col("id").alias("__id"), F.col("level").alias("level_now"), F.col("totals").alias("totals_now"), "written")
+    both = predictions.join(new, F.col("id") == F.col("__id"), "left")
+    told, had = F.col("__id").isNotNull(), F.col("outcome_at").isNotNull()
+    changed = told & had & ~(F.col("outcome_level").eqNullSafe(F.col("level_now")) & F.col("outcome_totals").eqNullSafe(F.col("totals_now")))
+    values = {"outcome_level": F.when(told, F.col("level_now")).otherwise(F.col("outcome_level")), "outcome_totals": F.when(told, F.col("totals_now")).otherwise(F.col("outcome_totals")), "outcome_at": F.when(told, F.col("written")).otherwise(F.col("outcome_at")), "revised": F.col("revised") + changed.cast("int")}
+    return both.select(*[values.get(c, F.col(c)).alias(c) for c in predictions.columns])
+
+
+def due(dimensions: DataFrame, runs: DataFrame, day: dt.date) -> DataFrame:
+    """Of ``dimensions`` (dimension, mapped) those with no run (dimension, started) on the day, with ``state``: "due", or
+    "unmapped" for one that has rules but nothing to read, which could never write its run."""
+    today = runs.where(F.to_date("started") == F.lit(day)).select("dimension").distinct()
+    left = dimensions.join(today, "dimension", "left_anti")
+    return left.select("dimension", F.when(F.col("mapped"), F.lit("due")).otherwise(F.lit("unmapped")).alias("state"))
+
+
 def drift(rules: list[RiskRule], targets: DataFrame) -> DataFrame:
     """Configured amber limits that differ from the source's targets (Setting, Target)."""
     spark = targets.sparkSession

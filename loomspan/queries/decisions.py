@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..decisions import backtest, playbook, quality, risk, watch
 from ..functions.stats import Z
 from ..plans.views import CATALOG
+from ..sources.tables import table
 
 NEWEST, DAYS = dt.date(2000, 6, 30), 60
 FIRST, LAST, EVERY, WINDOW = dt.date(2000, 1, 1), dt.date(2000, 12, 30), 7, 28
@@ -136,7 +137,32 @@ def action_options(spark, sf):
     return playbook.options(with_levels, costs).select("Factory", "FileNo", "level", "playbook", "action", "cost", "reasons")
 
 
+def dimensions_due(spark, sf):
+    """Order priorities as dimensions, orders as their runs: which had none on a day, and which have nothing to read."""
+    o = table(spark, sf, "orders")
+    dimensions = o.select(F.concat_ws(" / ", "o_orderpriority", "o_orderstatus").alias("dimension")).distinct().withColumn("mapped", ~F.col("dimension").endswith("P"))
+    runs = o.where("o_orderkey % 50 = 0").select(F.concat_ws(" / ", "o_orderpriority", "o_orderstatus").alias("dimension"), F.col("o_orderdate").alias("started"))
+    return risk.due(dimensions, runs, dt.date(1997, 6, 2))
+
+
+DUE = "SELECT dimension, CASE WHEN dimension LIKE '%P' THEN 'unmapped' ELSE 'due' END AS state FROM (SELECT DISTINCT o_orderpriority || ' / ' || o_orderstatus AS dimension FROM orders) d WHERE dimension NOT IN (SELECT o_orderpriority || ' / ' || o_orderstatus FROM orders WHERE o_orderkey % 50 = 0 AND CAST(o_orderdate AS date) = DATE '1997-06-02')"
+
+
+def outcomes_rewritten(spark, sf):
+    """Orders as predictions, some with an outcome; later outcomes of every third are recorded."""
+    o = table(spark, sf, "orders")
+    had = F.col("o_orderkey") % 2 == 0
+    predictions = o.select(F.col("o_orderkey").alias("id"), F.when(had, F.col("o_orderstatus")).alias("outcome_level"), F.when(had, F.floor("o_totalprice")).alias("outcome_totals"), F.when(had, F.col("o_orderdate")).alias("outcome_at"), (F.col("o_orderkey") % 5).cast("int").alias("revised"))
+    outcomes = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 9 == 0, "X").otherwise(F.col("o_orderstatus")).alias("level"), F.floor("o_totalprice").alias("totals"), F.lit(dt.datetime(2000, 1, 1)).alias("written"))
+    return risk.written_outcomes(predictions, outcomes).groupBy("outcome_level").agg(F.count("*").alias("n"), F.sum("revised").alias("revised"), F.sum("outcome_totals").alias("totals"), F.count_if(F.year("outcome_at") == 2000).alias("rewritten"))
+
+
+REWRITTEN = "WITH p AS (SELECT *, o_orderkey % 2 = 0 AS had, o_orderkey % 3 = 0 AS told, CASE WHEN o_orderkey % 9 = 0 THEN 'X' ELSE o_orderstatus END AS level FROM orders) SELECT CASE WHEN told THEN level WHEN had THEN o_orderstatus END AS outcome_level, count(*) AS n, CAST(sum(o_orderkey % 5 + CASE WHEN told AND had AND level <> o_orderstatus THEN 1 ELSE 0 END) AS bigint) AS revised, CAST(sum(CASE WHEN told OR had THEN CAST(floor(o_totalprice) AS bigint) END) AS bigint) AS totals, count(*) FILTER (WHERE told OR (had AND year(o_orderdate) = 2000)) AS rewritten FROM p GROUP BY 1"
+
+
 QUERIES = {f"dq_{c.name}": ((lambda spark, sf, c=c: quality.run_check(CATALOG.load(spark, sf), c)), quality.statement(CATALOG, c)) for c in quality.CHECKS} | {
+    "dimensions_due": (dimensions_due, DUE),
+    "outcomes_rewritten": (outcomes_rewritten, REWRITTEN),
     "watch_levels": (_signals, SIGNALS),
     "health_score": (lambda spark, sf: watch.health(_signals(spark, sf)), _on_signals("SELECT round_even(100.0 * (n - red - amber * 0.5) / n, 0) AS health, n AS levelled, red, amber FROM (SELECT count(*) AS n, count(*) FILTER (WHERE level = 'red') AS red, count(*) FILTER (WHERE level = 'amber') AS amber FROM signals_all WHERE kind = 'ops' AND level <> 'info') x")),
     "attention_top": (lambda spark, sf: watch.attention(_signals(spark, sf)), _on_signals("SELECT * FROM signals_all WHERE level IN ('red', 'amber') ORDER BY CASE level WHEN 'red' THEN 0 ELSE 1 END, weight DESC, value DESC NULLS LAST, Factory, rule LIMIT 5")),

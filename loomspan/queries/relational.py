@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import pct, ratio, weighted
+from ..functions.units import in_base_units
 from ..operators import joins, refine
 from ..operators.refine import Filter, RefinePlan
 from ..plans.catalog import Loaded
 from ..plans.scope import Scope
 from ..plans.views import CATALOG
+from ..sources.tables import table
 
 
 def _load(spark: SparkSession, sf: str, scope: Scope = Scope()) -> Loaded:
@@ -186,6 +188,17 @@ def own_last_days(spark, sf):
     return joins.within_last(_load(spark, sf).view("vw_PlanQualityDay").select("Factory", "FileNo", "Day", "Checked"), ["Factory", "FileNo"], "Day", 7).groupBy("Factory", "FileNo").agg(F.sum("Checked").cast("long").alias("checked"), F.count("*").alias("rows_"))
 
 
+def stock_in_base_units(spark, sf):
+    """Quantities summed by item and unit, then brought to the base unit; one of the units isn't listed."""
+    lines = table(spark, sf, "lineitem").withColumn("uom", F.concat("l_returnflag", "l_linestatus"))
+    sums = lines.groupBy((F.col("l_partkey") % 100).alias("item"), "uom").agg(F.sum("l_quantity").alias("received"), F.count("*").alias("lines"))
+    listed = spark.createDataFrame([("AF", "piece", 12.0, 1.0), ("RF", "metre", 9144.0, 10000.0), ("NO", "piece", 1.0, 1.0)], "unit string, base string, factor double, base_factor double")
+    return in_base_units(sums, F.broadcast(listed), ["received"]).select("item", "uom", "base_unit", F.round("received", 4).alias("received"), "lines")
+
+
+BASE_UNITS = "SELECT item, uom, base AS base_unit, round(received * factor / base_factor, 4) AS received, lines FROM (SELECT l_partkey % 100 AS item, l_returnflag || l_linestatus AS uom, sum(l_quantity) AS received, count(*) AS lines FROM lineitem GROUP BY 1, 2) s LEFT JOIN (VALUES ('AF', 'piece', 12.0::double, 1.0::double), ('RF', 'metre', 9144.0, 10000.0), ('NO', 'piece', 1.0, 1.0)) u(unit, base, factor, base_factor) ON uom = unit"
+
+
 def _shown(spark, sf) -> DataFrame:
     """A result as a user sees it: the orders of a factory, with positions."""
     o = _load(spark, sf).view("vw_ExportOrder").where("Factory = 'ASIA'").select("ExportOrderID", "Buyer", "Style", "Status", "OrderQty", "PCD")
@@ -243,6 +256,7 @@ QUERIES = {
     "correlated_scalar": (correlated_scalar, "SELECT s_suppkey, (SELECT count(*) FROM lineitem WHERE l_suppkey = s_suppkey) AS items, (SELECT max(l_extendedprice) FROM lineitem WHERE l_suppkey = s_suppkey) AS dearest FROM supplier"),
     "companion_merge": (companion_merge, _q("WITH m AS (SELECT FileNo, count(*) AS Orders, max(Factory) AS Factory FROM vw_ExportOrder WHERE Factory = 'ASIA' GROUP BY FileNo), k AS (SELECT DISTINCT FileNo FROM m ORDER BY FileNo LIMIT 200), e AS (SELECT *, row_number() OVER (PARTITION BY FileNo ORDER BY InspectionID, DefectNo, Buyer) AS rn FROM (SELECT Style || ' / ' || Factory AS FileNo, Factory, Buyer, InspectionID, DefectNo FROM vw_QCDefect) d WHERE FileNo IN (SELECT FileNo FROM k)) SELECT m.FileNo, m.Orders, m.Factory, e.Factory AS Factory2, e.InspectionID, e.DefectNo FROM m LEFT JOIN e ON m.FileNo = e.FileNo AND e.rn = 1")),
     "stock_moves_union": (stock_moves_union, _q("SELECT Factory, Kind, count(*) AS n, CAST(sum(Qty) AS bigint) AS qty FROM (SELECT Factory, 'receipt' AS Kind, Qty FROM vw_GoodsReceipt UNION ALL SELECT Factory, 'issue ' || Cause, -Qty FROM vw_StockIssue) m GROUP BY Factory, Kind")),
+    "stock_in_base_units": (stock_in_base_units, BASE_UNITS),
     "wip_to_date": (wip_to_date, _q("SELECT Factory, Style, CAST(sum(Received - Delivered) AS bigint) AS wip FROM vw_CombinationFlowDay WHERE Day < DATE '1998-01-01' GROUP BY Factory, Style")),
     "day_gaps": (day_gaps, _q("WITH d AS (SELECT DISTINCT Day FROM vw_LineDayQuality WHERE Line = 'Supplier#000000001') SELECT CAST(g AS varchar) AS day FROM (SELECT CAST(unnest(generate_series((SELECT CAST(min(Day) AS timestamp) FROM d), (SELECT CAST(max(Day) AS timestamp) FROM d), INTERVAL 1 DAY)) AS date) AS g) x WHERE g NOT IN (SELECT Day FROM d)")),
     "full_difference": (full_difference, _q("WITH a AS (SELECT DISTINCT Buyer FROM vw_ExportOrder WHERE PCD >= DATE '1996-01-01' AND PCD < DATE '1997-01-01'), b AS (SELECT DISTINCT Buyer FROM vw_ExportOrder WHERE PCD >= DATE '1997-01-01' AND PCD < DATE '1998-01-01') SELECT Buyer, 1996 AS only FROM (SELECT Buyer FROM a EXCEPT SELECT Buyer FROM b) x UNION ALL SELECT Buyer, 1997 FROM (SELECT Buyer FROM b EXCEPT SELECT Buyer FROM a) y")),

@@ -242,6 +242,26 @@ def hit_rate(spark, sf):
     return documents.hit_rate(_t(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id"), accepted, ["doc_id"])
 
 
+def registry_stats(spark, sf):
+    """The registry over documents and pages: a document is a file, a page of the web a chunk."""
+    files = _t(spark, sf, "documents").select(F.when(F.col("doc_id") % 17 == 0, "failed").otherwise("done").alias("status"), F.ceil(F.col("n_chars") / 1000).alias("pages"), F.when(F.col("lang") == "de", F.lit(1)).alias("ocr_pages"))
+    return documents.registry_stats(files, _t(spark, sf, "pages").select(F.when(F.col("page_id") % 4 == 0, "table").otherwise("text").alias("kind")))
+
+
+REGISTRY = "SELECT documents, failed, pages, chunks, tables, ocr_pages FROM (SELECT count(*) AS documents, count(*) FILTER (WHERE doc_id % 17 = 0) AS failed, CAST(sum(CAST(ceil(n_chars / 1000.0) AS bigint)) AS bigint) AS pages, count(*) FILTER (WHERE lang = 'de') AS ocr_pages FROM documents) f CROSS JOIN (SELECT count(*) AS chunks, count(*) FILTER (WHERE page_id % 4 = 0) AS tables FROM pages) c"
+
+
+def recall_at_two(spark, sf):
+    """Orders as cases, their parts as what two searches found in turn; parts of even size are accepted."""
+    lines = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case"), F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("rank"))
+    found = lines.withColumn("mode", F.lit("keyword")).unionByName(lines.where("rank > 1").select("case", "item", (F.col("rank") - 1).alias("rank"), F.lit("hybrid").alias("mode")))
+    accepted = lines.join(_t(spark, sf, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("item")), "item").select("case", "item")
+    return documents.recall_at(found, accepted, 2)
+
+
+RECALL = "WITH l AS (SELECT l_orderkey AS c, l_linenumber AS r, p_size % 2 = 0 AS good FROM lineitem LEFT JOIN part ON p_partkey = l_partkey), g AS (SELECT c, bool_or(r <= 2) AS keyword, bool_or(r BETWEEN 2 AND 3) AS hybrid FROM l WHERE good GROUP BY c) SELECT mode, hits, cases, round(hits / cases, 4) AS recall FROM (SELECT 'keyword' AS mode, count(*) FILTER (WHERE keyword) AS hits, count(*) AS cases FROM g UNION ALL SELECT 'hybrid', count(*) FILTER (WHERE hybrid), count(*) FROM g) x"
+
+
 def eval_compare(spark, sf):
     """Mean scores by kind of two runs over the cases that both have; a drop of more than five points blocks."""
     d = _t(spark, sf, "documents")
@@ -330,6 +350,8 @@ QUERIES = {f"copy_{n}": (_copy(n), CATALOG.with_views(sql)) for n, sql in copies
     "windowed_events": (windowed_events, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"),
     "usage_counts": (usage_counts, "SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+|[ঀ-৿]+'))) AS word FROM conversations WHERE role = 'user') x GROUP BY word ORDER BY n DESC, word LIMIT 50"),
     "hit_rate": (hit_rate, "SELECT round(avg(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END), 4) AS rate, count(*) AS cases FROM labels WHERE quality = 1"),
+    "registry_stats": (registry_stats, REGISTRY),
+    "recall_at_two": (recall_at_two, RECALL),
     "eval_compare": (eval_compare, COMPARE),
     "cosine_stats": (cosine_stats, COSINE_STATS),
     "label_counts": (label_counts, "SELECT lang, count(*) AS n, count(quality) AS judged, round(avg(quality), 4) AS good, round(avg(toxic), 4) AS toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang"),
