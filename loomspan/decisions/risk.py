@@ -57,11 +57,14 @@ def collect(daily: DataFrame, newest: dt.date, days: int, most_subjects: int | N
 
 
 def trailing(daily: DataFrame, days: int, first: dt.date, last: dt.date, every: int = 1) -> DataFrame:
-    """The same for many run days at once. A day belongs to a fixed few windows, so its row is multiplied by those and
-    grouped: no join of days with windows."""
-    run = F.explode(F.sequence(F.greatest(F.col("Day"), F.lit(first)), F.least(F.date_add("Day", days - 1), F.lit(last)))).alias("RunDay")
-    inside = daily.where((F.col("Day") <= F.lit(last)) & (F.date_add("Day", days - 1) >= F.lit(first)))
-    rows = inside.select(*SUBJECT, *COUNTS, run).where(F.datediff("RunDay", F.lit(first)) % every == 0)
+    """The same for many run days at once. A day belongs to a fixed few windows, so its sums are multiplied by those run
+    days alone and grouped: no join of days with windows, and rows of one day are added up before."""
+    days_of = daily.where((F.col("Day") <= F.lit(last)) & (F.date_add("Day", days - 1) >= F.lit(first))).groupBy(*SUBJECT, "Day").agg(*totals())
+    since = lambda day: F.datediff(day, F.lit(first))
+    low = F.ceil(F.greatest(since(F.col("Day")), F.lit(0)) / every).cast("int")
+    high = F.floor(since(F.least(F.date_add("Day", days - 1), F.lit(last))) / every).cast("int")
+    runs = F.transform(F.sequence(low, high), lambda k: F.date_add(F.lit(first), k * every))
+    rows = days_of.where(low <= high).select(*SUBJECT, *COUNTS, F.explode(runs).alias("RunDay"))
     return rows.groupBy("RunDay", *SUBJECT).agg(*totals())
 
 

@@ -32,6 +32,7 @@ def bm25(docs: DataFrame, query: str, k: int = 20, id_col: str = "doc_id", text_
     rows = docs if where is None else docs.where(where)
     base = rows.select(F.col(id_col), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     counted = base.select(F.col(id_col), F.size("t").alias("len"), *[F.size(_only("t", t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = counted.repartition(id_col)  # one exchange of small rows, which the statistics and the scores both read: texts are tokenised once
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     scored = counted.join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
