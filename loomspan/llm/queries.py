@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact_dedup, html_text, language_model, mixing, packing, pii, quality, simhash, token_counts, urls
+from . import archives, exact_dedup, html_text, language_model, mixing, packing, phrases, pii, quality, simhash, token_counts, urls
 from .common import table
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -58,6 +58,10 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer(PIECES))
 
@@ -111,6 +115,39 @@ SELECT page_id, strlen(h) AS payload_bytes,
 FROM m
 """
 
+# Equal lists of words are equal phrases; hugeint holds the products.
+OP11 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d
+), g AS (
+  SELECT lang, k, w[i : i + k - 1] AS g, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 100
+), t AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+cut AS (
+  SELECT c.lang, c.k, c.g, c.f AS a, l.f AS l, r.f AS r, t.n, j,
+         CAST(1000 * CAST(c.f AS hugeint) * t.n // (CAST(l.f AS hugeint) * r.f) AS bigint) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM g WHERE k > 1) c
+  JOIN t ON c.lang = t.lang
+  JOIN g l ON l.lang = c.lang AND l.g = c.g[1 : j]
+  JOIN g r ON r.lang = c.lang AND r.g = c.g[j + 1 : c.k]
+), low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+held AS (
+  SELECT DISTINCT x.lang, x.part
+  FROM (SELECT lang, f, unnest([g[1 : k - 1], g[2 : k]]) AS part FROM g WHERE k > 2) x JOIN g s ON s.lang = x.lang AND s.g = x.part
+  WHERE 100 * x.f >= 100 * s.f
+), ranked AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, CAST(n AS bigint) AS n, score
+  FROM low WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.lang = low.lang AND held.part = low.g)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM ranked QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9, "op4_exact_dedup": OP4, "op10_quality_cascade": OP10}
+    return {"op9_warc": OP9, "op4_exact_dedup": OP4, "op10_quality_cascade": OP10, "op11_phrases": OP11}
