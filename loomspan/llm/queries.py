@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, exact_dedup, html_text, language_model, mixing, packing, phrases, pii, quality, simhash, token_counts, urls
+from . import archives, conversation_trie, exact_dedup, html_text, language_model, mixing, packing, phrases, pii, quality, simhash, token_counts, urls
 from .common import table
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -62,6 +62,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.sequences(table(spark, sf_dir, "conversations"), group=5)
+    return conversation_trie.prefix_trie(conversation_trie.spliced(turns, at_most=8))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.prefix_counts(table(spark, sf_dir, "documents"), tokenizer(PIECES))
 
@@ -148,6 +153,33 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM ranked QUALIFY rank <= 2000
 """
 
+# CRC-32 bit by bit: 3988292384 is its polynomial. A node is a list of turns.
+OP12 = r"""
+WITH t AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, s,
+         xor(list_reduce(flatten(list_transform(range(1, len(CAST(conv_id AS varchar)) + 1), lambda i: [ord(substr(CAST(conv_id AS varchar), i, 1)), 0, 0, 0, 0, 0, 0, 0])),
+             lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295), 4294967295) % 9 AS h
+  FROM t
+), c AS (
+  SELECT h.conv_id, list_concat(coalesce(b.s, [])[1 : h.h], h.s[h.h + 1 :]) AS s FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5
+), p AS (
+  SELECT conv_id, d, s[1 : d] AS p, len(s) = d AS ends FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM c)
+), n AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(strlen(p[d].text), 0) AS bytes,
+         sha256(coalesce(string_agg(CAST(conv_id AS varchar), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM p GROUP BY p, d
+), k AS (SELECT p[1 : d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+below AS (
+  SELECT p[1 : a] AS p, a AS d, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, CAST(sum((n_convs - 1) * bytes) AS bigint) AS saved_tokens
+  FROM (SELECT n.*, n_children, unnest(range(0, d + 1)) AS a FROM n LEFT JOIN k USING (p)) GROUP BY 1, 2
+)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN below ON below.p = n.p AND below.d = n.d LEFT JOIN k ON k.p = n.p LEFT JOIN n up ON up.d = n.d - 1 AND up.p = n.p[1 : n.d - 1]
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9, "op4_exact_dedup": OP4, "op10_quality_cascade": OP10, "op11_phrases": OP11}
+    return {"op9_warc": OP9, "op4_exact_dedup": OP4, "op10_quality_cascade": OP10, "op11_phrases": OP11, "op12_conversation_trie": OP12}
