@@ -1,10 +1,11 @@
 """Collocations by hierarchical pair naming: frequent phrases of k words are frequent pairs of phrases of k - 1.
 
 Texts become blocks of numbers, one for each place: first of the word that stands there, then, level by level, of the
-phrase of k words that begins there. A block names its own pairs, so its numbers are small; which pairs are frequent, and
-what they are called everywhere, is found by one grouping and one join over all blocks. Between two such phrases stands a
-0, so places that lead nowhere are left out of the next level. The name of a phrase keeps the two names it was made of:
-these pointers give the frequencies of every beginning and end (for the cuts), and what longer phrases hold it.
+phrase of k words that begins there. A block numbers its own pairs, so its numbers are small; which pairs are frequent, and
+what they are called everywhere, is found by bringing the pairs of all blocks together by parts of their hash. Between two
+such phrases stands a 0, so places that lead nowhere are left out of the next level. The name of a phrase keeps the two
+names it was made of: these pointers give the frequencies of every beginning and end (for the cuts), and what longer
+phrases hold it.
 
 A frequent phrase holds frequent phrases only, so nothing that counts is lost on the way; counts are exact.
 
@@ -30,6 +31,7 @@ from .common import remove, shared_dir, sieved, temporary, whole
 
 LEAST, WORDS, TOP, SHARE, UNKNOWN = 100, 5, 2000, 100, "und"
 PLACES = 1 << 21  # of a block; the text that fills it goes in whole
+IN_PART = 1 << 21  # pairs that a part holds at most, on average
 # What parts pieces, and what parts words.
 _PARTING, _BETWEEN = b".,;:!?\n\x0b\x0c\r", b"\t"
 _AS = bytes.maketrans(_PARTING + _BETWEEN, b"\n" * len(_PARTING) + b" ")
@@ -47,15 +49,34 @@ class _Names(dict):
         return out
 
 
-def _rows(schema: str, block: int, ids: np.ndarray, size: int, **columns: pa.Array) -> pa.RecordBatch:
-    """A block's places as one row, and a row for each of its names."""
-    own = {"block": pa.array(np.full(size + 1, block)), "ids": pa.array([ids.astype(np.int32).tobytes()] + [None] * size, pa.binary()), "local": pa.array(np.arange(size + 1, dtype=np.int32))}
-    names = [c.split()[0] for c in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([own[c] if c in own else pa.concat_arrays([pa.nulls(1, columns[c].type), columns[c]]) for c in names], names=names)
+def _packed(*columns: np.ndarray) -> bytes:
+    """Numbers from 0 up, each column in as few bytes as its largest needs, bytes of one place together, compressed."""
+    widths = [np.min_scalar_type(int(c.max())).itemsize for c in columns]
+    planes = b"".join(c.astype(f"<u{w}").view(np.uint8).reshape(-1, w).T.tobytes() for c, w in zip(columns, widths))
+    return bytes(widths) + len(columns[0]).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-_BLOCK = "block long, ids binary, local int, n long"
-_OF_WORDS, _OF_PAIRS = f"{_BLOCK}, lang string, word string", f"{_BLOCK}, left long, right long"
+def _unpacked(data: bytes, columns: int) -> list[np.ndarray]:
+    widths, n = list(data[:columns]), int.from_bytes(data[columns : columns + 4], "little")
+    planes, at, out = np.frombuffer(pa.decompress(data[columns + 4 :], n * sum(widths), codec="zstd"), np.uint8), 0, []
+    for w in widths:
+        out.append(planes[at : at + n * w].reshape(w, n).T.copy().view(f"<u{w}").reshape(-1).astype(np.int64))
+        at += n * w
+    return out
+
+
+def _table(schema: str, **columns) -> pa.RecordBatch:
+    """A batch of ``schema`` with these columns, the others null."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    said = [c.split() for c in schema.split(", ")]
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(n, kinds[k]) for c, k in said], names=[c for c, _ in said])
+
+
+#: A block's places are one row (``data``, ``size`` of them); beside it stand its words, or its pairs by part.
+_OF_WORDS = "block long, size long, data binary, local int, lang string, word string, n long"
+_OF_PAIRS = "block long, size long, data binary, part int, start int"
+_COUNTED = "id long, left long, right long, n long, block long, local array<int>, ids array<long>"
 
 
 def _words(most: int):
@@ -65,13 +86,16 @@ def _words(most: int):
         numbers = count(1)
         return array("i"), defaultdict(lambda: _Names(numbers))
 
-    def end(block: int, places: array, names: defaultdict) -> pa.RecordBatch:
+    def end(block: int, places: array, names: defaultdict) -> Iterator[pa.RecordBatch]:
         ids = np.frombuffer(places, np.int32)
         ids = ids[ids >= 0]
         said = [(number, lang, word) for lang, words in names.items() for word, number in words.items() if number > 0]
         said.sort()
-        n = np.bincount(ids, minlength=len(said) + 1)[1:]
-        return _rows(_OF_WORDS, block, ids, len(said), n=pa.array(n), lang=pa.array([x[1] for x in said], pa.string()), word=pa.array([x[2] for x in said], pa.binary()).cast(pa.string()))
+        yield _table(_OF_WORDS, block=[block], size=[len(ids)], data=[_packed(ids)])
+        if said:
+            n = np.bincount(ids, minlength=len(said) + 1)[1:]
+            word = pa.array([x[2] for x in said], pa.binary()).cast(pa.string())
+            yield _table(_OF_WORDS, block=np.full(len(said), block), local=[x[0] for x in said], lang=[x[1] for x in said], word=word, n=n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -83,20 +107,40 @@ def _words(most: int):
                 places.extend(map(names[lang].__getitem__, words))
                 places.append(0)
                 if len(places) >= most:
-                    yield end(block, places, names)
+                    yield from end(block, places, names)
                     block, (places, names) = block + 1, begin()
         if places:
-            yield end(block, places, names)
+            yield from end(block, places, names)
 
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, ids, found) to the next level's blocks: places that aren't found become 0, two neighbours that are make a pair."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Runs of rows with an equal first column."""
+    key, rows = None, []
     for batch in batches:
-        for block, data, found in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns))):
-            ids, found = np.frombuffer(data, np.int32), found.values.flatten()
-            local, name = (x.to_numpy() for x in found)
+        for row in batch.to_pylist():
+            own = row[batch.schema.names[0]]
+            if own != key and rows:
+                yield key, rows
+                rows = []
+            key = own
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _pairs(parts: int):
+    """Sorted (block, data, local, ids) to the next level's blocks: places whose number has no name become 0, two
+    neighbours that have one make a pair. Pairs are numbered part by part, so that a part's numbers follow its first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _grouped(batches):
+            data = [r["data"] for r in rows if r["data"] is not None]
+            local, name = (np.array([x for r in rows if r[c] is not None for x in r[c]], np.int64) for c in ("local", "ids"))
+            if not data or not len(local):
+                continue
+            ids = _unpacked(data[0], 1)[0]
             number = np.zeros(max(int(ids.max()), int(local.max())) + 1, np.int64)
             number[local] = np.arange(1, len(local) + 1)
             at = number[ids]
@@ -104,11 +148,49 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, pair, n = np.unique(at[:-1][both] << 32 | at[1:][both], return_inverse=True, return_counts=True)
             if not len(keys):
                 continue
-            places = np.zeros(len(both) + 1, np.int32)
-            places[:-1][both] = pair + 1
+            left, right = name[(keys >> 32) - 1], name[(keys & 0xFFFFFFFF) - 1]
+            part = ((left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)).astype(np.int64) % parts
+            order = np.lexsort((right, left, part))
+            place_of = np.empty(len(order), np.int64)
+            place_of[order] = np.arange(1, len(order) + 1)
+            places = np.zeros(len(both) + 1, np.int64)
+            places[:-1][both] = place_of[pair]
             keep = places > 0
             keep[1:] |= keep[:-1]  # one 0 behind each run
-            yield _rows(_OF_PAIRS, block, places[keep], len(keys), n=pa.array(n), left=pa.array(name[(keys >> 32) - 1]), right=pa.array(name[(keys & 0xFFFFFFFF) - 1]))
+            yield _table(_OF_PAIRS, block=[block], size=[int(keep.sum())], data=[_packed(places[keep])])
+            left, right, part, n = left[order], right[order], part[order], n[order]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+            spans = [slice(a, b) for a, b in zip(starts, starts[1:])]
+            yield _table(_OF_PAIRS, block=[block] * len(spans), part=part[starts[:-1]], start=starts[:-1] + 1, size=np.diff(starts), data=[_packed(np.diff(left[s], prepend=0), right[s], n[s]) for s in spans])
+
+    return run
+
+
+def _counted(parts: int, least: int):
+    """Sorted (part, block, start, data) to the names of the frequent pairs and, for each block, which of its numbers have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches):
+            columns = [_unpacked(r["data"], 3) for r in rows]
+            left, right, n = (np.concatenate([np.cumsum(c[i]) if i == 0 else c[i] for c in columns]) for i in range(3))
+            lefts, l = np.unique(left, return_inverse=True)  # noqa: E741
+            rights, r = np.unique(right, return_inverse=True)
+            keys, pair = np.unique(l << 32 | r, return_inverse=True)
+            total = np.bincount(pair, weights=n).astype(np.int64)  # exact below 2 ** 53
+            often = total >= least
+            if not often.any():
+                continue
+            ids = np.where(often, (np.cumsum(often) - 1) * parts + part, -1)
+            yield _table(_COUNTED, id=ids[often], left=lefts[keys[often] >> 32], right=rights[keys[often] & 0xFFFFFFFF], n=total[often])
+            own, at, found = ids[pair], 0, []
+            for row, c in zip(rows, columns):
+                mine = own[at : at + len(c[0])]
+                at += len(mine)
+                if len(hit := np.flatnonzero(mine >= 0)):
+                    found.append((row["block"], row["start"] + hit, mine[hit]))
+            yield _table(_COUNTED, block=[x[0] for x in found], local=[x[1] for x in found], ids=[x[2] for x in found])
+
+    return run
 
 
 class _Tables:
@@ -126,45 +208,51 @@ class _Tables:
         remove(self.spark, self.paths.pop(name))
 
 
-def _named(tables: _Tables, k: int, counted: DataFrame, below: DataFrame | None) -> DataFrame:
-    """The frequent phrases of k words: id, left, right, lang, phrase, last word, n, and the frequencies of their
-    beginnings (``starts``) and ends (``ends``) by number of words, themselves included."""
-    name = (F.monotonically_increasing_id() * 8 + k).alias("id")
-    own = F.array(F.col("n"))
-    if below is None:
-        out = counted.select(name, F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", own.alias("starts"), own.alias("ends"))
-    else:
-        first = below.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), "starts")
-        rest = below.select(F.col("id").alias("right"), "last", "ends")
-        both = counted.join(first, "left").join(rest, "right")
-        out = both.select(name, "left", "right", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "n", F.concat("starts", own).alias("starts"), F.concat("ends", own).alias("ends"))
-    return tables.write(f"names{k}", out)
+def _words_named(tables: _Tables, counted: DataFrame) -> DataFrame:
+    """The frequent words, as phrases of one word: id, lang, phrase, last word, n, and the frequencies of the beginnings
+    (``starts``) and ends (``ends``) by number of words, themselves included."""
+    own = F.array("n")
+    return tables.write("names1", counted.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", own.alias("starts"), own.alias("ends")))
 
 
-def _found(names: DataFrame, of_block: DataFrame, keys: list[str]) -> DataFrame:
-    """(block, found): which of a block's numbers are frequent, and their names. Other rows aren't shuffled for it."""
-    key = F.xxhash64(*keys)
-    rows = sieved(of_block, key, names.select(key.alias("key")), names.count()).where("hit")
-    return rows.join(names.select("id", *keys), keys).groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("found"))
+def _pairs_named(pairs: DataFrame, below: DataFrame) -> DataFrame:
+    """The same of pairs, with ``left`` and ``right``, from those of one word less."""
+    first = below.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), "starts")
+    rest = below.select(F.col("id").alias("right"), "last", "ends")
+    own = F.array("n")
+    return pairs.join(first, "left").join(rest, "right").select("id", "left", "right", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "n", F.concat("starts", own).alias("starts"), F.concat("ends", own).alias("ends"))
 
 
 def levels(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, most_words: int = WORDS, places: int = PLACES) -> tuple[list[DataFrame], DataFrame]:
-    """The frequent phrases of 1, 2, ... words (as ``_named`` has them) and the number of words of each language."""
+    """The frequent phrases of 1, 2, ... words and the number of words of each language.
+
+    Which of a block's words are frequent is a join; a sieve keeps the others from being shuffled for it. A block's pairs
+    go out in parts, packed; a part counts its pairs over all blocks, names them and tells each block.
+    """
     spark = docs.sparkSession
     tables = _Tables(spark)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
     blocks = tables.write("blocks1", docs.select(lang.alias("lang"), whole(text_col).alias("text")).mapInArrow(_words(places), _OF_WORDS))
-    counted = tables.write("counts", blocks.where("ids is null").groupBy("lang", "word").agg(F.sum("n").alias("n")).groupBy("lang", (F.col("n") >= least).alias("often"), F.when(F.col("n") >= least, F.col("word")).alias("word")).agg(F.sum("n").alias("n")))
+    words = blocks.where("data is null").select("block", "local", "lang", "word", "n")
+    often = F.col("n") >= least
+    counted = tables.write("counts", words.groupBy("lang", "word").agg(F.sum("n").alias("n")).groupBy("lang", often.alias("often"), F.when(often, F.col("word")).alias("word")).agg(F.sum("n").alias("n")))
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    out = [_named(tables, 1, counted.where("often"), None)]
-    spelled = ["lang", "word"]
+    out = [_words_named(tables, counted.where("often"))]
+    named = out[0].select("id", "lang", F.col("phrase").alias("word"))
+    key = F.xxhash64("lang", "word")
+    hits = sieved(words.drop("n"), key, named.select(key.alias("key")), named.count()).where("hit").join(named, ["lang", "word"])
+    told = hits.groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("f")).select("block", F.col("f.local").alias("local"), F.col("f.id").alias("ids"))
     for k in range(2, most_words + 1):
-        names = out[-1] if spelled != ["lang", "word"] else out[-1].withColumnRenamed("phrase", "word")
-        found = _found(names, blocks.where("ids is null"), spelled)
-        blocks = tables.write(f"blocks{k}", blocks.where("ids is not null").select("block", "ids").join(found, "block").mapInArrow(_pairs, _OF_PAIRS))
+        held = blocks.where("data is not null" if k == 2 else "part is null")
+        parts = max(1, (held.agg(F.sum("size")).first()[0] or 0) // IN_PART)
+        none = [F.lit(None).cast("array<int>").alias("local"), F.lit(None).cast("array<bigint>").alias("ids")]
+        both = held.select("block", "data", *none).unionByName(told.withColumn("data", F.lit(None).cast("binary")))
+        blocks = tables.write(f"blocks{k}", both.repartition("block").sortWithinPartitions("block").mapInArrow(_pairs(parts), _OF_PAIRS))
         tables.drop(f"blocks{k - 1}")
-        spelled = ["left", "right"]
-        out.append(_named(tables, k, blocks.where("ids is null").groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") >= least), out[-1]))
+        fragments = blocks.where("part is not null").select("part", "block", "start", "data")
+        counts = tables.write(f"counts{k}", fragments.repartition("part").sortWithinPartitions("part").mapInArrow(_counted(parts, least), _COUNTED))
+        told = counts.where("block is not null").select("block", "local", "ids")
+        out.append(tables.write(f"names{k}", _pairs_named(counts.where("id is not null").select("id", "left", "right", "n"), out[-1])))
     tables.drop(f"blocks{most_words}")
     return out, totals
 
