@@ -13,6 +13,7 @@ from ..plans.views import CATALOG
 from ..retrieval import documents, search
 from ..sources import copies, store
 from ..sources.tables import table as _t
+from ..sources.versions import scratch
 
 
 QUERY = "the thing of another and with these"
@@ -297,10 +298,7 @@ def table_blocks(spark, sf):
 
 def copy_lookup(spark, sf):
     """A versioned copy is written, found by its pointer, and asked without regard to case."""
-    import tempfile
-
-    root = "file://" + tempfile.mkdtemp(prefix="loomspan-copies-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir") + "/loomspan-copies"
-    kept = store.Copies(spark, root)
+    kept = store.Copies(spark, scratch(spark, "copies"))
     kept.write("nations", _t(spark, sf, "nation"), dt.datetime(2000, 6, 30), sort="n_name")
     return kept.lookup("nations", "n_name", "NATION_7").select("n_nationkey", "n_name")
 
