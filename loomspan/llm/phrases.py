@@ -21,17 +21,18 @@ from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remove, shared_dir, sieved, temporary, whole
+from .common import remove, shared_dir, temporary, whole
 
 LEAST, WORDS, TOP, SHARE, UNKNOWN = 100, 5, 2000, 100, "und"
 PLACES = 1 << 21  # of a block; the text that fills it goes in whole
-IN_PART = 1 << 21  # pairs that a part holds at most, on average
+IN_PART, BYTES_OF_PART = 1 << 20, 1 << 24  # pairs of a part at most, bytes of text for each part of words, on average
 # What parts pieces, and what parts words.
 _PARTING, _BETWEEN = b".,;:!?\n\x0b\x0c\r", b"\t"
 _AS = bytes.maketrans(_PARTING + _BETWEEN, b"\n" * len(_PARTING) + b" ")
@@ -73,13 +74,25 @@ def _table(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(n, kinds[k]) for c, k in said], names=[c for c, _ in said])
 
 
-#: A block's places are one row (``data``, ``size`` of them); beside it stand its words, or its pairs by part.
-_OF_WORDS = "block long, size long, data binary, local int, lang string, word string, n long"
+#: A block's places are one row (``data``, ``size`` of them, no part); beside it stand its words or pairs, by part.
+_OF_WORDS = "block long, size long, data binary, part int, lang string, words binary"
 _OF_PAIRS = "block long, size long, data binary, part int, start int"
-_COUNTED = "id long, left long, right long, n long, block long, local array<int>, ids array<long>"
+#: Frequent words or pairs with their names, and for each block which of its numbers have a name.
+_TOLD = "block long, local array<int>, ids array<long>"
+_WORDS_COUNTED = f"id long, lang string, word string, n long, total long, {_TOLD}"
+_PAIRS_COUNTED = f"id long, left long, right long, n long, {_TOLD}"
 
 
-def _words(most: int):
+def _texts(words: list[bytes]) -> bytes:
+    data = b"\n".join(words)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _of_texts(data: bytes) -> list[bytes]:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b"\n")
+
+
+def _words(most: int, parts: int):
     """(lang, text) to blocks of about ``most`` places: numbers of words with 0 at every end of a piece, and what each means."""
 
     def begin() -> tuple[array, defaultdict]:
@@ -89,13 +102,17 @@ def _words(most: int):
     def end(block: int, places: array, names: defaultdict) -> Iterator[pa.RecordBatch]:
         ids = np.frombuffer(places, np.int32)
         ids = ids[ids >= 0]
-        said = [(number, lang, word) for lang, words in names.items() for word, number in words.items() if number > 0]
-        said.sort()
         yield _table(_OF_WORDS, block=[block], size=[len(ids)], data=[_packed(ids)])
-        if said:
-            n = np.bincount(ids, minlength=len(said) + 1)[1:]
-            word = pa.array([x[2] for x in said], pa.binary()).cast(pa.string())
-            yield _table(_OF_WORDS, block=np.full(len(said), block), local=[x[0] for x in said], lang=[x[1] for x in said], word=word, n=n)
+        langs = list(names)
+        seeds = [crc32(lang.encode()) for lang in langs]
+        said = sorted((number, i, word) for i, lang in enumerate(langs) for word, number in names[lang].items() if number > 0)
+        n = np.bincount(ids, minlength=len(said) + 1)
+        key = np.array([crc32(word, seeds[i]) % parts * len(langs) + i for _, i, word in said], np.int64)
+        order = np.argsort(key, kind="stable")
+        for s in _runs(key[order]):
+            local = order[s] + 1
+            part, i = divmod(int(key[order[s.start]]), len(langs))
+            yield _table(_OF_WORDS, block=[block], size=[len(local)], data=[_packed(np.diff(local, prepend=0), n[local])], part=[part], lang=[langs[i]], words=[_texts([said[x][2] for x in order[s]])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -115,17 +132,24 @@ def _words(most: int):
     return run
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Runs of rows with an equal first column."""
+def _runs(keys: np.ndarray) -> list[slice]:
+    """Slices of equal neighbours."""
+    if not len(keys):
+        return []
+    at = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]).tolist()
+    return [slice(a, b) for a, b in zip(at, at[1:])]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """Runs of rows with an equal first column; a row's other columns as Arrow values."""
     key, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            own = row[batch.schema.names[0]]
+        for i, own in enumerate(batch.column(0).to_pylist()):
             if own != key and rows:
                 yield key, rows
                 rows = []
             key = own
-            rows.append(row)
+            rows.append([c[i] for c in batch.columns[1:]])
     if rows:
         yield key, rows
 
@@ -136,10 +160,11 @@ def _pairs(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _grouped(batches):
-            data = [r["data"] for r in rows if r["data"] is not None]
-            local, name = (np.array([x for r in rows if r[c] is not None for x in r[c]], np.int64) for c in ("local", "ids"))
-            if not data or not len(local):
+            data = [r[0].as_py() for r in rows if r[0].is_valid]
+            told = [r for r in rows if r[1].is_valid]
+            if not data or not told:
                 continue
+            local, name = (np.concatenate([r[c].values.to_numpy() for r in told]).astype(np.int64) for c in (1, 2))
             ids = _unpacked(data[0], 1)[0]
             number = np.zeros(max(int(ids.max()), int(local.max())) + 1, np.int64)
             number[local] = np.arange(1, len(local) + 1)
@@ -159,19 +184,55 @@ def _pairs(parts: int):
             keep[1:] |= keep[:-1]  # one 0 behind each run
             yield _table(_OF_PAIRS, block=[block], size=[int(keep.sum())], data=[_packed(places[keep])])
             left, right, part, n = left[order], right[order], part[order], n[order]
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-            spans = [slice(a, b) for a, b in zip(starts, starts[1:])]
-            yield _table(_OF_PAIRS, block=[block] * len(spans), part=part[starts[:-1]], start=starts[:-1] + 1, size=np.diff(starts), data=[_packed(np.diff(left[s], prepend=0), right[s], n[s]) for s in spans])
+            spans = _runs(part)
+            yield _table(_OF_PAIRS, block=[block] * len(spans), part=[part[s.start] for s in spans], start=[s.start + 1 for s in spans], size=[s.stop - s.start for s in spans], data=[_packed(np.diff(left[s], prepend=0), right[s], n[s]) for s in spans])
+
+    return run
+
+
+def _told(schema: str, blocks: list[int], locals_: list[np.ndarray], own: np.ndarray) -> pa.RecordBatch:
+    """For each block the numbers that have a name; ``own``: names (-1: none) of all blocks' entries in turn."""
+    found, at = [], 0
+    for block, local in zip(blocks, locals_):
+        mine = own[at : at + len(local)]
+        at += len(local)
+        if len(hit := np.flatnonzero(mine >= 0)):
+            found.append((block, local[hit], mine[hit]))
+    return _table(schema, block=[x[0] for x in found], local=[x[1] for x in found], ids=[x[2] for x in found])
+
+
+def _words_counted(parts: int, least: int):
+    """Sorted (part, lang, block, data, words) to the names of the frequent words, the blocks' numbers that have one, and
+    how many words there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches):
+            given = 0
+            langs = [r[0].as_py() for r in rows]
+            for s in _runs(np.unique(langs, return_inverse=True)[1]):
+                own = rows[s]
+                columns = [_unpacked(r[2].as_py(), 2) for r in own]
+                every = pa.chunked_array([pa.array(_of_texts(r[3].as_py()), pa.binary()) for r in own]).combine_chunks().dictionary_encode()
+                at, n = every.indices.to_numpy().astype(np.int64), np.concatenate([c[1] for c in columns])
+                total = np.bincount(at, weights=n).astype(np.int64)  # exact below 2 ** 53
+                often = total >= least
+                ids = np.where(often, (given + np.cumsum(often) - 1) * parts + part, -1)
+                given += int(often.sum())
+                words = every.dictionary.filter(pa.array(often)).cast(pa.string())
+                yield _table(_WORDS_COUNTED, lang=[langs[s.start]], total=[int(n.sum())])
+                if len(words):
+                    yield _table(_WORDS_COUNTED, id=ids[often], lang=[langs[s.start]] * len(words), word=words, n=total[often])
+                    yield _told(_WORDS_COUNTED, [r[1].as_py() for r in own], [np.cumsum(c[0]) for c in columns], ids[at])
 
     return run
 
 
-def _counted(parts: int, least: int):
-    """Sorted (part, block, start, data) to the names of the frequent pairs and, for each block, which of its numbers have one."""
+def _pairs_counted(parts: int, least: int):
+    """Sorted (part, block, start, data) to the names of the frequent pairs and the blocks' numbers that have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _grouped(batches):
-            columns = [_unpacked(r["data"], 3) for r in rows]
+            columns = [_unpacked(r[2].as_py(), 3) for r in rows]
             left, right, n = (np.concatenate([np.cumsum(c[i]) if i == 0 else c[i] for c in columns]) for i in range(3))
             lefts, l = np.unique(left, return_inverse=True)  # noqa: E741
             rights, r = np.unique(right, return_inverse=True)
@@ -181,14 +242,8 @@ def _counted(parts: int, least: int):
             if not often.any():
                 continue
             ids = np.where(often, (np.cumsum(often) - 1) * parts + part, -1)
-            yield _table(_COUNTED, id=ids[often], left=lefts[keys[often] >> 32], right=rights[keys[often] & 0xFFFFFFFF], n=total[often])
-            own, at, found = ids[pair], 0, []
-            for row, c in zip(rows, columns):
-                mine = own[at : at + len(c[0])]
-                at += len(mine)
-                if len(hit := np.flatnonzero(mine >= 0)):
-                    found.append((row["block"], row["start"] + hit, mine[hit]))
-            yield _table(_COUNTED, block=[x[0] for x in found], local=[x[1] for x in found], ids=[x[2] for x in found])
+            yield _table(_PAIRS_COUNTED, id=ids[often], left=lefts[keys[often] >> 32], right=rights[keys[often] & 0xFFFFFFFF], n=total[often])
+            yield _told(_PAIRS_COUNTED, [r[0].as_py() for r in rows], [r[1].as_py() + np.arange(len(c[0])) for r, c in zip(rows, columns)], ids[pair])
 
     return run
 
@@ -208,11 +263,11 @@ class _Tables:
         remove(self.spark, self.paths.pop(name))
 
 
-def _words_named(tables: _Tables, counted: DataFrame) -> DataFrame:
+def _words_named(words: DataFrame) -> DataFrame:
     """The frequent words, as phrases of one word: id, lang, phrase, last word, n, and the frequencies of the beginnings
     (``starts``) and ends (``ends``) by number of words, themselves included."""
     own = F.array("n")
-    return tables.write("names1", counted.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", own.alias("starts"), own.alias("ends")))
+    return words.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", own.alias("starts"), own.alias("ends"))
 
 
 def _pairs_named(pairs: DataFrame, below: DataFrame) -> DataFrame:
@@ -226,33 +281,30 @@ def _pairs_named(pairs: DataFrame, below: DataFrame) -> DataFrame:
 def levels(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, most_words: int = WORDS, places: int = PLACES) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases of 1, 2, ... words and the number of words of each language.
 
-    Which of a block's words are frequent is a join; a sieve keeps the others from being shuffled for it. A block's pairs
-    go out in parts, packed; a part counts its pairs over all blocks, names them and tells each block.
+    A block's words and pairs go out in parts of a hash, packed; a part counts its own over all blocks, names the frequent
+    ones and tells each block. How many parts there are follows the bytes, then the places, so a part stays small.
     """
-    spark = docs.sparkSession
-    tables = _Tables(spark)
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
-    blocks = tables.write("blocks1", docs.select(lang.alias("lang"), whole(text_col).alias("text")).mapInArrow(_words(places), _OF_WORDS))
-    words = blocks.where("data is null").select("block", "local", "lang", "word", "n")
-    often = F.col("n") >= least
-    counted = tables.write("counts", words.groupBy("lang", "word").agg(F.sum("n").alias("n")).groupBy("lang", often.alias("often"), F.when(often, F.col("word")).alias("word")).agg(F.sum("n").alias("n")))
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    out = [_words_named(tables, counted.where("often"))]
-    named = out[0].select("id", "lang", F.col("phrase").alias("word"))
-    key = F.xxhash64("lang", "word")
-    hits = sieved(words.drop("n"), key, named.select(key.alias("key")), named.count()).where("hit").join(named, ["lang", "word"])
-    told = hits.groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("f")).select("block", F.col("f.local").alias("local"), F.col("f.id").alias("ids"))
+    tables = _Tables(docs.sparkSession)
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), whole(text_col).alias("text"))
+    parts = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_OF_PART
+    blocks = tables.write("blocks1", texts.mapInArrow(_words(places, parts), _OF_WORDS))
+    entries = blocks.where("part is not null").select("part", "lang", "block", "data", "words")
+    counted = tables.write("counts1", entries.repartition(parts, "part").sortWithinPartitions("part", "lang").mapInArrow(_words_counted(parts, least), _WORDS_COUNTED))
+    totals = counted.where("total is not null").groupBy("lang").agg(F.sum("total").alias("total"))
+    out = [tables.write("names1", _words_named(counted.where("id is not null")))]
     for k in range(2, most_words + 1):
-        held = blocks.where("data is not null" if k == 2 else "part is null")
-        parts = max(1, (held.agg(F.sum("size")).first()[0] or 0) // IN_PART)
+        held = blocks.where("part is null")
+        size = held.agg(F.sum("size")).first()[0] or 0
+        parts = 1 + size // IN_PART
         none = [F.lit(None).cast("array<int>").alias("local"), F.lit(None).cast("array<bigint>").alias("ids")]
-        both = held.select("block", "data", *none).unionByName(told.withColumn("data", F.lit(None).cast("binary")))
-        blocks = tables.write(f"blocks{k}", both.repartition("block").sortWithinPartitions("block").mapInArrow(_pairs(parts), _OF_PAIRS))
+        told = counted.where("block is not null").select("block", F.lit(None).cast("binary").alias("data"), "local", "ids")
+        both = held.select("block", "data", *none).unionByName(told).repartition(1 + size // (2 * PLACES), "block")
+        blocks = tables.write(f"blocks{k}", both.sortWithinPartitions("block").mapInArrow(_pairs(parts), _OF_PAIRS))
         tables.drop(f"blocks{k - 1}")
+        tables.drop(f"counts{k - 1}") if k > 2 else None
         fragments = blocks.where("part is not null").select("part", "block", "start", "data")
-        counts = tables.write(f"counts{k}", fragments.repartition("part").sortWithinPartitions("part").mapInArrow(_counted(parts, least), _COUNTED))
-        told = counts.where("block is not null").select("block", "local", "ids")
-        out.append(tables.write(f"names{k}", _pairs_named(counts.where("id is not null").select("id", "left", "right", "n"), out[-1])))
+        counted = tables.write(f"counts{k}", fragments.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_pairs_counted(parts, least), _PAIRS_COUNTED))
+        out.append(tables.write(f"names{k}", _pairs_named(counted.where("id is not null").select("id", "left", "right", "n"), out[-1])))
     tables.drop(f"blocks{most_words}")
     return out, totals
 
