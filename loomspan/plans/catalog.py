@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import SCHEMAS, table
 from .dialect import ANSI, SPARK, Dialect
+from .guard import Denied, validate_definition
 from .scope import EVERYTHING, Scope
 
 TABLES = list(SCHEMAS)
@@ -90,9 +91,13 @@ class Loaded:
         if name not in self._done:
             view = self.catalog.views[name]
             body = view.sql(SPARK)
+            before = list(self.catalog.views)
+            validate_definition(self.spark, body, {*TABLES, *before[: before.index(name)]})
             inner = {v.name: self.view(v.name) for v in self.catalog.needed(body)}
             inner |= {t: self.table(t) for t in TABLES if re.search(rf"\b{t}\b", body)}
             df = self._run(body, inner)
+            if df.columns != list(view.kinds):
+                raise Denied(f"{name} has columns {df.columns}, not those that are declared")
             keep = None if view.base else self.scope.rows(view.scope)
             self._done[name] = df if keep is None else df.where(keep)
         return self._done[name]

@@ -171,4 +171,4 @@ def run_pasted(loaded, sql: str, max_rows: int = 200):
 
     catalog: Catalog = loaded.catalog
     offered = {n: v for n, v in catalog.views.items() if not v.base}
-    return loaded.sql(guard(loaded.spark, sql, set(offered), columns={n: list(v.kinds) for n, v in offered.items()}, max_rows=max_rows))
+    return loaded.sql(guard(loaded.spark, sql, set(offered), columns={n: v.kinds for n, v in offered.items()}, max_rows=max_rows))

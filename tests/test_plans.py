@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomspan import suite
 from loomspan.functions import modifiers, periods
 from loomspan.plans import routing
-from loomspan.plans.guard import Denied, cte_order_ok, guard, read, scoped
+from loomspan.plans.guard import Denied, guard, read, scoped
 from loomspan.plans.scope import NoAccess, Scope
 from loomspan.plans.toolset import BY_NAME, TOOLS
 from loomspan.plans.values import closest
@@ -86,10 +86,6 @@ def test_the_guard(spark):
         guard(spark, "SELECT Salary FROM raw", {"raw"}, columns={"raw": ["Salary"]})
 
 
-def test_cte_order():
-    assert cte_order_ok("WITH a AS (SELECT 1), b AS (SELECT * FROM a) SELECT * FROM b") and not cte_order_ok("WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a")
-
-
 def test_scope(spark):
     asia = CATALOG.load(spark, SF, Scope(("ASIA",)))
     assert {r[0] for r in asia.view("vw_LineDayQuality").select("Factory").distinct().collect()} == {"ASIA"}
