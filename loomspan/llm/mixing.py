@@ -2,7 +2,8 @@
 
 Sources, in the order of their code points with null last, weigh 5, 2, 1, repeating; they share all words by weight,
 but no target goes beyond MOST times its source's size, and the excess is reshared by weight. Each source's target is
-apportioned in blocks of BLOCK words; its blocks are apportioned to its shards; in a shard the documents stand in an
+apportioned in blocks of BLOCK words, or where some target is small in shorter ones, down to one word, so that a block is
+a BLOCK-th of the smallest target at most and no source is lost; its blocks are apportioned to its shards; in a shard the documents stand in an
 order that the seed gives, and the mix takes whole rounds over all of them and then the first words of that order, up
 to the quota. A document is cut only where a shard's quota ends.
 
@@ -66,12 +67,15 @@ def quotas(sizes: DataFrame, seed: int = SEED, block: int = BLOCK) -> tuple[Data
     """From (source, slot, size): per source (source, source_size, sid, target, shards), and per shard (sid, shard, shard_size, quota in words)."""
     small = written(sizes)
     sources = targets(small.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("everything", F.lit(0))
-    seats = F.round(F.sum("source_size").over(Window.partitionBy()) / block).cast("long")
+    every = Window.partitionBy()
+    smallest = F.coalesce(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every), F.lit(0.0))
+    sources = sources.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(smallest / block))).cast("long"))
+    seats = F.round(F.sum("source_size").over(every) / F.col("block")).cast("long")
     shards_of = F.least(F.lit(SLOTS), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("source_size") / SHARD_WORDS))))).cast("long")
-    sources = written(sainte_lague(sources.withColumn("seats", seats), ["everything"], ["sid"], "target", "seats").select(F.col("source").alias("__source"), "source_size", "sid", "target", "quota", shards_of.alias("shards")))
-    slots = small.join(sources, F.col("source").eqNullSafe(F.col("__source"))).select("size", "sid", F.col("quota").alias("seats"), (F.col("slot") % F.col("shards")).alias("shard"))
-    shards = slots.groupBy("sid", "seats", "shard").agg(F.sum("size").alias("shard_size"))
-    return sources.drop("quota"), sainte_lague(shards, ["sid"], ["shard"], "shard_size", "seats").select("sid", "shard", "shard_size", (F.col("quota") * block).alias("quota"))
+    sources = written(sainte_lague(sources.withColumn("seats", seats), ["everything"], ["sid"], "target", "seats").select(F.col("source").alias("__source"), "source_size", "sid", "target", "quota", "block", shards_of.alias("shards")))
+    slots = small.join(sources, F.col("source").eqNullSafe(F.col("__source"))).select("size", "sid", F.col("quota").alias("seats"), "block", (F.col("slot") % F.col("shards")).alias("shard"))
+    shards = slots.groupBy("sid", "seats", "block", "shard").agg(F.sum("size").alias("shard_size"))
+    return sources.drop("quota", "block"), sainte_lague(shards, ["sid"], ["shard"], "shard_size", "seats").select("sid", "shard", "shard_size", (F.col("quota") * F.col("block")).alias("quota"))
 
 
 def _few(table: DataFrame) -> DataFrame:

@@ -80,6 +80,22 @@ def test_a_small_source_is_capped_and_its_excess_reshared(spark):
     assert got == {"a": 1500.0, "big": 8500.0}
 
 
+@pytest.mark.parametrize("small", [[5] * 20, list(range(1, 64)), [1], [63, 40]])
+def test_small_sources_are_not_lost(spark, small):
+    """Each source's words come within a word, or a 64th of the smallest target, of its target; all in all they stay."""
+    rows = [(i, "w " * n, "en", f"a{i:03}") for i, n in enumerate(small)] + [(1000 + i, "w " * 600, "en", "z") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mixed_words(df).collect()
+    source = {r[0]: r[3] for r in rows}
+    targets = brute_targets(Counter({s: sum(len(r[1]) // 2 for r in rows if r[3] == s) for s in source.values()}))
+    taken = Counter()
+    for r in got:
+        taken[source[r["doc_id"]]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    near = max(1, min(targets.values()) / 64)
+    assert all(abs(taken[s] - t) <= near for s, t in targets.items()) and abs(sum(taken.values()) - sum(targets.values())) <= near
+
+
 def test_the_mix_has_the_words_it_says(spark):
     docs = cases.frame(spark, cases.documents(200))
     said, mixed = mixing.mixed_words(docs).collect(), mixing.mixed(docs)
