@@ -137,29 +137,6 @@ def suggestions(question: str, tools: list[tuple[str, str, str]], agent: str | N
     return [n for p, _, n in sorted(points, key=lambda x: (-x[0], x[1])) if p >= 2]
 
 
-def typed(sql: str, kinds: dict[str, str], aggressive: bool = False) -> str:
-    """Quotes a bare number that is compared with a text column; an unknown column's only where that is asked for."""
-
-    def fix(m: re.Match) -> str:
-        kind = kinds.get(m[1].split(".")[-1])
-        return f"{m[1]} {m[2]} '{m[3]}'" if kind == "text" or (kind is None and aggressive) else m[0]
-
-    return re.sub(r"\b([A-Za-z_][\w.]*)\s*(=|<>|!=)\s*(\d+)\b(?![\w.])", fix, sql)
-
-
-def filters_of(sql: str) -> tuple[str | None, dict[str, list[str]]]:
-    """The inverse of a simple statement: its one table and the values that its equalities ask for."""
-    tables = re.findall(r"\b(?:from|join)\s+([\w.]+)", sql, re.I)
-    found = {c: [v] for c, v in re.findall(r"(\w+)\s*=\s*'([^']*)'", sql)}
-    found |= {c: re.findall(r"'([^']*)'", v) for c, v in re.findall(r"(\w+)\s+in\s*\(([^)]*)\)", sql, re.I)}
-    return (tables[0] if len(set(tables)) == 1 else None), found
-
-
-def window_of(sql: str) -> tuple[str, str] | None:
-    low, high = re.search(r">=\s*(?:date\s*)?'(\d{4}-\d\d-\d\d)'", sql, re.I), re.search(r"<\s*(?:date\s*)?'(\d{4}-\d\d-\d\d)'", sql, re.I)
-    return (low[1], high[1]) if low and high else None
-
-
 def beyond(newest: dt.date | None, asked: tuple[dt.date, dt.date]) -> str | None:
     """A note where the data end before the period that was asked for."""
     return f"data end on {newest}" if newest and newest < asked[1] - dt.timedelta(1) else None

@@ -12,6 +12,7 @@ from ..functions.units import in_base_units
 from ..operators import joins, refine
 from ..operators.refine import Filter, RefinePlan
 from ..plans.catalog import Loaded
+from ..plans.routing import run_pasted
 from ..plans.scope import Scope
 from ..plans.views import CATALOG
 from ..sources.tables import table
@@ -76,6 +77,14 @@ def scoped_summary(spark, sf):
     return _load(spark, sf, Scope(("ASIA", "EUROPE"))).view("vw_LineDayQuality").groupBy("Factory").agg(F.sum("Checked").cast("long").alias("checked"), F.count("*").alias("days"))
 
 
+PASTED = "WITH q AS (SELECT Factory, Status, Value AS v FROM vw_ExportOrder WHERE Value > 1000), k AS (SELECT Factory AS f, count(*) AS Units FROM vw_Store GROUP BY Factory) SELECT q.Factory, Status, Units, count(*) AS n, round(sum(CAST(v AS double)), 2) AS total FROM q JOIN k ON q.Factory = k.f GROUP BY q.Factory, Status, Units HAVING count(*) > 1 ORDER BY q.Factory, Status LIMIT 50"
+
+
+def pasted_summary(spark, sf):
+    """A statement that a user pasted: guarded, over the views in scope."""
+    return run_pasted(_load(spark, sf, Scope(("ASIA", "EUROPE"))), PASTED)
+
+
 def scoped_documents(spark, sf):
     """Documents that a user sees: their source as factory, language as department, quality as confidentiality."""
     d = _load(spark, sf).table("documents").select("doc_id", F.col("source").alias("factory"), F.when(F.col("lang") == "en", "GROUP").otherwise(F.col("lang")).alias("department"), (F.col("doc_id") % 4).cast("int").alias("confidentiality"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("b"), F.col("doc_id") % 5)).alias("buyer"))
@@ -244,6 +253,7 @@ QUERIES = {
     "styles_by_line_listagg": (styles_by_line_listagg, _q("SELECT Factory, Line, string_agg(Style, ', ' ORDER BY Style) AS styles, count(*) AS n FROM (SELECT DISTINCT Factory, Line, Style FROM vw_PlanDay WHERE Day >= DATE '1997-03-01' AND Day < DATE '1997-04-01') x GROUP BY Factory, Line")),
     "having_above_mean": (having_above_mean, _q("SELECT Factory, Line, CAST(sum(Defects) AS bigint) AS defects FROM vw_LineDayQuality GROUP BY Factory, Line HAVING sum(Defects) > (SELECT avg(d) FROM (SELECT sum(Defects) AS d FROM vw_LineDayQuality GROUP BY Factory, Line) y)")),
     "scoped_summary": (scoped_summary, _q("SELECT Factory, CAST(sum(Checked) AS bigint) AS checked, count(*) AS days FROM vw_LineDayQuality WHERE Factory IN ('ASIA', 'EUROPE') GROUP BY Factory")),
+    "pasted_summary": (pasted_summary, _q(PASTED.replace("Value > 1000", "Value > 1000 AND Factory IN ('ASIA', 'EUROPE')").replace("FROM vw_Store", "FROM vw_Store WHERE Factory IN ('ASIA', 'EUROPE')"))),
     "scoped_documents": (scoped_documents, "SELECT doc_id, source AS factory, CASE WHEN lang = 'en' THEN 'GROUP' ELSE lang END AS department FROM documents WHERE source IN ('GROUP', '', 'src1', 'src2', 'src3') AND (lang = 'en' OR lang IN ('GROUP', '', 'de')) AND doc_id % 4 <= 2 AND (doc_id % 3 = 0 OR doc_id % 5 = 1)"),
     "session_list": (session_list, _q("SELECT s.user, count(*) AS stores FROM vw_Store v CROSS JOIN (VALUES ('u1', 'ASIA,EUROPE'), ('u2', '*'), ('u3', NULL), ('u4', 'AS')) s(user, codes) WHERE codes = '*' OR ',' || codes || ',' LIKE '%,' || Factory || ',%' GROUP BY s.user")),
     "latest_per_key": (latest_per_key, _q("SELECT ExportOrderID, VersionNo, CAST(ShipDate AS varchar) AS ShipDate FROM (SELECT *, row_number() OVER (PARTITION BY ExportOrderID ORDER BY ShipDate DESC, VersionNo DESC, UpdatedBy DESC) AS rn FROM vw_PCDChangeHistory) x WHERE rn = 1")),
