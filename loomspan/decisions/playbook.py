@@ -87,6 +87,6 @@ def decision_outcomes(decisions: DataFrame, recommendations: DataFrame, predicti
     d = newest_decisions(decisions).join(recommendations, "recommendation_id")
     first = predictions.select(F.col("id").alias("prediction_id"), *SUBJECT, F.col("level").alias("level_then"), "outcome_at", "outcome_level")
     joined = d.join(first, "prediction_id")
-    later = predictions.select(*SUBJECT, F.col("id").alias("later_id"), F.col("level").alias("level_later"))
-    newest = joined.select("prediction_id", *SUBJECT).join(later, SUBJECT).where("later_id > prediction_id").groupBy("prediction_id").agg(F.max_by("level_later", "later_id").alias("level_now"))
-    return joined.join(newest, "prediction_id", "left").select("recommendation_id", "choice", *SUBJECT, "level_then", "level_now", "outcome_level", (F.col("outcome_at") >= F.col("decided_at")).alias("after_decision"))
+    newest = predictions.groupBy(*SUBJECT).agg(F.max("id").alias("newest_id"), F.max_by("level", "id").alias("newest_level"))
+    now = F.when(F.col("newest_id") > F.col("prediction_id"), F.col("newest_level")).alias("level_now")
+    return joined.join(newest, SUBJECT).select("recommendation_id", "choice", *SUBJECT, "level_then", now, "outcome_level", (F.col("outcome_at") >= F.col("decided_at")).alias("after_decision"))

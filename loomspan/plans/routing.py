@@ -7,7 +7,9 @@ import re
 from dataclasses import dataclass, field
 
 from ..functions import modifiers, periods
+from ..sources.footers import Horizons
 from .catalog import Catalog
+from .dialect import SPARK
 from .tools import Tool
 from .values import tokens_of
 
@@ -142,10 +144,18 @@ def beyond(newest: dt.date | None, asked: tuple[dt.date, dt.date]) -> str | None
     return f"data end on {newest}" if newest and newest < asked[1] - dt.timedelta(1) else None
 
 
-def run_pasted(loaded, sql: str, max_rows: int = 200):
-    """A statement that a user pasted, under the same rules: guarded, over the scoped views, capped."""
+def run_pasted(loaded, sql: str, max_rows: int = 200, horizons: Horizons | None = None):
+    """A statement that a user pasted, under the same rules: guarded, over the scoped views, capped. A view is as large as
+    the largest table below it, whose rows its footers tell."""
+    from .catalog import TABLES
     from .guard import guard
 
     catalog: Catalog = loaded.catalog
     offered = {n: v for n, v in catalog.views.items() if not v.base}
-    return loaded.sql(guard(loaded.spark, sql, set(offered), columns={n: v.kinds for n, v in offered.items()}, max_rows=max_rows))
+    horizons = horizons or Horizons(loaded.spark)
+    rows = {}
+    for name in offered:
+        if re.search(rf"\b{name}\b", sql, re.I):
+            bodies = " ".join(v.sql(SPARK) for v in catalog.needed(name))
+            rows[name] = max((horizons.rows(loaded.folder, t) for t in TABLES if re.search(rf"\b{t}\b", bodies)), default=0)
+    return loaded.sql(guard(loaded.spark, sql, set(offered), rows=rows, columns={n: v.kinds for n, v in offered.items()}, max_rows=max_rows))

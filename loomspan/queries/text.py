@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import nearest_rank
+from ..operators import ranks
 from ..plans import values
 from ..plans.views import CATALOG
 from ..retrieval import documents, search
@@ -208,7 +208,8 @@ def rotated_logs(spark, sf):
 
 
 def latency_percentiles(spark, sf):
-    return _t(spark, sf, "events").groupBy("event_type").agg(nearest_rank("value", 0.5).alias("p50"), nearest_rank("value", 0.95).alias("p95"), F.count("*").alias("n"))
+    """Nearest rank, without a task that holds a type's values."""
+    return ranks.nearest_ranks(_t(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 def events_json(spark, sf):
@@ -278,7 +279,8 @@ COMPARE = "WITH d AS (SELECT doc_id, lang AS kind FROM documents WHERE doc_id %
 def cosine_stats(spark, sf):
     """How near two encodings of the same texts are: here the vectors and their values at one digit."""
     e = _t(spark, sf, "embeddings").select(search.cosine(F.col("embedding"), F.transform("embedding", lambda x: F.round(x.cast("double"), 1))).alias("c"))
-    return e.agg(F.count("*").alias("n"), F.round(F.min("c"), 6).alias("least"), F.round(F.percentile("c", 0.01), 6).alias("p1"), F.round(F.avg("c"), 6).alias("mean"))
+    p1 = ranks.interpolated(e, [], "c", {"p1": 0.01}).select(F.round("p1", 6).alias("p1"))
+    return e.agg(F.count("*").alias("n"), F.round(F.min("c"), 6).alias("least"), F.round(F.avg("c"), 6).alias("mean")).join(p1)  # a row each
 
 
 COSINE_STATS = "WITH e AS (SELECT list_cosine_similarity(CAST(embedding AS double[]), list_transform(embedding, lambda x: round(CAST(x AS double), 1))) AS c FROM embeddings) SELECT count(*) AS n, round(min(c), 6) AS least, round(quantile_cont(c, 0.01), 6) AS p1, round(avg(c), 6) AS mean FROM e"

@@ -10,7 +10,7 @@ from .plans.boards import BOARDS
 from .plans.tools import Tool
 from .plans.toolset import TOOLS
 from .plans.views import CATALOG, PUBLIC
-from .queries import decisions, indexes, relational, text
+from .queries import decisions, history, indexes, relational, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,7 +63,7 @@ def _all() -> tuple[dict[str, Query], dict[str, str]]:
     for q, s in (_views(), _tools()):
         queries |= q
         statements |= s
-    for area in (relational, decisions, text, indexes):
+    for area in (relational, decisions, text, indexes, history):
         queries |= {n: f for n, (f, _) in area.QUERIES.items()}
         statements |= {n: sql for n, (_, sql) in area.QUERIES.items() if sql}
     return queries, statements
