@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..decisions import evaluation, playbook
 from ..operators import islands
-from ..sources import footers
+from ..sources import footers, scans
 from ..sources.tables import table as _t
+from ..sources.versions import scratch
 
 
 def question_history(spark, sf):
@@ -100,7 +101,39 @@ def table_bounds(spark, sf):
 
 BOUNDS = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, min({k}) AS low, max({k}) AS high, {f'''strftime(max({d}), '%Y-%m-%d')''' if d else 'NULL'} AS newest FROM {n}" for n, (k, d) in BOUNDED.items())
 
+SCANS = 4
+_VERSION = "CASE WHEN page_id % 4 = 0 AND {s} >= 3 THEN 2 ELSE 1 END"
+_THERE = "(page_id + {s}) % 6 <> 0 AND NOT (page_id % 40 = 3 AND {s} >= 2)"
+
+
+def page_registry(spark, sf):
+    """Pages as files in four scans: each is missing now and then, some go, some change, some can't be read."""
+    kept = scans.Registry(spark, scratch(spark, "registry"))
+    pages = _t(spark, sf, "pages")
+    for s in range(1, SCANS + 1):
+        version = F.expr(_VERSION.format(s=s))
+        scan = pages.where(_THERE.format(s=s)).select(F.concat(F.lit("p"), "page_id").alias("path"), (F.length(F.coalesce("html", F.lit(""))) + version).cast("long").alias("size"), version.cast("long").alias("modified"), F.when(F.col("page_id") % 13 != 5, F.sha2(F.concat(F.coalesce("html", F.lit("")), version.cast("string")), 256)).alias("hash"))
+        kept.apply(s, scan)
+    return kept.state().groupBy("status", "attempts", "misses", "change").agg(F.count("*").alias("n"), F.sum(F.substring("path", 2, 20).cast("long")).alias("pages"))
+
+
+def _fold() -> str:
+    """The same, a full join for each scan. The pages that go are too few to be held."""
+    steps = ["s0 AS (SELECT CAST(NULL AS bigint) AS page_id, NULL::bigint AS size, NULL::bigint AS modified, NULL::varchar AS hash, NULL::varchar AS status, 0 AS attempts, 0 AS misses, NULL::varchar AS change WHERE false)"]
+    for s in range(1, SCANS + 1):
+        v = _VERSION.format(s=s)
+        steps.append(f"n{s} AS (SELECT page_id AS p, length(coalesce(html, '')) + {v} AS size, {v} AS modified, CASE WHEN page_id % 13 <> 5 THEN sha256(coalesce(html, '') || CAST({v} AS varchar)) END AS hash FROM pages WHERE {_THERE.format(s=s)})")
+        steps.append(f"""j{s} AS (SELECT coalesce(page_id, p) AS page_id, o.size, o.modified, o.hash, status, coalesce(attempts, 0) AS attempts, coalesce(misses, 0) AS misses, n.size AS ns, n.modified AS nm, n.hash AS nh, p IS NOT NULL AS there, coalesce(status <> 'removed', false) AS known,
+  coalesce(status = 'done' AND o.size = n.size AND o.modified = n.modified, false) AS same, CASE WHEN coalesce(status <> 'removed', false) THEN coalesce(attempts, 0) ELSE 0 END + 1 AS tried FROM s{s - 1} o FULL JOIN n{s} n ON p = page_id)""")
+        steps.append(f"""s{s} AS (SELECT page_id, CASE WHEN there AND NOT same AND nh IS NOT NULL THEN ns ELSE size END AS size, CASE WHEN there AND NOT same AND nh IS NOT NULL THEN nm ELSE modified END AS modified, CASE WHEN there AND NOT same AND nh IS NOT NULL THEN nh ELSE hash END AS hash,
+  CASE WHEN NOT there THEN CASE WHEN known AND misses + 1 >= 2 THEN 'removed' ELSE status END WHEN same OR nh IS NOT NULL THEN 'done' WHEN tried >= 3 THEN 'failed' ELSE 'retry' END AS status,
+  CASE WHEN there AND NOT same AND nh IS NULL THEN tried WHEN there THEN 0 ELSE attempts END AS attempts, CASE WHEN there THEN 0 WHEN known THEN misses + 1 ELSE misses END AS misses,
+  CASE WHEN NOT there THEN CASE WHEN NOT known THEN NULL WHEN misses + 1 >= 2 THEN 'removed' ELSE 'missing' END WHEN same THEN NULL WHEN nh IS NULL THEN CASE WHEN tried >= 3 THEN 'failed' ELSE 'retry' END WHEN NOT known OR hash IS NULL THEN 'new' WHEN nh <> hash THEN 'changed' END AS change FROM j{s})""")
+    return f"WITH {', '.join(steps)} SELECT status, attempts, misses, change, count(*) AS n, CAST(sum(page_id) AS bigint) AS pages FROM s{SCANS} GROUP BY ALL"
+
+
 QUERIES = {
+    "page_registry": (page_registry, _fold()),
     "question_history": (question_history, HISTORY),
     "next_view": (next_view, "SELECT b.event_id, b.user_id, (SELECT v.event_id FROM events v WHERE v.event_type = 'view' AND v.user_id = b.user_id AND v.ts >= b.ts ORDER BY v.ts, v.event_id LIMIT 1) AS view_id FROM events b WHERE b.event_type = 'purchase'"),
     "decision_history": (decision_history, DECISIONS),
