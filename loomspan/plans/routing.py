@@ -48,7 +48,8 @@ def match_tool(question: str, matches: list[Match], tools: dict[str, Tool], toda
 
 @dataclass(frozen=True)
 class Source:
-    """What is known of a database when it is to be chosen."""
+    """What is known of a database when it is to be chosen. ``factories``: those whose data alone it holds; ``synonyms``:
+    further words for its own; ``similarity``: to the question, by vectors, where there are any."""
 
     name: str
     keywords: tuple[str, ...] = ()
@@ -56,35 +57,78 @@ class Source:
     factories: tuple[str, ...] = ()
     values: tuple[str, ...] = ()
     similarity: float = 0.0
+    synonyms: tuple[tuple[str, str], ...] = ()
+    curated: bool = False
+    routable: bool = True
 
 
-def evidence(question: str, source: Source, factory: str | None = None) -> float:
-    """3 a keyword, 1 a column, 2 x the share of the name's words, up to 2.5 for similarity, 4 for or against a
-    factory, 3 a recorded value."""
-    words, low = tokens_of(question), question.lower()
-    score = 3.0 * sum(k.lower() in low for k in source.keywords)
-    score += sum(bool(modifiers.words_of(c) & words) for c in source.columns)
-    name = modifiers.words_of(source.name)
-    score += 2.0 * len(name & words) / max(1, len(name))
-    score += 2.0 if source.similarity >= 0.6 else 1.0 if source.similarity >= 0.45 else 0.0
-    score += 0.5 if source.similarity > 0 else 0.0
-    if factory and source.factories:
-        score += 4.0 if factory in source.factories else -4.0
-    return score + 3.0 * sum(v.lower() in low for v in source.values)
+@dataclass(frozen=True)
+class Evidence:
+    name: str
+    score: float
+    hits: float
+    share: float
+
+
+def padded(text: str) -> str:
+    """Words between single spaces, with one before and behind, so that a phrase is found as whole words only."""
+    return f" {' '.join(re.findall(r'[^\W_]+', text.lower()))} "
+
+
+def prepared(question: str, source: Source) -> str:
+    """The question with compounds of the source's names taken apart and its own words beside their synonyms."""
+    parts = {"".join(w): " ".join(w) for n in (source.name, *source.columns) if len(w := re.findall(r"[a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", n).lower())) > 1}
+    said = padded(question)
+    more = [parts[w] for w in said.split() if w in parts] + [own for word, own in source.synonyms if padded(word) in said]
+    return padded(" ".join([question, *more]))
+
+
+def _hits(question: str, source: Source) -> float:
+    """3 a keyword, 1 a column (its name, or its words in a row), 3 a recorded value: as whole words, each once."""
+    said = prepared(question, source)
+    found = lambda names: sum(padded(n) in said for n in dict.fromkeys(names) if padded(n).strip())
+    columns = sum(any(padded(x) in said for x in (c, re.sub(r"(?<=[a-z])(?=[A-Z])", " ", c))) for c in source.columns)
+    return 3.0 * found(source.keywords) + columns + 3.0 * found(source.values)
+
+
+def factory_points(question: str, source: Source, codes: tuple[str, ...] = (), factory: str | None = None) -> float:
+    """4 for a source of a factory that is asked for, -4 if only others are, 0 for one of all factories or if none is."""
+    if not source.factories:
+        return 0.0
+    said = padded(question)
+    named = {c.upper() for c in (*codes, *source.factories) if padded(c) in said} | ({factory.upper()} if factory else set())
+    return 0.0 if not named else 4.0 if named & {f.upper() for f in source.factories} else -4.0
+
+
+def evidence(question: str, sources: list[Source], codes: tuple[str, ...] = (), factory: str | None = None) -> list[Evidence]:
+    """The sources that may be chosen, best first: hits, twice the share of the name's words, half a point for curated
+    views, factory points, and where half of the sources have a similarity 2 for the most alike and 1 for the next. Ties
+    go to the larger share, then to more hits, then by name."""
+    sources = [s for s in sources if s.routable]
+    alike = sorted((s for s in sources if s.similarity > 0), key=lambda s: -s.similarity)
+    bonus = {s.name: b for s, b in zip(alike, (2.0, 1.0))} if 2 * len(alike) >= len(sources) else {}
+    out = []
+    for s in sources:
+        words, name = set(prepared(question, s).split()), modifiers.words_of(s.name)
+        share, hits = len(name & words) / max(1, len(name)), _hits(question, s)
+        out.append(Evidence(s.name, hits + 2 * share + bonus.get(s.name, 0.0) + 0.5 * s.curated + factory_points(question, s, codes, factory), hits, share))
+    return sorted(out, key=lambda e: (-e.score, -e.share, -e.hits, e.name))
 
 
-def pick(question: str, sources: list[Source], factory: str | None = None, margin: float = 2.0) -> list[str]:
-    """The best source, and those within the margin."""
-    scored = sorted(((evidence(question, s, factory), s.name) for s in sources), key=lambda x: (-x[0], x[1]))
-    return [n for e, n in scored if e > 0 and e >= scored[0][0] - margin]
+def pick(question: str, sources: list[Source], factory: str | None = None, most: int = 1, margin: float = 2.0, codes: tuple[str, ...] = ()) -> list[str]:
+    """The best ``most`` sources with any evidence, and the next one if it has as many hits as the last of them and is
+    within the margin."""
+    found = [e for e in evidence(question, sources, codes, factory) if e.score > 0]
+    close = len(found) > most and found[most].hits > 0 and found[most].hits >= found[most - 1].hits and found[most - 1].score - found[most].score <= margin
+    return [e.name for e in found[: most + close]]
 
 
 def pick_agent(question: str, agents: dict[str, tuple[str, ...]], owner: str | None = None, databases: dict[str, str] | None = None) -> str | None:
     """A tool's owner, else the one with most keywords; a tie is settled by a database, else there is none."""
     if owner:
         return owner
-    low = question.lower()
-    hits = {a: sum(k in low for k in words) for a, words in agents.items()}
+    said = padded(question)
+    hits = {a: sum(padded(k) in said for k in words) for a, words in agents.items()}
     best = [a for a, n in hits.items() if n == max(hits.values()) and n > 0]
     if len(best) > 1 and databases:
         best = [a for a in best if a in databases.values()]

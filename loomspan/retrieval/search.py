@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF = 1.2, 0.75, 60
-STOP = "a an and are as at be by for from how in is it of on or that the this to was what when where which who with".split()
+# Words that don't count in a question, unless it has no others.
+STOP = frozenset(
+    "a an the is are was were be been of in on at to for from by with and or not no it its this that these those what which who whom whose when where why how do does did can could should would will shall"
+    " may might must have has had our we you your their they them there here as if than then so such any all each every per about into over under up down out".split()
+)
 TOKEN = r"[a-z0-9]+|[ঀ-৿]+"
 
 
