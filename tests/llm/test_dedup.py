@@ -1,5 +1,6 @@
 import hashlib
 import string
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -171,3 +172,57 @@ def test_keep_one_loses_no_text(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect())) == [(1, a, "p", 1), (7, b, "r", 3)]
+
+
+def test_wide_masks_cover_and_select():
+    masks = [m % (1 << 64) for m in simhash._wide_masks()]
+    assert len(set(masks)) == 127 and Counter(m.bit_count() for m in masks) == {32: 126, 64: 1}
+    r = np.random.default_rng(1)
+    for _ in range(3000):
+        flipped = sum(1 << int(b) for b in r.choice(64, 6, replace=False))
+        assert any(not m & flipped for m in masks)
+
+
+@pytest.mark.parametrize("part", [3, 1024])
+def test_wide_links_connect_what_six_bits_do(spark, monkeypatch, part):
+    """Chains, dense families and single fingerprints, against all pairs."""
+    monkeypatch.setattr(simhash, "PART", part)
+    r = np.random.default_rng(part)
+    flip = lambda x, n: x ^ sum(1 << int(b) for b in r.choice(64, n, replace=False))
+    fps = [int(x) for x in r.integers(0, 1 << 63, 60)]
+    for _ in range(12):
+        x = int(r.integers(0, 1 << 63))
+        for _ in range(9):  # a chain of steps that are at times too long
+            fps.append(x)
+            x = flip(x, int(r.integers(4, 9)))
+    center = int(r.integers(0, 1 << 63))
+    fps += [flip(center, int(r.integers(0, 5))) for _ in range(150)]
+    fps = sorted(set(fps))
+    a = np.array(fps, np.uint64)
+    near = np.bitwise_count(a[:, None] ^ a[None, :]) <= 6
+    label = np.arange(len(a))
+    while (new := np.where(near, label[None, :], len(a)).min(axis=1)).tolist() != label.tolist():
+        label = new
+    signed = a.view(np.int64)
+    nodes = spark.createDataFrame([(int(x),) for x in signed], "fp long").repartition(3)
+    links = simhash.wide_links(nodes)
+    assert all((int(p["a"]) % (1 << 64) ^ int(p["b"]) % (1 << 64)) for p in links.collect())
+    root = {x["node"]: x["root"] for x in components(links).collect()}
+    groups = {}
+    for x, of in zip(signed.tolist(), label.tolist()):
+        groups.setdefault(of, set()).add(root.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_edited_copies_go_and_others_stay(spark):
+    r = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(r.choice(words, 400)) for _ in range(60)]
+    edited = []
+    for t in texts[:30]:
+        w = t.split()
+        w[int(r.integers(0, 400))] = "changed"
+        edited.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts + edited)) + [(900, None), (901, "")], "doc_id long, text string").withColumn("fp", F.lit(1))
+    kept = {x["doc_id"] for x in simhash.keep_one(docs, wide=True).collect()}
+    assert set(range(60)) <= kept and len(kept & set(range(60, 90))) <= 3 and len(kept & {900, 901}) == 1

@@ -39,4 +39,4 @@ def test_the_stages_are_the_operators(spark, tmp_path):
     docs = cases.frame(spark)
     names = lambda df: sorted(map(str, df.collect()))
     assert names(corpus_pipeline.exact_duplicates(spark, docs, "")) == names(exact_dedup.drop_exact_duplicates(docs))
-    assert names(corpus_pipeline.near_duplicates(spark, docs, "")) == names(simhash.keep_one(docs))
+    assert names(corpus_pipeline.near_duplicates(spark, docs, "")) == names(simhash.keep_one(docs, wide=True))
