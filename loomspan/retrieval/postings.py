@@ -10,17 +10,38 @@ never scored; the others are looked up by term and document.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.versions import Manifest
+from ..sources.versions import Manifest, scratch
 from .search import K1, B, tokens
 
 BUCKETS, LEAD = 64, 2
+#: Terms of all questions (some 4 MB) up to which they are broadcast, to find their postings without a shuffle.
+BROADCAST_TERMS = 200_000
 _SLACK = 1e-9  # bounds are compared with sums of floats
 
 
+def _counted(words: DataFrame) -> DataFrame:
+    """(doc_id, len, term, tf) from tokenised texts: a document is counted where it is, so nothing is shuffled for it."""
+    kind = words.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500)):
+            lists = part.column(1)
+            found = pa.table({"doc": pc.list_parent_indices(lists), "term": pc.list_flatten(lists)}).group_by(["doc", "term"]).aggregate([("term", "count")]).combine_chunks()
+            doc, term, tf = (found.column(c).combine_chunks() for c in ("doc", "term", "term_count"))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(doc), pc.list_value_length(lists).take(doc).cast(pa.int32()), term, tf.cast(pa.int32())], names=["doc_id", "len", "term", "tf"])
+
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("len", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
+    return words.where(F.size("t") > 0).select("doc_id", "t").mapInArrow(run, schema)
+
+
 class Postings:
     """``root`` holds segments and removals; the manifest says in which order they came."""
 
@@ -43,8 +64,7 @@ class Postings:
         began, content = self.manifest.read()
         path = f"segment-{uuid.uuid4().hex}"
         words = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-        counted = words.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
-        rows = counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        rows = _counted(words).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
         rows.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.root}/{path}/postings")
         words.select("doc_id", "source", F.size("t").alias("len")).write.parquet(f"{self.root}/{path}/documents")
         self.spark.read.parquet(f"{self.root}/{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.root}/{path}/terms")
@@ -94,7 +114,11 @@ class Postings:
         by = Window.partitionBy("query_id").orderBy(F.desc("idf"), "term")
         after = F.sum(F.col("idf") * (K1 + 1)).over(by.rowsBetween(0, Window.unboundedFollowing))
         ranked = known.withColumn("place", F.row_number().over(by)).withColumn("bound", after)
-        rows = self.postings(buckets).select("term", "doc_id", "tf", "len")
+        terms = asked.select("term").distinct()
+        terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+        path = scratch(self.spark, "asked")  # the postings of these terms are read four times
+        self.postings(buckets).join(terms, "term", "left_semi").select("term", "doc_id", "tf", "len").write.parquet(path)
+        rows = self.spark.read.parquet(path)
         part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
 
         lead = ranked.where(F.col("place") <= LEAD).join(rows, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
