@@ -14,7 +14,7 @@ from ..functions.modifiers import resolve_column, strip
 from ..operators.refine import Filter, RefinePlan, Refused, additive, bare_filter
 from .catalog import Loaded
 from .tools import Tool
-from .values import closest
+from .values import CUTOFF, GAP, closest
 
 OPS = {"is not": "neq", "not": "neq", "is": "eq", "=": "eq", "over": "gt", "above": "gt", "more than": "gt", ">": "gt", "at least": "gte", ">=": "gte", "under": "lt", "below": "lt", "less than": "lt", "<": "lt", "at most": "lte", "<=": "lte", "contains": "contains", "containing": "contains"}
 
@@ -96,7 +96,10 @@ def requery(loaded: Loaded, tool: Tool, params: dict, plan: RefinePlan, size: in
 
 def repair(loaded: Loaded, tool: Tool, params: dict) -> tuple[DataFrame, dict[str, str]]:
     """An empty answer asked again with recorded spellings: each text equality's column is listed (distinct, in the
-    scope), and a value that clearly means one of those replaces what was asked. Returns the frame and what changed."""
+    scope), and a value that clearly means one of those replaces what was asked. Returns the frame and what changed.
+
+    Spellings alike enough to matter have few edits for their lengths, so all values are looked at and those few compared.
+    """
     first = tool.frame(loaded, **params)
     if first.take(1):
         return first, {}
@@ -104,7 +107,9 @@ def repair(loaded: Loaded, tool: Tool, params: dict) -> tuple[DataFrame, dict[st
     asked = tool.params | params
     for f in tool.filters:
         if f.op == "eq" and f.param and isinstance(asked.get(f.param), str) and asked[f.param]:
-            known = [r[0] for r in loaded.view(tool.view).select(f.column).where(F.col(f.column).isNotNull()).distinct().limit(5000).collect()]
+            asked_for, recorded = F.lit(asked[f.param].lower()), F.lower(F.col(f.column))
+            near = F.levenshtein(recorded, asked_for) <= (1 - CUTOFF + GAP) * (F.length(recorded) + F.length(asked_for))
+            known = [r[0] for r in loaded.view(tool.view).select(f.column).distinct().where(near).collect()]
             if (best := closest(asked[f.param], known)) and best != asked[f.param]:
                 changed[f.param] = best
     return (tool.frame(loaded, **{**params, **changed}), changed) if changed else (first, {})

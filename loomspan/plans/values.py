@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CUTOFF = 0.85
+GAP = 0.02  # by which the closest has to be closer than the next
 
 
 def _norm(column):
@@ -74,7 +75,7 @@ def resolve(hits: DataFrame) -> DataFrame:
     return out.withColumn("value", F.when(F.size("candidates") == 1, F.element_at("candidates", 1)))
 
 
-def closest(asked: str, known: list[str], cutoff: float = CUTOFF, gap: float = 0.02) -> str | None:
+def closest(asked: str, known: list[str], cutoff: float = CUTOFF, gap: float = GAP) -> str | None:
     """The recorded spelling of a value that found nothing: exact without case, or clearly the closest."""
     low = {k.lower(): k for k in known}
     if asked.lower() in low:

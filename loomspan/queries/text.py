@@ -104,11 +104,15 @@ SELECT s.doc_id, shape, "on", pages FROM s INNER JOIN n USING (doc_id) WHERE pag
 
 
 def contents_pages(spark, sf):
-    return documents.contents_pages(documents.pages_of(_t(spark, sf, "documents"), 10))
+    """Documents of which every third has a table of contents before its text."""
+    contents = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.concat(F.lit("Heading "), k.cast("string"), F.lit(" ........ "), k.cast("string"))), "\n")
+    text = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(contents, F.lit("\n"))).otherwise(""), F.coalesce("text", F.lit("")))
+    return documents.contents_pages(documents.pages_of(_t(spark, sf, "documents").select("doc_id", text.alias("text")), 10))
 
 
 CONTENTS = r"""
-WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN array_to_string(list_transform(range(1, 9), lambda k: 'Heading ' || k || ' ........ ' || k), chr(10)) || chr(10) ELSE '' END || coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM d)
 SELECT doc_id, pos // 10 AS page, count(*) FILTER (WHERE regexp_matches(text, '(\.[ ]?){4,}[ ]*([0-9]+|[ivxlcdmIVXLCDM]+)[ ]*$')) AS dotted, count(*) AS lines
 FROM p WHERE trim(text) <> '' GROUP BY 1, 2 HAVING dotted >= 5 AND dotted * 2 >= count(*)
 """

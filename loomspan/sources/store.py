@@ -144,7 +144,7 @@ def redacted(log: DataFrame, denied: list[str], columns: list[str], by: str = "r
 
 
 def csv_bytes(df: DataFrame, cap: int = 10_000) -> bytes:
-    """A bounded result as CSV with a byte-order mark, for spreadsheets. Larger results go through ``df.write.csv``."""
+    """The first ``cap`` rows of a result as CSV with a byte-order mark, for spreadsheets. Whole results go through ``df.write.csv``."""
     return df.limit(cap).toPandas().to_csv(index=False).encode("utf-8-sig")
 
 
