@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import pct
@@ -65,26 +65,38 @@ ORDER BY dhu DESC, Line LIMIT 200
 
 
 def _blocks(catalog: Loaded, start: dt.date, end: dt.date) -> DataFrame:
-    """Six blocks, each aggregated to (Factory, Line) on its own, left-joined to the planned lines.
+    """Six blocks of the planned lines in two passes over the work: what styles and buyers give, and what days give.
 
-    All sides are hashed by the same two columns, so each is shuffled once, as partial sums. Work in process is a
-    balance of flows up to the window's end, for the styles that are planned in the window (a semi-join).
+    Work in process is a balance of flows up to the window's end, for the styles that are planned in the window. The
+    rows are added up to (Factory, Line, Style, Buyer) before anything is asked of a style, and lines without a name have
+    a plan alone, as in a join on the name. The scope's filter is that of the views that say the same block by block.
     """
     on = ["Factory", "Line"]
-    plan = catalog.view("vw_PlanDay").where(_in("Day", start, end))
-    styles = plan.select(*on, "Style").distinct()
-    blocks = [
-        plan.groupBy(*on).agg(F.sum("Target").cast("long").alias("target"), F.count_distinct("Buyer").alias("buyers")),
-        catalog.view("vw_PlanOutputDay").where(_in("Day", start, end)).groupBy(*on).agg(F.sum("Output").cast("long").alias("output")),
-        catalog.view("vw_LineDayQuality").where(_in("Day", start, end)).groupBy(*on).agg(F.sum("Checked").cast("long").alias("checked"), F.sum("Defects").cast("long").alias("defects")),
-        catalog.view("vw_LineDayManHours").where(_in("Day", start, end)).groupBy(*on).agg(F.sum("Minutes").cast("long").alias("minutes"), F.max("Workers").cast("long").alias("workers")),
-        catalog.view("vw_CombinationFlowDay").where(F.col("Day") < F.lit(end)).join(styles, [*on, "Style"], "left_semi").groupBy(*on).agg(F.sum(F.col("Received") - F.col("Delivered")).cast("long").alias("wip")),
-        styles.groupBy(*on).agg(F.array_join(F.array_sort(F.collect_set("Style")), ", ").alias("styles")),
-    ]
-    out = blocks[0]
-    for block in blocks[1:]:
-        out = out.join(block, on, "left")
-    return out
+    keep = catalog.scope.rows("Factory")
+    scoped = lambda df: df if keep is None else df.where(keep)
+    inside = _in("Day", start, end)
+    buyers = catalog.view("b_order").select(F.col("OrderID").alias("__order"), F.coalesce("Buyer", F.lit("?")).alias("Buyer"))
+    work = scoped(catalog.view("b_line")).where(F.col("Day") < F.lit(end)).join(buyers, F.col("OrderID") == F.col("__order"), "left").withColumn("Buyer", F.coalesce("Buyer", F.lit("?")))
+    planned = inside & ((F.col("State") == "F") | (F.col("LineNo") < 4))
+    flow = F.when(F.col("State") == "F", F.col("Qty")).when(F.col("State") == "O", -F.col("Qty"))
+    per = work.groupBy(*on, F.col("Brand").alias("Style"), "Buyer").agg(
+        F.count_if(planned).alias("plans"), F.sum(F.when(planned, F.greatest(F.lit(10), F.col("Qty")))).alias("target"), F.sum(F.when(inside, F.when(F.col("Flag") != "A", F.col("Qty")).otherwise(0))).alias("output"),
+        F.sum(F.when(inside, F.col("Qty"))).alias("checked"), F.sum(F.when(inside, F.when(F.col("Flag") == "R", F.col("Qty")).otherwise(0))).alias("defects"), F.sum(flow).alias("flow"),
+    )
+    in_plan = F.max("plans").over(Window.partitionBy(*on, "Style")) > 0
+    named = F.col("Factory").isNotNull() & F.col("Line").isNotNull()
+    only = lambda c: F.when(named, c)
+    total = lambda c: F.sum(only(F.col(c))).cast("long").alias(c)
+    asked = F.when(F.col("plans") > 0, F.col("Buyer"))
+    lines = per.withColumn("wip", F.when(in_plan & F.col("Style").isNotNull(), F.col("flow"))).groupBy(*on).agg(
+        F.sum("plans").alias("plans"), F.sum("target").cast("long").alias("target"), F.count_distinct(asked).alias("buyers"), total("output"), total("checked"), total("defects"), total("wip"),
+        F.array_join(F.array_sort(F.collect_set(only(F.when(F.col("plans") > 0, F.col("Style"))))), ", ").alias("styles"), F.max(named).alias("named"),
+    )
+    last = F.max(F.struct("Day", "LineNo")).over(Window.partitionBy("OrderID"))["LineNo"]
+    days = scoped(catalog.view("b_work").withColumn("last", last)).where(inside).groupBy(*on, "Day").agg(F.max_by("last", "OrderID").alias("last"))
+    crews = days.select(*on, (F.coalesce("last", F.lit(1)) * 10).alias("Workers")).groupBy(*on).agg((F.sum("Workers") * 480).cast("long").alias("minutes"), F.max("Workers").cast("long").alias("workers"))
+    out = lines.where("plans > 0").join(crews, on, "left")
+    return out.select(*on, "target", "buyers", "output", "checked", "defects", "minutes", "workers", "wip", F.when(F.col("named"), F.col("styles")).alias("styles"))
 
 
 def production_by_line(catalog: Loaded, factory: str = "", start: dt.date = FROM, end: dt.date = TO) -> DataFrame:
