@@ -161,9 +161,12 @@ def capped(df: DataFrame, cap: int) -> tuple[DataFrame, bool]:
 
 def summarize(df: DataFrame, cut: bool = False) -> DataFrame:
     """One row: the distinct values of the first text column that varies, the first date's range, the first quantity's
-    total (null if the rows were cut)."""
+    total (null if the rows were cut). Which column varies is asked first, by the least and the greatest of each; the
+    first text column stands for none."""
     names = [c for c in df.columns if c != "__pos"]
-    text = next((c for c in names if is_text(df, c)), None)
+    texts = [c for c in names if is_text(df, c)]
+    ends = df.agg(*[F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias(f"v{i}") for i, c in enumerate(texts)]).first() if len(texts) > 1 else None
+    text = next((c for i, c in enumerate(texts) if ends is not None and ends[f"v{i}"]), texts[0] if texts else None)
     date = next((c for c in names if isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))), None)
     quantity = next((c for c in names if additive(df, c)), None)
     null = F.lit(None).cast("string")

@@ -277,3 +277,9 @@ def test_roman_page_numbers_in_contents(spark):
     lines = [(1, 0, i, t) for i, t in enumerate(["Scope ..... 3", "Preface . . . . iv", "Terms ....... 12", "Rules .... xii", "Ends ..... 9", "a | b | c"])] + [(1, 1, i, "a | b") for i in range(9)]
     got = documents.contents_pages(spark.createDataFrame(lines, "doc_id int, page int, line int, text string"))
     assert [tuple(r) for r in got.collect()] == [(1, 0, 5, 6)]
+
+
+def test_a_summary_is_of_the_first_text_that_varies(spark):
+    rows = spark.createDataFrame([("a", None, "x", 1), ("a", None, "y", 2), ("a", None, "y", 3)], "one string, none string, two string, Qty int")
+    assert refine.summarize(rows).first()["values"] == 2 and refine.summarize(rows.limit(1)).first()["values"] == 1
+    assert refine.summarize(rows.limit(0)).first()["values"] == 0
