@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..decisions import backtest, playbook, quality, risk, watch
@@ -104,19 +105,30 @@ def _wilson(sign: str) -> str:
 
 
 def backtest_store(spark, sf):
-    """The ordered steps over a small store with runs that fail, repeat, settle their own rows and are revised."""
-    day = dt.datetime(2000, 1, 1, 9)
-    runs = spark.createDataFrame([(i, day + dt.timedelta(days=i // 2, hours=4 * (i % 2)), 5 if i % 9 else 0, 1 if i % 7 == 6 else 0) for i in range(80)], "id long, started timestamp, predictions long, errors long")
-    rows = []
-    for i in range(80):
-        for s in range(12):
-            end = 25 + s
-            if i // 2 > end:
-                continue
-            out = day + dt.timedelta(days=end, hours=6) if i // 2 == end - s % 3 and i % 2 == 0 else None
-            rows.append((i * 100 + s, i, "ASIA" if s % 2 else "EUROPE", f"F{s}", ["red", "amber", "green"][s % 3], 7, 3.0, out, (day + dt.timedelta(days=end)).date() if out else None, 2.0 + s % 4 if out else None, 1 if s == 5 and out else 0))
-    store = spark.createDataFrame(rows, "id long, run_id long, Factory string, FileNo string, level string, window_days int, amber double, outcome_at timestamp, outcome_day date, outcome_dhu double, revised int")
-    return _texted(backtest.compute(runs, store).select("RunDay", "Factory", "FileNo", "level", "ahead", "adverse"))
+    """Orders as predictions of their customer, in weekly runs of which every seventh failed. A customer's newest order
+    has the outcome, that of every thirteenth customer the one before too; every eleventh customer is revised."""
+    week = F.floor(F.datediff("o_orderdate", F.lit(dt.date(1995, 1, 1))) / 7).cast("long")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.to_date("o_orderdate").alias("day"), week.alias("run_id"), place.alias("place"))
+    runs = orders.groupBy(F.col("run_id").alias("id")).agg(F.count("*").alias("predictions")).select("id", F.expr("TIMESTAMP_NTZ '1995-01-01 09:00:00' + make_dt_interval(CAST(id * 7 AS int))").alias("started"), "predictions", F.when(F.col("id") % 7 == 6, 1).otherwise(0).alias("errors"))
+    ended = (F.col("place") == 1) | ((F.col("place") == 2) & (F.col("o_custkey") % 13 == 0))
+    end = F.date_add("day", (F.col("o_custkey") % 40 + 1).cast("int"))
+    rows = orders.select(
+        F.col("o_orderkey").alias("id"), "run_id", F.concat(F.lit("f"), F.col("o_custkey") % 3).alias("Factory"), F.concat(F.lit("c"), F.col("o_custkey")).alias("FileNo"), F.col("o_orderstatus").alias("level"), F.lit(7).alias("window_days"), F.lit(3.0).alias("amber"),
+        F.when(ended, end.cast("timestamp_ntz") + F.expr("INTERVAL 6 HOURS")).alias("outcome_at"), F.when(ended, end).alias("outcome_day"), F.when(ended, F.col("o_custkey") % 5 + 0.5).alias("outcome_dhu"), F.when((F.col("o_custkey") % 11 == 0) & ended, 1).otherwise(0).alias("revised"),
+    )
+    return _texted(backtest.compute(runs, rows).select("RunDay", "Factory", "FileNo", "level", "ahead", "adverse"))
+
+
+STORE = """WITH o AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderstatus AS level, CAST(o_orderdate AS date) AS day, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS date)) // 7 AS run_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders),
+runs AS (SELECT run_id AS id, TIMESTAMP '1995-01-01 09:00:00' + to_days(CAST(run_id * 7 AS int)) AS started, run_id % 7 = 6 AS failed FROM o GROUP BY run_id),
+r AS (SELECT *, CASE WHEN place = 1 OR (place = 2 AND c % 13 = 0) THEN day + CAST(c % 40 + 1 AS int) END AS outcome_day FROM o),
+kept AS (SELECT r.*, CAST(started AS date) AS run_day FROM r JOIN runs ON runs.id = r.run_id WHERE NOT failed),
+settled AS (SELECT r.*, (SELECT max(id) FROM runs WHERE started <= r.outcome_day + INTERVAL 6 HOUR) AS by_run FROM r WHERE outcome_day IS NOT NULL),
+rest AS (SELECT * FROM settled WHERE by_run <> run_id),
+gone AS (SELECT c FROM rest GROUP BY c HAVING count(*) > 1 UNION SELECT c FROM settled WHERE by_run = run_id UNION SELECT c FROM r WHERE c % 11 = 0 AND outcome_day IS NOT NULL UNION SELECT k.c FROM kept k JOIN rest e ON e.c = k.c WHERE k.run_day > e.outcome_day)
+SELECT CAST(k.run_day AS varchar) AS RunDay, 'f' || (k.c % 3) AS Factory, 'c' || k.c AS FileNo, k.level, date_diff('day', k.run_day, e.outcome_day) AS ahead, CASE WHEN e.c % 5 + 0.5 >= 3.0 THEN 1 ELSE 0 END AS adverse
+FROM kept k JOIN rest e ON e.c = k.c WHERE k.c NOT IN (SELECT c FROM gone) AND date_diff('day', k.run_day, e.outcome_day) >= 1"""
 
 
 def _signals(spark, sf):
@@ -180,7 +192,7 @@ SELECT op.Factory, op.FileNo, CAST(date_diff('day', DATE '{FIRST}', op.RunDay) A
 FROM op INNER JOIN fin ON op.Factory = fin.Factory AND op.FileNo = fin.FileNo WHERE NOT EXISTS (SELECT 1 FROM running r WHERE r.Factory = op.Factory AND r.FileNo = op.FileNo)""")),
     "lead_grid": (lead_grid, CATALOG.with_views(f"{JOINED} SELECT level, CASE WHEN ahead < 7 THEN '1-6' WHEN ahead = 7 THEN '7' WHEN ahead <= 13 THEN '8-13' WHEN ahead <= 20 THEN '14-20' WHEN ahead <= 27 THEN '21-27' ELSE '28+' END AS bucket, CAST(sum(adverse) AS bigint) AS adverse, count(*) AS n FROM joined GROUP BY 1, 2")),
     "wilson_by_level": (wilson_by_level, CATALOG.with_views(f"{JOINED} SELECT level, CAST(n AS bigint) AS n, CAST(a AS bigint) AS adverse, greatest(0.0, {_wilson('-')}) AS low, least(1.0, {_wilson('+')}) AS high FROM (SELECT level, CAST(count(*) AS double) AS n, CAST(sum(adverse) AS double) AS a FROM (SELECT *, row_number() OVER (PARTITION BY Factory, FileNo ORDER BY ahead, level) AS rn FROM joined WHERE ahead >= {WINDOW}) x WHERE rn = 1 GROUP BY level) y")),
-    "backtest_store": (backtest_store, None),
+    "backtest_store": (backtest_store, STORE),
     "action_options": (action_options, CATALOG.with_views(f"""WITH s AS (SELECT *, {_level()} AS level, CASE WHEN Checked < 200 OR dhu IS NULL THEN 'info' WHEN dhu >= 45 THEN 'red' WHEN dhu >= 30 THEN 'amber' ELSE 'green' END AS dl, CASE WHEN Checked < 200 OR reject_pct IS NULL THEN 'info' WHEN reject_pct >= 45 THEN 'red' WHEN reject_pct >= 30 THEN 'amber' ELSE 'green' END AS rl FROM ({RATED} FROM (SELECT Factory, FileNo, {SUMS} FROM vw_PlanQualityDay WHERE Day > DATE '{NEWEST - dt.timedelta(DAYS)}' AND Day <= DATE '{NEWEST}' GROUP BY Factory, FileNo) q) r)
 SELECT Factory, FileNo, level, 'defects' AS playbook, 'extra inspection' AS action, round(Checked * 0.25, 2) AS cost, CASE WHEN Checked <= 0 THEN 'no quantity' ELSE '' END AS reasons FROM s WHERE level IN ('red', 'amber') AND dl IN ('red', 'amber')
 UNION ALL SELECT Factory, FileNo, level, 'defects', 'line meeting', NULL, '' FROM s WHERE level IN ('red', 'amber') AND dl IN ('red', 'amber')
