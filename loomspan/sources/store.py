@@ -45,6 +45,18 @@ class Copies:
         options[0] = getattr(fs, "Options$Rename").OVERWRITE
         fs.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, old, options)
 
+    def prune(self, name: str, keep: int = 2) -> list[str]:
+        """Removes all but the ``keep`` newest versions, the current one always kept; readers of the one before go on.
+        Returns what was removed."""
+        current = (self.meta(name) or {}).get("version")
+        folder = self._path(f"{self.root}/{name}")
+        found = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        versions = sorted((v for v in found if v.startswith("v=")), key=lambda v: int(v.rpartition("-")[2]))
+        gone = [v for v in versions[: max(0, len(versions) - keep)] if v != current]
+        for v in gone:
+            self._fs.delete(self._path(f"{self.root}/{name}/{v}"), True)
+        return gone
+
     def meta(self, name: str) -> dict | None:
         if not self._fs.exists(self._pointer(name)):
             return None

@@ -283,3 +283,11 @@ def test_a_summary_is_of_the_first_text_that_varies(spark):
     rows = spark.createDataFrame([("a", None, "x", 1), ("a", None, "y", 2), ("a", None, "y", 3)], "one string, none string, two string, Qty int")
     assert refine.summarize(rows).first()["values"] == 2 and refine.summarize(rows.limit(1)).first()["values"] == 1
     assert refine.summarize(rows.limit(0)).first()["values"] == 0
+
+
+def test_old_copies_go_and_the_current_one_stays(spark, tmp_path):
+    kept = store.Copies(spark, f"file://{tmp_path}/c")
+    assert kept.prune("n") == []
+    made = [kept.write("n", spark.range(i), dt.datetime(2000, 1, i))["version"] for i in (3, 2, 1)]
+    assert kept.prune("n") == made[:1] and kept.prune("n", 1) == made[1:2] and kept.read("n").count() == 1
+    assert kept.prune("n", 0) == [] and kept.read("n").count() == 1
