@@ -40,6 +40,8 @@ from .components import components
 
 SEED, SHINGLE, RADIUS, SMALL = 42, 3, 2, 16
 WIDE, WIDE_SHINGLE, PART = 6, 5, 1024
+#: Fingerprints that a task files under all wide masks: 127 rows each, which it can add up in memory.
+FILED = 8192
 _AT_ONCE = 1 << 18
 
 
@@ -122,7 +124,8 @@ def _tree(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nda
 def wide_links(nodes: DataFrame, radius: int = WIDE) -> DataFrame:
     """Distinct pairs (a, b) that connect all fingerprints (column fp, distinct) within a radius of six at most."""
     at = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(_wide_masks())]))
-    filed = nodes.select("fp", at.alias("at")).select("fp", F.xxhash64("at.v", "at.key").alias("key"))  # keys of two tables that meet cost a comparison
+    spread = nodes.repartition(1 + nodes.count() // FILED, "fp")
+    filed = spread.select("fp", at.alias("at")).select("fp", F.xxhash64("at.v", "at.key").alias("key"))  # keys of two tables that meet cost a comparison
     shared = written(filed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = shared.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
     more = shared.where("n > 2").select("key", "n")
