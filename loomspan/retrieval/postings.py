@@ -1,19 +1,22 @@
 """Keyword search over kept postings: (term, document, frequency, length), by term, added and removed by source.
 
 An addition writes a segment: its postings in folders by a hash of the term, its documents, and how many of them each term
-is in. A removal writes which documents go and how many of them each term was in, so counts stay exact without reading
-postings. A search reads the folders of its terms alone. It bounds what a term can add to a score: the rarest terms of a
-question give a score that k documents reach, and documents that hold only terms whose bounds together stay below it are
-never scored; the others are looked up by term and document.
+is in. Postings are kept in blocks of documents: a row has a term's documents of one block as lists. A removal writes which
+documents go and how many of them each term was in, so counts stay exact without reading postings. A search reads the
+folders of its terms alone and brings the lists of one block to one task, which adds up its documents' scores for all
+questions: pairs of questions and documents are never shuffled. The rarest terms of a question, alone, give a score that k
+documents reach; of the pairs a task hands on only those that reach it too, k of each question at most.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,26 +25,50 @@ from ..sources.versions import Manifest, scratch
 from .search import K1, B, tokens
 
 BUCKETS, LEAD = 64, 2
-#: Terms of all questions (some 4 MB) up to which they are broadcast, to find their postings without a shuffle.
+#: Postings of a block, give or take those of 500 documents.
+BLOCK = 1 << 19
+#: Terms of all questions (some 20 MB) that are broadcast at once; more questions are asked in several passes.
 BROADCAST_TERMS = 200_000
-_SLACK = 1e-9  # bounds are compared with sums of floats
+#: Pairs of questions and documents that a task adds up, as counted from the documents of the terms.
+TASK_PAIRS = 1_000_000
+_SLACK = 1e-9  # scores that must be reached are compared with sums of floats
 
 
-def _counted(words: DataFrame) -> DataFrame:
-    """(doc_id, len, term, tf) from tokenised texts: a document is counted where it is, so nothing is shuffled for it."""
+def _blocks(words: DataFrame) -> DataFrame:
+    """(block, term, docs, tfs, lens) from tokenised texts: documents are counted where they are, and those of one task that
+    follow each other share blocks."""
     kind = words.schema["doc_id"].dataType
 
+    def packed(held: list[pa.Table], block: int) -> pa.RecordBatch:
+        rows = pa.concat_tables(held).group_by("term", use_threads=False).aggregate([(c, "list") for c in ("doc_id", "tf", "len")]).combine_chunks()
+        lists = [rows.column(c).combine_chunks() for c in ("term", "doc_id_list", "tf_list", "len_list")]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()).take(pa.array([0] * rows.num_rows, pa.int32())), *lists], names=["block", "term", "docs", "tfs", "lens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, block = [], 0, TaskContext.get().partitionId() << 32
         for part in (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500)):
             lists = part.column(1)
-            found = pa.table({"doc": pc.list_parent_indices(lists), "term": pc.list_flatten(lists)}).group_by(["doc", "term"]).aggregate([("term", "count")]).combine_chunks()
+            found = pa.table({"doc": pc.list_parent_indices(lists), "term": pc.list_flatten(lists)}).group_by(["doc", "term"], use_threads=False).aggregate([("term", "count")]).combine_chunks()
             doc, term, tf = (found.column(c).combine_chunks() for c in ("doc", "term", "term_count"))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(doc), pc.list_value_length(lists).take(doc).cast(pa.int32()), term, tf.cast(pa.int32())], names=["doc_id", "len", "term", "tf"])
-
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("len", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())])
+            held.append(pa.table([part.column(0).take(doc), pc.list_value_length(lists).take(doc).cast(pa.int32()), term, tf.cast(pa.int32())], names=["doc_id", "len", "term", "tf"]))
+            size += len(doc)
+            if size >= BLOCK:
+                yield packed(held, block)
+                held, size, block = [], 0, block + 1
+        if held:
+            yield packed(held, block)
+
+    counts = T.ArrayType(T.IntegerType())
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("term", T.StringType()), T.StructField("docs", T.ArrayType(kind)), T.StructField("tfs", counts), T.StructField("lens", counts)])
     return words.where(F.size("t") > 0).select("doc_id", "t").mapInArrow(run, schema)
 
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """A row for each document of the lists."""
+    rest = [c for c in rows.columns if c not in ("docs", "tfs", "lens")]
+    return rows.select(*rest, F.inline(F.arrays_zip("docs", "tfs", "lens")).alias("doc_id", "tf", "len"))
+
+
 class Postings:
     """``root`` holds segments and removals; the manifest says in which order they came."""
 
@@ -64,10 +91,10 @@ class Postings:
         began, content = self.manifest.read()
         path = f"segment-{uuid.uuid4().hex}"
         words = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-        rows = _counted(words).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        rows.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{self.root}/{path}/postings")
+        rows = _blocks(words).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        rows.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.root}/{path}/postings")
         words.select("doc_id", "source", F.size("t").alias("len")).write.parquet(f"{self.root}/{path}/documents")
-        self.spark.read.parquet(f"{self.root}/{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.root}/{path}/terms")
+        self.spark.read.parquet(f"{self.root}/{path}/postings").groupBy("term").agg(F.sum(F.size("docs")).alias("df")).write.option("compression", "zstd").parquet(f"{self.root}/{path}/terms")
         self._commit(began, content, "add", path)
 
     def remove(self, source: str) -> int:
@@ -79,7 +106,7 @@ class Postings:
         path = f"removal-{uuid.uuid4().hex}"
         gone.where(F.col("source") == source).select("doc_id", "len", F.col("at").alias("segment")).write.parquet(f"{self.root}/{path}/documents")
         gone = self.spark.read.parquet(f"{self.root}/{path}/documents")
-        lost = self._read("add", "postings").join(gone.select("doc_id", F.col("segment").alias("at")), ["doc_id", "at"], "left_semi")
+        lost = self._read("add", "postings").select("term", "at", F.explode("docs").alias("doc_id")).join(gone.select("doc_id", F.col("segment").alias("at")), ["doc_id", "at"], "left_semi")
         lost.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{self.root}/{path}/terms")
         self._commit(began, content, "remove", path)
         return gone.count()
@@ -94,9 +121,12 @@ class Postings:
         rows = self._read("add", "documents")
         return None if rows is None else self._without_removed(rows)
 
-    def postings(self, buckets: list[int] | None = None) -> DataFrame:
+    def _lists(self, buckets: list[int] | None = None) -> DataFrame:
         rows = self._read("add", "postings")
-        return self._without_removed(rows if buckets is None else rows.where(F.col("bucket").isin(buckets)))
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+
+    def postings(self, buckets: list[int] | None = None) -> DataFrame:
+        return self._without_removed(_listed(self._lists(buckets)))
 
     def terms(self) -> DataFrame:
         """(term, df): in how many documents each term is."""
@@ -110,25 +140,32 @@ class Postings:
         asked = questions.select("query_id", "term").distinct()
         buckets = sorted(r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect())  # BUCKETS numbers at most
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        known = asked.join(self.terms(), "term").join(F.broadcast(stats)).select("query_id", "term", idf.alias("idf"), "avg")  # one row
-        by = Window.partitionBy("query_id").orderBy(F.desc("idf"), "term")
-        after = F.sum(F.col("idf") * (K1 + 1)).over(by.rowsBetween(0, Window.unboundedFollowing))
-        ranked = known.withColumn("place", F.row_number().over(by)).withColumn("bound", after)
-        terms = asked.select("term").distinct()
-        terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-        path = scratch(self.spark, "asked")  # the postings of these terms are read four times
-        self.postings(buckets).join(terms, "term", "left_semi").select("term", "doc_id", "tf", "len").write.parquet(path)
-        rows = self.spark.read.parquet(path)
+        known = asked.join(self.terms(), "term").join(F.broadcast(stats)).select("query_id", "term", "df", idf.alias("idf"), "avg")  # one row
+        by = Window.partitionBy("query_id").orderBy("df", "term")
+        before = F.coalesce(F.sum("df").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        path = scratch(self.spark, "asked")
+        known.withColumn("lead", (F.row_number().over(by) <= LEAD) | (before < 2 * k)).write.parquet(path)
+        known = self.spark.read.parquet(path)
+        n, pairs = known.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+        passes = max(1, -(-n // BROADCAST_TERMS))
+        tasks = max(self.spark.sparkContext.defaultParallelism, pairs // passes // TASK_PAIRS + 1)
+        terms = known.select("term").distinct()
+        lists = self._lists(buckets).join(F.broadcast(terms) if n <= BROADCAST_TERMS else terms, "term", "left_semi").select("at", "block", "term", "docs", "tfs", "lens")
+        rows = self._without_removed(_listed(lists.repartition(tasks, "at", "block")))
         part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-
-        lead = ranked.where(F.col("place") <= LEAD).join(rows, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
-        kth = lead.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
-        bounded = ranked.join(kth, "query_id", "left")
-        needed = bounded.where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached") - _SLACK))
-        candidates = needed.select("query_id", "term").join(rows.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct()
-        scored = candidates.join(ranked.select("query_id", "term", "idf", "avg"), "query_id").join(rows, ["term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
         best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "doc_id")
-        return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+        def scored(questions: DataFrame) -> DataFrame:
+            """Pairs are added up in the task that has the document's block."""
+            return rows.join(F.broadcast(questions), "term").groupBy("at", "block", "doc_id", "query_id").agg(F.sum(part).alias("score"))
+
+        def found(questions: DataFrame) -> DataFrame:
+            lead = scored(questions.where("lead").drop("lead", "df")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+            kth = lead.where(F.col("rank") == k).select("query_id", (F.col("score") - _SLACK).alias("reached"))
+            every = scored(questions.drop("lead", "df")).join(F.broadcast(kth), "query_id", "left").where(F.col("reached").isNull() | (F.col("score") >= F.col("reached")))  # a number a question of this pass
+            return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+        return reduce(DataFrame.unionByName, [found(known.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)) for i in range(passes)])
 
     def rarest(self, most: int, least_df: int = 2) -> DataFrame:
         """(query_id, term): each document's rarest terms that other documents have too, as a question for alike ones."""

@@ -1,11 +1,13 @@
 import datetime as dt
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomspan.queries import indexes
+from loomspan.retrieval import postings as kept_postings
 from loomspan.retrieval import search, vectors
 from loomspan.retrieval.postings import Postings
 from loomspan.retrieval.vectors import VectorIndex
@@ -98,6 +100,23 @@ def test_bounds_leave_documents_out(spark, tmp_path):
     assert [(r["doc_id"], round(r["score"], 6)) for r in got.orderBy("rank").collect()] == [(r["doc_id"], r["score"]) for r in search.bm25(rows, "common rare word", 5).collect()]
 
 
+def test_pairs_are_added_up_where_the_documents_are(spark, tmp_path, monkeypatch):
+    """Nothing is dealt out by question and document; blocks of a few documents and several passes give the same."""
+    monkeypatch.setattr(kept_postings, "BLOCK", 3)
+    monkeypatch.setattr(kept_postings, "BROADCAST_TERMS", 2)
+    rows = spark.createDataFrame([(i, t, f"s{i % 2}") for i, t in TEXTS.items()], "doc_id long, text string, source string")
+    index = postings(spark, tmp_path, rows)
+    index.remove("s1")
+    index.add(rows.where("source = 's1'"))
+    questions = {1: "fox", 2: "red dog", 3: "owl fox dog red", 4: "nothing"}
+    found = index.search(asked(spark, questions), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not re.search(r"hashpartitioning\((query_id#\d+L?, doc_id|doc_id#\d+L?, query_id|term#\d+, doc_id)", plan)
+    for q, words in questions.items():
+        want = [(r["doc_id"], r["score"]) for r in search.bm25(rows, words, 2).collect()]
+        assert [(r["doc_id"], round(r["score"], 6)) for r in found.where(F.col("query_id") == q).orderBy("rank").collect()] == want
+
+
 def test_only_the_folders_of_the_terms_are_read(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"w{i} w{i + 1}", "s") for i in range(300)], "doc_id long, text string, source string")
     index = Postings(spark, f"file://{tmp_path}/p")
