@@ -25,13 +25,22 @@ def base(column):
 
 @F.pandas_udf(T.DoubleType())
 def closeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    """Ratios; where an upper bound of it is below the cutoff, that bound. Few texts b are looked at once for all a."""
+    known: dict[str, difflib.SequenceMatcher] = {}
+    out = []
+    for x, y in zip(a, b):
+        m = known.get(y) or known.setdefault(y, difflib.SequenceMatcher(None, "", y))
+        m.set_seq1(x)
+        bound = m.quick_ratio()
+        out.append(m.ratio() if bound >= CUTOFF else bound)
+    return pd.Series(out, dtype="float64")
 
 
 def _pairs(text):
     """The pairs of neighbouring characters, those that repeat with a number, in an order that all texts share."""
     two = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))
-    return F.array_sort(F.transform(two, lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.concat(x, F.size(F.filter(F.slice(two, F.lit(1), i + 1), lambda y: y == x)).cast("string")).alias("pair"))))["pair"]
+    numbered = lambda two: F.transform(two, lambda x, i: F.struct(F.xxhash64(x).alias("h"), F.concat(x, F.size(F.filter(F.slice(two, F.lit(1), i + 1), lambda y: y == x)).cast("string")).alias("pair")))
+    return F.array_sort(F.element_at(F.transform(F.array(two), numbered), 1))["pair"]  # as a variable, the pairs are made once a text
 
 
 def _first(pairs, length):
@@ -58,20 +67,21 @@ def lookup(questions: DataFrame, entries: DataFrame, factory: str | None = None)
     exact = asked.join(named, "phrase").select("question_id", "entity", "value", "code", "score")
     phrases = asked.where(F.length("phrase") > 2).select("question_id", "phrase", F.size(F.split("phrase", " ")).alias("n"), F.length("phrase").alias("l"), _pairs(F.col("phrase")).alias("g"))
     phrases = phrases.withColumn("f", _first(F.col("g"), F.col("l")))
-    long = own.select("entity", "value", "code", base(F.col("value")).alias("b")).withColumn("bn", F.size(F.split("b", " "))).where(F.col("bn") > 1)
+    long = own.select("entity", "value", "code", base(F.col("value")).alias("b")).withColumn("bn", F.size(F.split("b", " "))).where(F.col("bn") > 1).repartition("value", "code")  # names may come in few files
     long = long.withColumn("bl", F.length("b")).withColumn("bg", _pairs(F.col("b"))).withColumn("bf", _first(F.col("bg"), F.col("bl")))
     near = phrases.withColumn("pair", F.explode("f")).join(long.withColumn("pair", F.explode("bf")), "pair").where(F.abs(F.col("n") - F.col("bn")) <= 1)
-    near = near.where(F.element_at(F.array_intersect("f", "bf"), 1) == F.col("pair"))  # once for all pairs shared
     total = F.col("l") + F.col("bl")
-    near = near.where((2 * F.least("l", "bl") >= CUTOFF * total - 1e-6) & (F.size(F.array_intersect("g", "bg")) >= total * (CUTOFF / 2) * (3 - 2 / CUTOFF) - 1 - 1e-6))
+    near = near.where(2 * F.least("l", "bl") >= CUTOFF * total - 1e-6).where(F.element_at(F.array_intersect("f", "bf"), 1) == F.col("pair"))  # once for all pairs shared
+    near = near.where(F.size(F.array_intersect("g", "bg")) >= total * (CUTOFF / 2) * (3 - 2 / CUTOFF) - 1 - 1e-6)
+    near = near.select("question_id", "entity", "value", "code", "b", "phrase").repartition("value", "code")
     fuzzy = near.withColumn("score", closeness("b", "phrase")).where(F.col("score") >= CUTOFF).select("question_id", "entity", "value", "code", "score")
     return exact.unionByName(fuzzy).groupBy("question_id", "entity", "value", "code").agg(F.max("score").alias("score"))
 
 
 def resolve(hits: DataFrame) -> DataFrame:
     """Per question and entity the only best value, or all best ones as candidates."""
-    best = hits.withColumn("top", F.max("score").over(Window.partitionBy("question_id", "entity"))).where(F.col("score") == F.col("top"))
-    out = best.groupBy("question_id", "entity").agg(F.array_sort(F.collect_set("value")).alias("candidates"), F.max("score").alias("score"))
+    alike = hits.groupBy("question_id", "entity", "score").agg(F.array_sort(F.collect_set("value")).alias("candidates"))
+    out = alike.groupBy("question_id", "entity").agg(F.max_by("candidates", "score").alias("candidates"), F.max("score").alias("score"))
     return out.withColumn("value", F.when(F.size("candidates") == 1, F.element_at("candidates", 1)))
 
 

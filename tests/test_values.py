@@ -45,3 +45,11 @@ def test_the_query_knows_all_customers(spark, tmp_path):
     assert got[2] == ("Buyer House 20 Ltd", 1.0) and got[3][0] == "Buyer House 33 Ltd"
     spark.sql("SELECT CAST(id AS bigint) AS c_custkey, '' AS c_name, 0 AS c_nationkey, 0.0D AS c_acctbal, '' AS c_mktsegment FROM VALUES (333) AS t(id)").write.mode("overwrite").parquet(str(tmp_path / "customer.parquet"))
     assert {r["question_id"]: r["value"] for r in text.value_lookup(spark, str(tmp_path)).collect()}[3] == "Buyer House 333 Ltd"
+
+
+def test_no_task_holds_all_hits_of_a_question(spark):
+    """Hits of one question are many; they are grouped, not ranked by a window, and names are dealt out before they are compared."""
+    hits = values.lookup(spark.createDataFrame([(1, "orders of byer house 33")], "question_id int, text string"), entries(spark, [f"buyer house {i}" for i in range(40)]))
+    plan = values.resolve(hits)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("RepartitionByExpression") == 2
+    assert [(r["value"], round(r["score"], 6)) for r in values.resolve(hits).collect()] == [("buyer house 33", 0.962963)]
