@@ -23,6 +23,18 @@ def _view(name: str, grain: str, keys: str, kinds: str, sql, fresh: str | None =
     return View(name, grain, tuple(keys.split()), _kinds(kinds), sql if callable(sql) else (lambda d: sql), "Factory", fresh, base)
 
 
+#: Items with their factories. Spark reads the work once, and an item meets a factory once, not once a line: both sides are
+#: distinct before they meet, so the rows are too, and none is grouped by all its columns.
+ITEMS = {
+    "ansi": """
+SELECT DISTINCT p.p_partkey AS ItemID, l.Factory AS Factory, p.p_name AS Item, p.p_brand AS Category, p.p_type AS ItemGroup, p.p_size AS Size, p.p_retailprice AS Price
+FROM part p LEFT JOIN b_line l ON p.p_partkey = l.ItemID WHERE p.p_partkey IN (SELECT l_partkey FROM lineitem)""",
+    "spark": """
+SELECT p.ItemID AS ItemID, l.Factory AS Factory, p.Item AS Item, p.Category AS Category, p.ItemGroup AS ItemGroup, p.Size AS Size, p.Price AS Price
+FROM (SELECT DISTINCT p_partkey AS ItemID, p_name AS Item, p_brand AS Category, p_type AS ItemGroup, p_size AS Size, p_retailprice AS Price FROM part) p
+INNER JOIN (SELECT DISTINCT ItemID, Factory FROM b_work) l ON p.ItemID = l.ItemID""",
+}
+
 BASE = [
     _view("b_order", "order", "OrderID", "OrderID:int Factory:text Unit:text BuyerID:int Buyer:text Segment:text Status:text Value:decimal PCD:date Priority:text", """
 SELECT o.o_orderkey AS OrderID, r.r_name AS Factory, n.n_name AS Unit, c.c_custkey AS BuyerID, c.c_name AS Buyer, c.c_mktsegment AS Segment,
@@ -143,9 +155,7 @@ SELECT OrderID AS DocNo, LineNo AS DocLine, Factory, Unit AS Store, ItemID, Item
     _view("vw_StockIssue", "issue line", "DocNo DocLine", "DocNo:int DocLine:int Factory:text Store:text ItemID:int Item:text Qty:decimal Cause:text IssuedOn:date", """
 SELECT OrderID AS DocNo, LineNo AS DocLine, Factory, Unit AS Store, ItemID, Item, Qty, 'planned' AS Cause, Day AS IssuedOn FROM b_line WHERE State = 'O' AND Flag <> 'R'
 UNION ALL SELECT OrderID, LineNo, Factory, Unit, ItemID, Item, Qty, 'without receipt', Day FROM b_line WHERE State = 'O' AND Flag = 'R'""", "IssuedOn"),
-    _view("vw_Item", "item", "ItemID Factory", "ItemID:int Factory:text Item:text Category:text ItemGroup:text Size:int Price:decimal", """
-SELECT DISTINCT p.p_partkey AS ItemID, l.Factory AS Factory, p.p_name AS Item, p.p_brand AS Category, p.p_type AS ItemGroup, p.p_size AS Size, p.p_retailprice AS Price
-FROM part p LEFT JOIN b_line l ON p.p_partkey = l.ItemID WHERE p.p_partkey IN (SELECT l_partkey FROM lineitem)"""),
+    _view("vw_Item", "item", "ItemID Factory", "ItemID:int Factory:text Item:text Category:text ItemGroup:text Size:int Price:decimal", lambda d: ITEMS[d.name]),
     _view("vw_Store", "store", "Store", "Store:text Factory:text StoreID:int", """
 SELECT n.n_name AS Store, r.r_name AS Factory, n.n_nationkey AS StoreID FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey"""),
     _view("vw_Company", "company", "Factory", "Factory:text CompanyID:int Short:text", """
