@@ -92,8 +92,9 @@ def last_days(daily: DataFrame) -> DataFrame:
 
 
 def final_windows(daily: DataFrame, days: int) -> DataFrame:
-    """Each subject's own last ``days`` days."""
-    end = daily.withColumn("EndDay", F.max("Day").over(Window.partitionBy(*SUBJECT)))
+    """Each subject's own last ``days`` days. Rows of one day are added up before, so that a subject's window holds days."""
+    days_of = daily.groupBy(*SUBJECT, "Day").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in COUNTS])
+    end = days_of.withColumn("EndDay", F.max("Day").over(Window.partitionBy(*SUBJECT)))
     return end.where(F.datediff("EndDay", "Day") < days).groupBy(*SUBJECT, "EndDay").agg(*totals())
 
 

@@ -56,6 +56,12 @@ SELECT l_orderkey AS OrderID, sum(l_quantity) AS Pieces, CAST(max(l_shipdate) AS
     _view("b_shipment", "order", "OrderID", "OrderID:int Factory:text Pieces:decimal FirstShip:date LastShip:date Items:int Style:text", """
 SELECT OrderID, max(Factory) AS Factory, sum(Qty) AS Pieces, min(Day) AS FirstShip, max(Day) AS LastShip, count(*) AS Items, max(Brand) AS Style
 FROM b_line GROUP BY OrderID""", base=True),
+    _view("b_fileday", "factory, file and day", "Factory FileNo Day", "Factory:text FileNo:text Day:date Checked:decimal Defects:decimal Rejected:decimal Passed:decimal DefectivePcs:decimal Rectified:decimal", """
+SELECT l.Factory AS Factory, l.Brand || ' / ' || o.Factory AS FileNo, l.Day AS Day,
+       sum(l.Qty) AS Checked, sum(CASE WHEN l.Flag = 'R' THEN l.Qty ELSE 0 END) AS Defects, sum(CASE WHEN l.Flag = 'A' THEN l.Qty ELSE 0 END) AS Rejected, sum(CASE WHEN l.Flag = 'N' THEN l.Qty ELSE 0 END) AS Passed,
+       sum(CASE WHEN l.Flag <> 'N' THEN l.Qty ELSE 0 END) AS DefectivePcs, sum(CASE WHEN l.Flag <> 'N' AND l.State = 'F' THEN l.Qty ELSE 0 END) AS Rectified
+FROM b_line l INNER JOIN b_order o ON l.OrderID = o.OrderID
+GROUP BY l.Factory, l.Brand || ' / ' || o.Factory, l.Day""", base=True),
 ]
 
 ORDERS = [

@@ -17,7 +17,8 @@ FIRST, LAST, EVERY, WINDOW = dt.date(2000, 1, 1), dt.date(2000, 12, 30), 7, 28
 
 
 def _daily(spark, sf):
-    return CATALOG.load(spark, sf).view("vw_PlanQualityDay")
+    """What subjects sum up of vw_PlanQualityDay, by subject and day: its lines, buyers and orders make no groups."""
+    return CATALOG.load(spark, sf).view("b_fileday")
 
 
 def _texted(df):

@@ -222,8 +222,9 @@ def odd_star(folder):
 
 
 def agree(spark, con, folder, query):
-    got = Counter(tuple(map(str, r)) for r in suite.queries()[query](spark, str(folder)).collect())
-    return got and got == Counter(tuple(map(str, r)) for r in con.sql(suite.oracle_sql()[query]).fetchall())
+    df, relation = suite.queries()[query](spark, str(folder)), con.sql(suite.oracle_sql()[query])
+    got = Counter(tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect())
+    return bool(got) and got == Counter(tuple(map(str, r)) for r in relation.select(*[duckdb.ColumnExpression(c) for c in sorted(df.columns)]).fetchall())
 
 
 def test_items_meet_a_factory_once(spark, tmp_path):
@@ -231,3 +232,14 @@ def test_items_meet_a_factory_once(spark, tmp_path):
     plan = CATALOG.load(spark, str(tmp_path)).view("vw_Item")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_partkey") and plan.count("Relation [l_orderkey") == 1
     assert not [line for line in plan.splitlines() if "Aggregate" in line and "p_name" in line and "Factory" in line]
+
+
+def test_subjects_sum_up_days_not_orders(spark, tmp_path):
+    con = odd_star(tmp_path)
+    assert [q for q in ("settled", "final_window", "risk_levels", "open_predictions") if not agree(spark, con, tmp_path, q)] == []
+    for query in ("settled", "final_window"):
+        plan = suite.queries()[query](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        grouped = [line for line in plan if "Aggregate [" in line]
+        assert grouped and not [line for line in grouped if "o_orderkey" in line or "OrderID" in line]
+        at = next(i for i, line in enumerate(plan) if "Window [max(Day" in line)
+        assert "Aggregate [" in plan[at + 1] or "Aggregate [" in plan[at + 2]
