@@ -47,7 +47,7 @@ def bm25_batch(spark, sf):
     index.add(docs.where("NOT coalesce(lang = 'en', false)"))
     index.remove("src1")
     index.add(docs.where("source = 'src1'"))
-    asked = index.rarest(TERMS).where("query_id % 20 = 0")
+    asked = index.rarest(docs.where("doc_id % 20 = 0"), TERMS)
     return index.search(asked, K).withColumn("score", F.round("score", 6))
 
 

@@ -117,6 +117,57 @@ def test_pairs_are_added_up_where_the_documents_are(spark, tmp_path, monkeypatch
         assert [(r["doc_id"], round(r["score"], 6)) for r in found.where(F.col("query_id") == q).orderBy("rank").collect()] == want
 
 
+def test_no_postings_and_no_pairs_as_rows(spark, tmp_path, monkeypatch):
+    """Questions that many documents answer and ones that few do, with copies, removed documents and more answers than asked
+    for: as a plain sum has it. Only documents are rows, once, and the questions are made once."""
+    monkeypatch.setattr(kept_postings, "BLOCK", 2500)
+    monkeypatch.setattr(kept_postings, "_MEETS", 50)
+    r = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{int(x)}" for x in r.zipf(1.4, 1 + i % 9) if x < 300) for i in range(300)} | {i: "w1 w2 w7" for i in range(300, 360)}
+    index = Postings(spark, f"file://{tmp_path}/p")
+    rows = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in texts.items()], "doc_id long, text string, source string")
+    index.add(rows)
+    assert index.remove("s2") == 120
+    left = {i: t.split() for i, t in texts.items() if i % 3 != 2}
+    made = spark.sparkContext.accumulator(0)
+    words = {q: sorted(set(t.split())) for q, t in texts.items() if q % 4 == 0}
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    questions = asked(spark, {q: " ".join(w) for q, w in words.items()}).mapInArrow(counted, "query_id long, term string")
+    found = index.search(questions, 10)
+    got = {}
+    for row in found.orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["doc_id"], round(row["score"], 6)))
+    assert made.value == sum(map(len, words.values()))
+    df = {t: sum(t in w for w in left.values()) for w in words.values() for t in w}
+    avg = sum(map(len, left.values())) / len(left)
+    part = lambda t, w: math.log(1 + (len(left) - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / avg))
+    want = {}
+    for q, terms in words.items():
+        scores = {d: sum(part(t, w) for t in terms if t in w) for d, w in left.items()}
+        best = sorted((d for d in scores if scores[d]), key=lambda d: (-round(scores[d], 12), d))[:10]
+        if best:
+            want[q] = [(d, round(scores[d], 6)) for d in best]
+    assert got == want
+    made_rows = re.findall(r"Generate (\S+)\(arrays_zip\(([^)]*)\)", found._jdf.queryExecution().optimizedPlan().toString())
+    assert made_rows and all("ids#" in columns for _, columns in made_rows)
+
+
+def test_tokens_by_bytes_are_those_of_the_pattern(spark, tmp_path):
+    odd = ["", "a", "Ab-9 c", "বাংলা text২৩x", "x২y", "İstanbul KELVIN\u212a Straße", "é\u0980\u09ff\u0a00z", "a\x00b\n\tc", "ঀ", "9", "日本 a日b", "\U0001f600a\U0001f600", "z" * 5000, None, "end", "end"]
+    rows = spark.createDataFrame([(i, t, "s") for i, t in enumerate(odd)], "doc_id long, text string, source string").coalesce(1)
+    index = Postings(spark, f"file://{tmp_path}/p")
+    index.add(rows)
+    plain = rows.select("doc_id", search.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    want = {(r["doc_id"], t): (r["t"].count(t), len(r["t"])) for r in plain.collect() for t in r["t"]}
+    assert {(r["doc_id"], r["term"]): (r["tf"], r["len"]) for r in index.postings().collect()} == want
+    assert {r["doc_id"]: r["len"] for r in index.documents().collect()} == {r["doc_id"]: len(r["t"]) for r in plain.collect()}
+
+
 def test_only_the_folders_of_the_terms_are_read(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"w{i} w{i + 1}", "s") for i in range(300)], "doc_id long, text string, source string")
     index = Postings(spark, f"file://{tmp_path}/p")
