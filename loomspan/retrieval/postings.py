@@ -27,7 +27,7 @@ from .search import K1, B, tokens
 BUCKETS = 64
 #: Bytes of text of a block, give or take a document.
 BLOCK = 1 << 25
-#: Terms of all questions (some 80 MB) that are broadcast, and that meet a block at once; of more, each block meets parts.
+#: Terms of all questions (some 350 MB) that are broadcast, and that meet a block at once; of more, each block meets parts.
 BROADCAST_TERMS = 1 << 21
 #: The folder of the blocks' documents, beside those of the terms.
 DOCUMENTS = -1
